@@ -1,12 +1,17 @@
 """The queries of this subpackage and their SQL."""
 
-from tidemill.llm import mixing, sharding
+from tidemill.llm import chat, fingerprints, langid, media, mixing, packing, sharding
 
 
 def queries() -> dict:
     return {
+        "op1_media": media.op1_media,
+        "op2_langid": langid.op2_langid,
         "op4_mixing": mixing.op4_mixing,
+        "op5_fingerprints": fingerprints.op5_fingerprints,
+        "op6_chat": chat.op6_chat,
         "op7_sharding": sharding.op7_sharding,
+        "op9_packing": packing.op9_packing,
     }
 
 
