@@ -36,6 +36,11 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def light(df: DataFrame, rows: int = 200_000) -> DataFrame:
+    """A written table, to be sent to all executors if it has few rows; larger ones are joined by shuffle."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def small_batches(df: DataFrame, rows: int = 2000) -> DataFrame:
     """df, after capping the rows of an Arrow batch for this session, so that long texts don't add up in a worker."""
     conf = df.sparkSession.conf

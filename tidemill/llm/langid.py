@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemill.llm.common import blocks, crc_fold, small_batches, table, text_bytes, unit_hash
 
@@ -145,14 +146,14 @@ def fit(docs: DataFrame, fold: int | None = 1, folds: int = 3, docs_each: int =
     return train(windows, np.array([number[x] for x, _ in rows]), languages)
 
 
-def identify(docs: DataFrame, network: Network | None, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs -> key, lang_pred, score: the mean of the probabilities of all windows, weighed by their letters.
+def identify(docs: DataFrame, network: Network | None, carry: str = "doc_id") -> DataFrame:
+    """docs -> the column to carry, lang_pred, score: the mean of the probabilities of all windows, weighed by their letters.
 
     `und` with score 0 where the text is null or has no letter, or where there was nothing to learn from. Equal texts have equal results, but for float rounding by batch.
     """
-    rows = small_batches(docs.select(key, F.coalesce(F.when(F.col(text).rlike(r"\p{L}"), F.col(text)), F.lit("")).alias("_text")))
+    rows = small_batches(docs.select(carry, F.coalesce(F.when(F.col("text").rlike(r"\p{L}"), F.col("text")), F.lit("")).alias("_text")))
     sent = docs.sparkSession.sparkContext.broadcast(network)
-    kind = docs.select(key).schema[0].dataType.simpleString()
+    added = T.StructType.fromDDL("lang_pred string, score double")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = sent.value
@@ -172,9 +173,15 @@ def identify(docs: DataFrame, network: Network | None, key: str = "doc_id", text
                 best[a:b][has] = total[has].argmax(axis=1)
                 score[a:b][has] = total[has].max(axis=1) / mass[has]
             names = [net.languages[i] if i >= 0 else "und" for i in best.tolist()] if net else ["und"] * batch.num_rows
-            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(names, pa.string()), pa.array(np.clip(score, 0, 1))], names=[key, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(np.clip(score, 0, 1))], names=[carry, "lang_pred", "score"])
 
-    return rows.mapInArrow(work, f"{key} {kind}, lang_pred string, score double")
+    return rows.mapInArrow(work, T.StructType(docs.select(carry).schema.fields + added.fields))
+
+
+def keep_known(docs: DataFrame, least: float = 0.3) -> DataFrame:
+    """docs without those in no known language: no letter at all, or windows that go to no language more than others; all its columns stay."""
+    held = docs.select("text", F.struct("*").alias("_row"))
+    return identify(held, fit(docs), "_row").filter((F.col("lang_pred") != "und") & (F.col("score") >= least)).select("_row.*")
 
 
 def op2_langid(spark, sf_dir) -> DataFrame:

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import WORD, saved, table, unit_hash
+from tidemill.llm.common import WORD, light, saved, table, unit_hash
 
 #: Rank buckets of a source; bounds the rows of the prefix sum at buckets x sources.
 BUCKETS = 65536
@@ -45,17 +45,18 @@ def source_targets(sources: DataFrame, weights: tuple[int, ...], share: float, m
     return ranked.select("source", "source_size", F.when(F.col("_at").isNull(), F.col("_cap")).otherwise(F.least("_cap", F.col("_at") * F.col("_w"))).alias("target"))
 
 
-def mix_sizes(sizes: DataFrame, *, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, salt: str = "mix") -> DataFrame:
-    """(doc_id, source, size) -> doc_id, source, size, source_size, target, copies, taken = copies x size.
+def _ranked(rows: DataFrame, rates: DataFrame, salt: str) -> DataFrame:
+    """rows (doc_id, source, size, ...) with the rates of their stratum, rank (_q) and rank bucket (_b)."""
+    rows = rows.withColumn("_k", F.length(F.bin("size"))).withColumn("_u", unit_hash(F.col("doc_id"), salt))
+    rates = rates.withColumnRenamed("source", "_source").withColumnRenamed("_k", "_rk")
+    rows = rows.join(light(rates), F.col("source").eqNullSafe(F.col("_source")) & (F.col("_k") == F.col("_rk"))).drop("_source", "_rk")
+    odds = (F.col("_u") / (1 - F.col("_u"))) / (F.col("_p") / (1 - F.col("_p")))
+    return rows.withColumn("_q", F.when(F.col("_p") > 0, odds)).withColumn("_b", F.floor(F.col("_q") / (1 + F.col("_q")) * BUCKETS))
 
-    Repeated ids get the same random number and are ordered by size. Empty documents take nothing. A null source is
-    a source of its own, the last. An empty table gives an empty result.
-    """
-    rows = sizes.select(
-        "doc_id", "source", F.col("size").cast("bigint").alias("size"),
-        F.length(F.bin(F.col("size").cast("bigint"))).alias("_k"), unit_hash(F.col("doc_id"), salt).alias("_u"),
-    )
-    strata = rows.groupBy("source", "_k").agg(F.sum("size").alias("_s"))
+
+def shares(sizes: DataFrame, *, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, salt: str = "mix") -> tuple[DataFrame, DataFrame]:
+    """(doc_id, source, size) -> rates of each source and size stratum, and the decisions at each source's edge bucket."""
+    strata = sizes.groupBy("source", F.length(F.bin("size")).alias("_k")).agg(F.sum("size").alias("_s"))
     targets = source_targets(strata.groupBy("source").agg(F.sum("_s").alias("source_size")), weights, share, most)
 
     # the factor of each source: the strata that reach the most copies are a prefix by importance
@@ -70,36 +71,58 @@ def mix_sizes(sizes: DataFrame, *, weights: tuple[int, ...] = (5, 2, 1), share:
     strata = strata.withColumn("_whole", F.floor("_e")).withColumn("_p", F.col("_e") - F.floor("_e"))
     sure = F.sum(F.col("_s") * F.col("_whole")).over(Window.partitionBy("source"))
     strata = strata.withColumn("_left", F.col("target") - sure)
+    rates = saved(strata.select("source", "_k", "source_size", "target", "_whole", "_p", "_left"), "rates")
 
-    kept = [F.col("b." + c) for c in ("source_size", "target", "_whole", "_p", "_left")]
-    rated = rows.alias("a").join(strata.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source")) & (F.col("a._k") == F.col("b._k"))).select("a.doc_id", "a.source", "a.size", "a._u", *kept)
-    odds = (F.col("_u") / (1 - F.col("_u"))) / (F.col("_p") / (1 - F.col("_p")))
-    rated = rated.withColumn("_q", F.when(F.col("_p") > 0, odds)).withColumn("_b", F.floor(F.col("_q") / (1 + F.col("_q")) * BUCKETS))
-
-    sums = rated.filter("_b is not null").groupBy("source", "_b").agg(F.sum("size").alias("_s"), F.first("_left").alias("_left"))
+    ranked = _ranked(sizes.select("doc_id", "source", "size"), rates, salt)
+    sums = ranked.filter("_b is not null").groupBy("source", "_b").agg(F.sum("size").alias("_s"), F.first("_left").alias("_left"))
     upto = F.sum("_s").over(Window.partitionBy("source").orderBy("_b"))
     cut = sums.withColumn("_upto", upto).withColumn("_from", F.col("_upto") - F.col("_s")).filter("_upto > _left and (_from < _left or (_from = _left and _s > 0))")
-    cut = cut.groupBy("source").agg(F.min(F.struct("_b", "_from")).alias("_cut")).select("source", F.lit(True).alias("_has"), F.col("_cut._b").alias("_cb"), F.col("_cut._from").alias("_from"))
+    cut = cut.groupBy("source").agg(F.min(F.struct("_b", "_from")).alias("_cut")).select("source", F.col("_cut._b").alias("_cb"), F.col("_cut._from").alias("_from"))
+    rates = rates.alias("r").join(cut.alias("c"), F.col("r.source").eqNullSafe(F.col("c.source")), "left")
+    rates = saved(rates.select("r.*", F.coalesce("c._cb", F.lit(BUCKETS)).alias("_cb"), "c._from"), "rates")
+
+    inside = _ranked(sizes.select("doc_id", "source", "size"), rates, salt).filter("_b = _cb")
+    inside = inside.withColumn("_in", F.sum("size").over(Window.partitionBy("source").orderBy("_q", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)))
+    edge = inside.withColumn("_take", (F.col("_from") + F.col("_in") - F.col("size") / 2 <= F.col("_left")).cast("int"))
+    return rates, saved(edge.groupBy("doc_id", "source", "size").agg(F.min("_take").alias("_take")), "edges")
+
 
-    drawn = rated.alias("a").join(cut.alias("c"), F.col("a.source").eqNullSafe(F.col("c.source")), "left").select("a.*", "c._has", "c._cb", "c._from")
-    edge = F.coalesce(F.col("_b") == F.col("_cb"), F.lit(False))
-    inside = drawn.filter(edge).withColumn("_in", F.sum("size").over(Window.partitionBy("source").orderBy("_q", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)))
-    inside = inside.withColumn("_take", (F.col("_from") + F.col("_in") - F.col("size") / 2 <= F.col("_left")).cast("int"))
-    outside = drawn.filter(~edge).withColumn("_take", F.coalesce((F.col("_b") < F.coalesce(F.col("_cb"), F.lit(BUCKETS))) & F.col("_p").isNotNull(), F.lit(False)).cast("int"))
-    both = outside.unionByName(inside.drop("_in"))
-    copies = (F.col("_whole") + F.col("_take")).cast("bigint")
-    return both.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"))
+def drawn(rows: DataFrame, rates: DataFrame, edges: DataFrame, salt: str = "mix") -> DataFrame:
+    """rows with doc_id, source, size and others -> the same with source_size, target and copies, by shares() of them."""
+    edges = light(edges.select(F.col("doc_id").alias("_d"), F.col("source").alias("_so"), F.col("size").alias("_si"), "_take"))
+    same = F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_so")) & (F.col("size") == F.col("_si"))
+    ranked = _ranked(rows, rates, salt).join(edges, same, "left")
+    take = F.when(F.col("_b") < F.col("_cb"), 1).when(F.col("_b") == F.col("_cb"), F.coalesce("_take", F.lit(0))).otherwise(0)
+    copies = (F.col("_whole") + take).cast("bigint")
+    return ranked.select(*(F.col(c) for c in rows.columns), "source_size", "target", copies.alias("copies"))
+
+
+def size_of(text: str = "text"):
+    """Words of a text; null: 0."""
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint")
 
 
 def sized(docs: DataFrame) -> DataFrame:
     """(doc_id, source, text, ...) -> doc_id, source, size: words of the text, 0 where it is null."""
-    pattern = WORD.replace("\\", "\\\\")
-    return docs.select("doc_id", "source", F.expr(f"coalesce(regexp_count(text, '{pattern}'), 0)").cast("bigint").alias("size"))
+    return docs.select("doc_id", "source", size_of().alias("size"))
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
-    """Sizes are counted once and kept as a table, since the mix reads them several times."""
-    return mix_sizes(saved(sized(docs), "sizes"), **options)
+    """docs -> doc_id, source, size, source_size, target, copies, taken = copies x size.
+
+    Sizes are counted once and kept as a table, since the mix reads them several times. Repeated ids have the same
+    random number, and rows alike in id, source and size are decided alike. Empty documents take nothing. A null source
+    is a source of its own, the last. An empty table gives an empty result.
+    """
+    sizes = saved(sized(docs), "sizes")
+    return drawn(sizes, *shares(sizes, **options)).withColumn("taken", F.col("size") * F.col("copies"))
+
+
+def repeat_by_mix(docs: DataFrame, **options) -> DataFrame:
+    """docs, each row as often as the mix takes it; all its columns stay."""
+    sizes = saved(sized(docs), "sizes")
+    rows = docs.select("doc_id", "source", size_of().alias("size"), F.struct("*").alias("_row"))
+    return drawn(rows, *shares(sizes, **options)).filter("copies > 0").select("_row", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies")))).select("_row.*")
 
 
 def op4_mixing(spark, sf_dir) -> DataFrame:

@@ -1,17 +1,20 @@
 """The queries of this subpackage and their SQL."""
 
-from tidemill.llm import chat, fingerprints, langid, media, mixing, packing, sharding
+from tidemill.llm import chat, fingerprints, htmltext, langid, media, mixing, ngramjoin, packing, sharding, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_media": media.op1_media,
         "op2_langid": langid.op2_langid,
+        "op3_toxicity": toxicity.op3_toxicity,
         "op4_mixing": mixing.op4_mixing,
         "op5_fingerprints": fingerprints.op5_fingerprints,
         "op6_chat": chat.op6_chat,
         "op7_sharding": sharding.op7_sharding,
+        "op8_htmltext": htmltext.op8_htmltext,
         "op9_packing": packing.op9_packing,
+        "op10_ngramjoin": ngramjoin.op10_ngramjoin,
     }
 
 
@@ -19,4 +22,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op4_mixing": mixing.OP4_SQL,
         "op7_sharding": sharding.op7_sql(),
+        "op10_ngramjoin": ngramjoin.OP10_SQL,
     }
