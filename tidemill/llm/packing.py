@@ -29,11 +29,11 @@ def tokenized(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str =
     schema = pa.schema([("part", pa.int32()), ("start", pa.int64()), (key, pa.int64()), ("n", pa.int64()), ("ids", pa.binary())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tidemill.llm.tokens import Encoder
+        from tidemill.llm.tokens import encoder
 
-        encoder, part, at = Encoder(tokenizer), TaskContext.get().partitionId(), 0
+        own, part, at = encoder(tokenizer), TaskContext.get().partitionId(), 0
         for batch in batches:
-            ids = [x + STOP for x in encoder.encode(batch.column("text").to_pylist())]
+            ids = [x + STOP for x in own.encode(batch.column("text").to_pylist())]
             n = np.array([len(x) // 2 for x in ids], np.int64)
             ends = at + np.cumsum(n)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), part, np.int32)), pa.array(ends - n), batch.column(key), pa.array(n), pa.array(ids, pa.binary())], schema=schema)

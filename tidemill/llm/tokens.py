@@ -3,43 +3,82 @@
 from __future__ import annotations
 
 import os
+import re
 
 import numpy as np
 import regex
 
 #: How byte-level vocabularies of this kind split a text before merging. A fixed value of the tokenizer file.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
+#: The same for texts of common Latin characters only, where the standard module's classes agree with it.
+_COMMON = re.compile(r"[\t\n\r -~¡-¨«-±´¶-¸»¿-ÿĀ-ſ]*")
+_LATIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 
 
 class Encoder:
-    """Ids by the tokenizers library. A piece never merges with its neighbours, so ids of repeated pieces are kept."""
+    """Ids by the tokenizers library. A piece never merges with its neighbours, so ids of repeated pieces are kept.
 
-    def __init__(self, path: str, most: int = 300_000):
+    Two generations of at most `most` pieces are kept. New words that begin with a space are encoded many at a time, since
+    they are split again at the same places, and token lengths in bytes tell where each ends.
+    """
+
+    def __init__(self, path: str, most: int = 250_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.split, self.kept, self.most = regex.compile(PIECES).findall, {}, most
-        if self.tokenizer.get_vocab_size() > 0x10000:
+        self.kept, self.old, self.most = {}, {}, most
+        vocabulary = self.tokenizer.get_vocab()
+        if len(vocabulary) > 0x10000:
             raise ValueError("ids don't fit in 16 bits")
+        self.lengths = np.zeros(0x10000, np.int64)
+        for token, i in vocabulary.items():
+            self.lengths[i] = len(token)  # one character a byte
+
+    def pieces(self, text: str) -> list[str]:
+        return _LATIN.findall(text) if _COMMON.fullmatch(text) else regex.findall(PIECES, text)
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def _learn(self, pieces: list[str]) -> None:
+        joined = [x for x in pieces if x[0] == " " and x[1:].isalpha()]
+        for i in range(0, len(joined), 2000):
+            some = joined[i : i + 2000]
+            ids = np.array(self.tokenizer.encode_batch_fast(["".join(some)], add_special_tokens=False)[0].ids, "<u2")
+            ends = np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum([len(x.encode()) for x in some])) + 1
+            raw, at = ids.tobytes(), 0
+            for piece, end in zip(some, (2 * ends).tolist(), strict=True):
+                self.kept[piece] = raw[at:end]
+                at = end
+        alone = [x for x in pieces if x not in self.kept]
+        for piece, got in zip(alone, self.tokenizer.encode_batch_fast(alone, add_special_tokens=False), strict=True):
+            self.kept[piece] = np.array(got.ids, "<u2").tobytes()
+
+    def encode(self, texts: list[str], at_once: int = 64) -> list[bytes]:
         """Little-endian 16-bit ids of each text."""
-        kept, out = self.kept, []
-        for text in texts:
-            if any(x in text for x in self.special):
-                out.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes())
-                continue
-            pieces = self.split(text)
-            try:
-                out.append(b"".join([kept[x] for x in pieces]))
-            except KeyError:
-                new = list({x for x in pieces if x not in kept})
-                if len(kept) + len(new) > self.most:
-                    kept.clear()
-                    new = list(set(pieces))
-                for piece, got in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                    kept[piece] = np.array(got.ids, "<u2").tobytes()
-                out.append(b"".join([kept[x] for x in pieces]))
+        out = []
+        for i in range(0, len(texts), at_once):
+            some = texts[i : i + at_once]
+            whole = [any(x in text for x in self.special) for text in some]
+            split = [[] if w else self.pieces(text) for w, text in zip(whole, some, strict=True)]
+            kept = self.kept
+            new = {x for pieces in split for x in pieces if x not in kept}
+            if len(kept) + len(new) > self.most:
+                self.old, self.kept = kept, {}
+                kept = self.kept
+                new = {x for pieces in split for x in pieces}
+            for x in new & self.old.keys():
+                kept[x] = self.old[x]
+            self._learn([x for x in new if x not in kept])
+            for w, text, pieces in zip(whole, some, split, strict=True):
+                out.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes() if w else b"".join([kept[x] for x in pieces]))
         return out
+
+
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """One encoder a Python worker, so that tasks share what it has learned."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
