@@ -22,22 +22,25 @@ def group_headers(words: DataFrame) -> DataFrame:
     return words.withColumn("grp", header_group(F.col("text"))).filter("grp is not null").select("doc_id", "page", F.col("top").alias("gtop"), F.col("x0").alias("gx0"), "grp")
 
 
-def _greedy(page: pd.DataFrame) -> pd.DataFrame:
-    """One page's prefixes in word order: each takes its nearest free number."""
+def _greedy(page: pd.DataFrame, down: float, aside: float) -> pd.DataFrame:
+    """One page's prefixes in word order, with all numbers that follow each: a prefix takes the nearest free number below."""
     used, out = set(), []
-    for no, rows in page.sort_values(["word_no", "rank"]).groupby("word_no", sort=True):
-        free = rows[~rows["number_no"].isin(used)]
-        if len(free):
-            used.add(free["number_no"].iloc[0])
-            out.append((page["doc_id"].iloc[0], page["page"].iloc[0], no, free["number_no"].iloc[0]))
+    for no, rows in page.groupby("word_no", sort=True):
+        rows = rows[~rows["number_no"].isin(used)].sort_values("number_no")
+        far = rows.index[rows["dy"] > down]
+        rows = rows.loc[: far[0]].iloc[:-1] if len(far) else rows
+        rows = rows[(rows["dy"] > 0) & (rows["dx"] <= aside)].sort_values(["dy", "number_no"])
+        if len(rows):
+            used.add(rows["number_no"].iloc[0])
+            out.append((page["doc_id"].iloc[0], page["page"].iloc[0], no, rows["number_no"].iloc[0]))
     return pd.DataFrame(out, columns=["doc_id", "page", "word_no", "number_no"])
 
 
 def stitched(words: DataFrame, down: float = 30, aside: float = 60) -> DataFrame:
     """J5. Case candidates of words: whole numbers, and split ones: a prefix takes the nearest number that follows it below, near its column.
 
-    Numbers are used once, in word order. Only pages where two prefixes want one number go through Python, a page at a time.
-    Candidates end at the first later number that is more than `down` below.
+    Numbers are used once, in word order, and a scan ends at the first free number that is more than `down` below. Pages of
+    several prefixes go through Python, a page at a time.
     """
     inline = X.spaced(r"^(\d{4})\s*타\s*경\s*(\d+)$")
     prefix = X.spaced(r"^(\d{4})\s*타\s*경$")
@@ -46,18 +49,18 @@ def stitched(words: DataFrame, down: float = 30, aside: float = 60) -> DataFrame
     heads = words.filter(F.col("text").rlike(prefix)).select("doc_id", "page", "word_no", "top", "x0", F.regexp_extract("text", prefix, 1).alias("_year"))
     numbers = words.filter(F.col("text").rlike(r"^\d+$")).select("doc_id", "page", F.col("word_no").alias("number_no"), F.col("top").alias("_top"), F.col("x0").alias("_x0"), F.col("text").alias("_number"))
     pairs = heads.join(numbers, ["doc_id", "page"]).filter("number_no > word_no")
-    dy = F.col("_top") - F.col("top")
+    pairs = pairs.select("doc_id", "page", "word_no", "number_no", (F.col("_top") - F.col("top")).alias("dy"), F.abs(F.col("_x0") - F.col("x0")).alias("dx"))
+    on_page = Window.partitionBy("doc_id", "page")
+    pairs = pairs.withColumn("_several", F.min("word_no").over(on_page) < F.max("word_no").over(on_page))
+    alone = pairs.filter("not _several")
     # the scan of a prefix stops at the first number too far below
-    stop = F.min(F.when(dy > down, F.col("number_no"))).over(Window.partitionBy("doc_id", "page", "word_no"))
-    pairs = pairs.withColumn("_stop", stop).filter((dy > 0) & (dy <= down) & (F.abs(F.col("_x0") - F.col("x0")) <= aside) & (F.col("_stop").isNull() | (F.col("number_no") < F.col("_stop"))))
-    pairs = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("doc_id", "page", "word_no").orderBy(dy, "number_no")))
-    wanted = pairs.withColumn("_claims", F.count("*").over(Window.partitionBy("doc_id", "page", "number_no")))
-    contested = F.max("_claims").over(Window.partitionBy("doc_id", "page")) > 1
-    wanted = wanted.withColumn("_contested", contested)
-    plain = wanted.filter("not _contested and rank = 1").select("doc_id", "page", "word_no", "number_no")
+    by_prefix = Window.partitionBy("doc_id", "page", "word_no")
+    alone = alone.withColumn("_stop", F.min(F.when(F.col("dy") > down, F.col("number_no"))).over(by_prefix))
+    alone = alone.filter((F.col("dy") > 0) & (F.col("dy") <= down) & (F.col("dx") <= aside) & (F.col("_stop").isNull() | (F.col("number_no") < F.col("_stop"))))
+    plain = alone.withColumn("_r", F.row_number().over(by_prefix.orderBy("dy", "number_no"))).filter("_r = 1").select("doc_id", "page", "word_no", "number_no")
     kinds = {f.name: f.dataType.simpleString() for f in words.schema}
     ddl = f"doc_id {kinds['doc_id']}, page {kinds['page']}, word_no {kinds['word_no']}, number_no {kinds['word_no']}"
-    fought = wanted.filter("_contested").select("doc_id", "page", "word_no", "number_no", "rank").groupBy("doc_id", "page").applyInPandas(_greedy, ddl)
+    fought = pairs.filter("_several").drop("_several").groupBy("doc_id", "page").applyInPandas(lambda page: _greedy(page, down, aside), ddl)
     taken = plain.unionByName(fought).join(heads, ["doc_id", "page", "word_no"]).join(numbers.select("doc_id", "page", "number_no", "_number"), ["doc_id", "page", "number_no"])
     split = taken.select("doc_id", "page", "word_no", "top", "x0", case(F.col("_year"), F.col("_number")).alias("case_no"), F.lit("prefix").alias("source"))
     return whole.unionByName(split)
