@@ -15,9 +15,10 @@ OPEN, CLOSE = "\x01", "\x02"
 
 
 def replaced(c: Column, pairs: Iterable[tuple[str, str]]) -> Column:
-    """Ordered replacements."""
+    """Ordered replacements; plain words without the cost of a pattern."""
     for pattern, to in pairs:
-        c = F.regexp_replace(c, spaced(pattern), to)
+        plain = not set(pattern) & set("\\[](){}.*+?^$|")
+        c = F.replace(c, F.lit(pattern), F.lit(to)) if plain else F.regexp_replace(c, spaced(pattern), to)
     return c
 
 
