@@ -122,24 +122,25 @@ def linked_classes(docs: DataFrame, doc_classes: DataFrame) -> DataFrame:
     rows = saved(rows.withColumn("k", F.count("*").over(Window.partitionBy("cls"))).filter("5 * k >= 4 * n"), "grams")
     # n-grams of no other class come first, then the rarer ones
     rank = F.row_number().over(Window.partitionBy("cls").orderBy("df", "gram"))
-    first = rows.withColumn("_r", rank + F.col("n") - F.col("k")).filter(F.col("_r") <= F.floor(F.col("n") / 5) + 1).select("gram", "cls", "n", "k")
+    first = rows.withColumn("_r", rank + F.col("n") - F.col("k")).filter(F.col("_r") <= F.floor(F.col("n") / 5) + 1).select("gram", "cls", "n", "k", F.col("_r").alias("r"))
     first = saved(first, "prefixes")
     segments = rows.groupBy("cls", "n", F.pmod(F.shiftrightunsigned("gram", 40), F.lit(FRAGMENTS)).alias("fragment")).agg(F.collect_list("gram").alias("grams"))
     segments = saved(segments, "segments")
 
-    fits = "5 * least(na, nb) >= 4 * greatest(na, nb) and 9 * least(ka, kb) >= 4 * (na + nb)"
-    member = F.struct("cls", "n", "k")
+    # sizes are near, enough n-grams are shared with anyone, and if this n-gram is the first that both have, enough follow it
+    fits = "5 * least(na, nb) >= 4 * greatest(na, nb) and 9 * least(ka, kb, na - ra + 1, nb - rb + 1) >= 4 * (na + nb)"
+    member = F.struct("cls", "n", "k", "r")
     leaders = first.groupBy("gram").agg(F.min(F.struct((F.col("n") - F.col("k")).alias("o"), member.alias("m")))["m"].alias("x"), *(F.min(F.struct(F.xxhash64(F.lit(s), "cls").alias("o"), member.alias("m")))["m"].alias(f"x{s}") for s in (1, 2)))
     leaders = leaders.select("gram", F.explode(F.array_distinct(F.array("x", "x1", "x2"))).alias("x"))
-    pairs = first.join(leaders, "gram").select(F.least("cls", "x.cls").alias("a"), F.greatest("cls", "x.cls").alias("b"), F.col("n").alias("na"), F.col("x.n").alias("nb"), F.col("k").alias("ka"), F.col("x.k").alias("kb"))
+    pairs = first.join(leaders, "gram").select(F.least("cls", "x.cls").alias("a"), F.greatest("cls", "x.cls").alias("b"), F.col("n").alias("na"), F.col("x.n").alias("nb"), F.col("k").alias("ka"), F.col("x.k").alias("kb"), F.col("r").alias("ra"), F.col("x.r").alias("rb"))
     tried = saved(pairs.filter("a <> b").filter(fits).select("a", "b").distinct(), "pairs")
     links = saved(_overlaps(tried, segments), "found")
 
     roots = components(links)
-    parted = first.join(roots, first["cls"] == roots["vertex"], "left").select("gram", "cls", "n", "k", F.coalesce("root", "cls").alias("c"))
+    parted = first.join(roots, first["cls"] == roots["vertex"], "left").select("gram", "cls", "n", "k", "r", F.coalesce("root", "cls").alias("c"))
     by = Window.partitionBy("gram")
     parted = parted.withColumn("_a", F.min("c").over(by)).withColumn("_b", F.max("c").over(by)).filter("_a <> _b").drop("_a", "_b")
-    x, y = (parted.select("gram", F.col("cls").alias(u), F.col("n").alias("n" + u), F.col("k").alias("k" + u), F.col("c").alias("c" + u)) for u in "ab")
+    x, y = (parted.select("gram", F.col("cls").alias(u), F.col("n").alias("n" + u), F.col("k").alias("k" + u), F.col("r").alias("r" + u), F.col("c").alias("c" + u)) for u in "ab")
     rest = x.join(y, "gram").filter("a < b and ca <> cb").filter(fits).select("a", "b").distinct()
     rest = saved(rest.join(tried, ["a", "b"], "left_anti"), "pairs")
     more = saved(_overlaps(rest, segments), "found")
