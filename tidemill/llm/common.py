@@ -55,6 +55,11 @@ def unit_hash(key, salt: str):
     return (F.conv(digits, 16, 10).cast("bigint") + F.lit(0.5)) / F.lit(float(1 << 52))
 
 
+def few_enough(u, most: int, count):
+    """Whether a row's hash in (0, 1) can be among the `most` least of about `count` rows: so few pass that one task can rank them."""
+    return u * count < 2 * most + 100
+
+
 def crc_fold(key: str, folds: int):
     """crc32 of the key as text, modulo the number of folds; -1 for a null key."""
     return F.coalesce(F.crc32(F.col(key).cast("string")) % folds, F.lit(-1))

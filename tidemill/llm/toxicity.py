@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemill.llm.common import crc_fold, saved, small_batches, table, unit_hash
+from tidemill.llm.common import crc_fold, few_enough, saved, small_batches, table, unit_hash
 
 #: Most labelled examples a label, and most terms, that the model holds.
 EXAMPLES_EACH, TERMS = 4000, 4096
@@ -204,7 +204,8 @@ def fit(docs: DataFrame, labels: DataFrame, fold: int | None = 0, folds: int = 5
     if len(true) < 2:
         return None
     by = Window.partitionBy("label").orderBy("_u", "doc_id")
-    chosen = known.withColumn("_u", unit_hash(F.col("doc_id"), "toxicity")).withColumn("_n", F.row_number().over(by)).filter(F.col("_n") <= examples_each).select("doc_id", "label")
+    chosen = known.withColumn("_u", unit_hash(F.col("doc_id"), "toxicity")).filter(few_enough(F.col("_u"), examples_each, F.when(F.col("label") == 1, true[1]).otherwise(true[0])))
+    chosen = chosen.withColumn("_n", F.row_number().over(by)).filter(F.col("_n") <= examples_each).select("doc_id", "label")
     sample = saved(small_batches(texts).join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]), "toxicity")
 
     n = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
