@@ -365,8 +365,9 @@ def published_table(spark, sf):
     records = _records(spark, sf)
     address = lambda x: X.normal_address(F.concat_ws(" ", x["addr"], x["detail"]))
     records = records.withColumn("locations", F.transform("locations", lambda x: F.struct(address(x).alias("address"), X.normal_use(x["detail"]).alias("use"))))
-    same = lambda x, i: (i > 0) & (X.town(x["address"]) != "") & (X.town(x["address"]) == X.town(F.get("locations", i - 1)["address"]))
-    records = records.withColumn("locations", F.transform("locations", lambda x, i: F.struct(F.when(same(x, i), places.same_place(x["address"])).otherwise(x["address"]).alias("address"), x["use"].alias("use"))))
+    records = records.withColumn("_towns", F.transform("locations", lambda x: X.town(x["address"])))
+    same = lambda i: (i > 0) & (F.get("_towns", i) != "") & (F.get("_towns", i) == F.get("_towns", i - 1))
+    records = records.withColumn("locations", F.transform("locations", lambda x, i: F.struct(F.when(same(i), places.same_place(x["address"])).otherwise(x["address"]).alias("address"), x["use"].alias("use"))))
     records = records.withColumn("note", X.normal_note(c("note"))).join(_classified(spark, sf), ["doc_id", "case_no"])
     return publish.published(records)
 
