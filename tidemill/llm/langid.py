@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemill.llm.common import blocks, crc_fold, small_batches, table, text_bytes, unit_hash
+from tidemill.llm.common import blocks, crc_fold, few_enough, small_batches, table, text_bytes, unit_hash
 
 WINDOW, DEPTH, WIDTHS, FILTERS = 128, 8, (2, 3, 4), 16
 #: Most labelled documents a language and windows a document that training sees, and most languages.
@@ -121,9 +121,10 @@ def fit(docs: DataFrame, fold: int | None = 1, folds: int = 3, docs_each: int =
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     if fold is not None:
         known = known.filter(crc_fold("doc_id", folds) != fold)
-    ids = known.select("doc_id", "lang", unit_hash(F.col("doc_id"), "langid").alias("_u"))
+    counts = docs.filter("lang is not null").groupBy("lang").agg(F.count("*").alias("_all")).orderBy(F.desc("_all"), "lang").limit(LANGUAGES)
+    ids = known.join(F.broadcast(counts), "lang").select("doc_id", "lang", "_all", unit_hash(F.col("doc_id"), "langid").alias("_u")).filter(few_enough(F.col("_u"), docs_each, F.col("_all")))
     chosen = ids.withColumn("_n", F.row_number().over(Window.partitionBy("lang").orderBy("_u", "doc_id"))).filter(F.col("_n") <= docs_each)
-    chosen = chosen.groupBy("doc_id", "lang").agg(F.first("_u").alias("_u")).limit(LANGUAGES * docs_each)
+    chosen = chosen.groupBy("doc_id", "lang").agg(F.first("_u").alias("_u"))
     sample = known.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"]).select("lang", "_u", "text")
     schema = pa.schema([("lang", pa.string()), ("window", pa.binary())])
 
