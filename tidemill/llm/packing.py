@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import saved, small_batches, table
+from tidemill.llm.common import light, saved, small_batches, table
 
 WINDOW = 1024
 STOP = (0).to_bytes(2, "little")  # the id after each document
@@ -45,9 +45,9 @@ def tokenized(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str =
 def cut(tokens: DataFrame, window: int = WINDOW, key: str = "doc_id") -> DataFrame:
     """tokenized() rows, read from a table -> one row a piece: start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     totals = tokens.groupBy("part").agg(F.sum("n").alias("total"))
-    # one row a partition of pass 1, not of the data
-    base = totals.select("part", (F.sum("total").over(Window.orderBy("part")) - F.col("total")).alias("base"))
-    placed = tokens.join(base, "part").select(key, "n", "ids", (F.col("base") + F.col("start")).alias("at"))
+    # one row a partition of pass 1, not of the data; sent to the executors if few, so that tokens don't move
+    base = saved(totals.select("part", (F.sum("total").over(Window.orderBy("part")) - F.col("total")).alias("base")), "offsets")
+    placed = tokens.join(light(base), "part").select(key, "n", "ids", (F.col("base") + F.col("start")).alias("at"))
     schema = pa.schema([(key, pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("ids", pa.binary())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
