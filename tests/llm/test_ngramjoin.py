@@ -77,6 +77,31 @@ def test_components_match_brute_force(spark):
         assert sorted(map(tuple, got)) == slow_components(rows)
 
 
+def test_a_word_at_either_end_of_a_short_text(spark):
+    rng, rows = random.Random(5), []
+    for i in range(300):
+        words = [f"{rng.choice('abcdefgh')}{rng.randrange(10**9)}" for _ in range(9 if i < 200 else rng.randrange(9, 30))]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words[1:] if i % 2 else words[:-1]))]
+    got = ngramjoin.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got)) == slow_components(rows)
+
+
+def test_what_may_be_unshared_in_the_first_pass():
+    rng = random.Random(2)
+    for _ in range(20_000):
+        n = rng.randrange(1, 60)
+        m = rng.randrange(-(-4 * n // 5), 5 * n // 4 + 1)
+        common = -(-4 * (n + m) // 9)
+        if common <= min(n, m) and common < max(n, m):
+            # n-grams in hash order: in both, only in the first, only in the second
+            order = ["both"] * common + ["a"] * (n - common) + ["b"] * (m - common)
+            rng.shuffle(order)
+            a = [i for i, x in enumerate(order) if x != "b"][: ngramjoin.sent(n)]
+            b = [i for i, x in enumerate(order) if x != "a"][: ngramjoin.sent(m)]
+            assert len(set(a) - set(b)) <= max(n // 5, ngramjoin.SHORT.get(n, 0)) < ngramjoin.sent(n)
+    assert not any(ngramjoin.unshared(n) > n // 5 for n in range(40, 400))
+
+
 def test_a_large_group_of_near_copies(spark):
     rng = random.Random(9)
     base = [f"w{i}" for i in range(150)]

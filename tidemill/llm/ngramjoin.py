@@ -6,7 +6,8 @@ are a segment. Overlaps of two classes are counted segment by segment and summed
 Which pairs are counted follows from exact bounds, so no link is lost:
 
 - A class has a link only if four fifths of its n-grams are in other classes too. First the lowest three tenths of
-  every set (in hash order) show most classes to have none; then whole sets of the rest are counted.
+  every set (in hash order) show most classes to have none (`unshared` bounds what the other class may not have sent);
+  then whole sets of the rest are counted.
 - The rest are ordered by rarity. Two linked classes share an n-gram in the first fifth (plus one) of both.
 - Within such an n-gram's list, members are paired with a few leaders first. Links found join components, and then only
   members of different components are paired, so a large group of near copies doesn't make all its pairs.
@@ -54,6 +55,27 @@ def classes(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(work, "doc_id long, n long, cls long")
 
 
+def sent(n: int) -> int:
+    """How many of n n-grams pass 1 sends."""
+    return min(n, n * TENTHS // 10 + 1)
+
+
+def unshared(n: int) -> int:
+    """How many n-grams that a class of n sent can be absent from what a linked class sent.
+
+    Those that the other has not, or, where its own come first, those that it has but didn't send.
+    """
+    worst = 0
+    for m in range(-(-4 * n // 5), 5 * n // 4 + 1):
+        common = -(-4 * (n + m) // 9)
+        if common <= min(n, m) and common < max(n, m):
+            worst = max(worst, n - common, sent(n) - sent(m) + m - common)
+    return min(worst, sent(n))
+
+
+#: Sizes of which more than a fifth can be absent. From 40 on there are none: sent(n) - sent(m) + m - common is below 0.175 n + 1.
+SHORT = {n: unshared(n) for n in range(1, 40) if unshared(n) > n // 5}
+
 _ROWS = "gram long, cls long, n int"
 
 
@@ -74,7 +96,7 @@ def _low_grams(docs: DataFrame) -> DataFrame:
             for grams in _sets(batch):
                 if len(grams) and (c := class_of(grams)) not in seen:
                     seen.add(c)
-                    out.append((grams[: min(len(grams), len(grams) * TENTHS // 10 + 1)], c, len(grams)))
+                    out.append((grams[: sent(len(grams))], c, len(grams)))
             yield _emit(out)
 
     return docs.select("text").mapInArrow(work, _ROWS)
@@ -110,9 +132,12 @@ def _overlaps(pairs: DataFrame, segments: DataFrame) -> DataFrame:
 def linked_classes(docs: DataFrame, doc_classes: DataFrame) -> DataFrame:
     """-> vertex, root: components of classes with links."""
     low = saved(_shared(_low_grams(docs)), "lowgrams")
-    # of the n-grams sent, at most a fifth of the whole set may be in no other class
-    sent = F.least(F.col("n"), F.floor(F.col("n") * TENTHS / 10) + 1)
-    maybe = low.groupBy("cls").agg(F.count("*").alias("k"), F.first("n").alias("n")).filter(sent - F.col("k") <= F.floor(F.col("n") / 5)).select("cls")
+    # of the n-grams sent, at most a fifth of the whole set may be in no other class, more in the short sets
+    least = F.least(F.col("n"), F.floor(F.col("n") * TENTHS / 10) + 1)
+    spare = F.floor(F.col("n") / 5)
+    for n, most in SHORT.items():
+        spare = F.when(F.col("n") == n, most).otherwise(spare)
+    maybe = low.groupBy("cls").agg(F.count("*").alias("k"), F.first("n").alias("n")).filter(least - F.col("k") <= spare).select("cls")
     wanted = saved(doc_classes.filter("n > 0 and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id")).join(maybe, "cls"), "wanted")
     ids = F.broadcast(wanted) if wanted.count() <= SENT_IDS else wanted
     rows = saved(_shared(_all_grams(docs, ids)), "grams")
