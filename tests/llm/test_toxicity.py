@@ -28,6 +28,18 @@ def test_nearest_is_exact():
         assert near.tolist() == order and np.allclose(cosine, all_[order])
 
 
+def test_every_shared_word_counts(spark):
+    rng = np.random.default_rng(4)
+    word = lambda: "abcdefgh"[rng.integers(8)] + str(rng.integers(0, 10)).translate(str.maketrans("0123456789", "qrstuvwxyz"))
+    rows = [(i, " ".join(word() for _ in range(12)) + (" zorgle" if i in (1, 3, 5, 7) else ""), i % 2) for i in range(400)]
+    docs = spark.createDataFrame([r[:2] for r in rows] + [(1000, "zorgle unseen"), (1001, "aq unseen"), (1002, "unseen")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    got = {r["doc_id"]: r for r in toxicity.score(docs, toxicity.fit(docs, labels, fold=None)).collect()}
+    assert set(got[1000]["evidence"]) < {1, 3, 5, 7} and len(got[1000]["evidence"]) == 3 and got[1000]["score"] > 0.5
+    assert len(got[1001]["evidence"]) == 3 and all("aq" in rows[i][1].split() for i in got[1001]["evidence"])
+    assert got[1002]["evidence"] == [] and all(len(got[i]["evidence"]) == 3 for i, _, _ in rows)
+
+
 def test_held_out_documents(spark):
     sf = SF.replace("0.01", "0.1")
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")

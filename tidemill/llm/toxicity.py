@@ -1,9 +1,9 @@
 """Toxicity by nearest labelled examples.
 
-Texts are TF-IDF vectors over terms that go with the label: words, and word starts for inflected forms. The nearest
-examples by exact cosine come from a block-max inverted index: examples lie in blocks, each term keeps its greatest
-weight in each block, and blocks whose bound can't reach the k-th best are skipped. Neighbours vote by cosine
-squared, and a logistic curve fitted on left-out votes of the examples turns votes into scores.
+Texts are TF-IDF vectors over all terms of the examples: words, and word starts for inflected forms. Terms that go with
+the label weigh more, none is left out. The nearest examples by exact cosine come from an inverted index: terms are
+added by what they can give at most, until few examples can still be among the best, and those are compared whole.
+Neighbours vote by cosine squared, and a logistic curve fitted on left-out votes of the examples turns votes into scores.
 
 The labelled sample is bounded. Document frequencies are counted over all documents.
 """
@@ -23,11 +23,16 @@ from pyspark.sql import types as T
 
 from tidemill.llm.common import crc_fold, few_enough, saved, small_batches, table, unit_hash
 
-#: Most labelled examples a label, and most terms, that the model holds.
-EXAMPLES_EACH, TERMS = 4000, 4096
-#: Least chi-square of a term with the label, and how many times as common it is under one label.
-CHI_SQUARE, TIMES = 20.0, 3.0
-NEIGHBOURS, BLOCK, START = 15, 128, 5
+#: Most labelled examples a label that the model holds.
+EXAMPLES_EACH = 4000
+#: Chi-square of a term with the label, and how many times as common it is under one label, from which its weight is
+#: whole; below, it is in proportion, and LEAST at least.
+CHI_SQUARE, TIMES, LEAST = 20.0, 3.0, 0.01
+#: Examples that may be left when whole vectors are compared.
+FEW = 100
+#: Part of what a text's terms can give that is left after the first of them are added.
+FIRST = 16
+NEIGHBOURS, START = 15, 5
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -41,79 +46,86 @@ def terms_of(text: str) -> Counter:
     return words + starts
 
 
+def _ranges(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all ranges end to end, and the range of each."""
+    size = ends - starts
+    before = np.cumsum(size) - size
+    return np.arange(size.sum()) + np.repeat(starts - before, size), np.repeat(np.arange(len(size)), size)
+
+
 @dataclass
 class Index:
-    """Unit vectors of the examples, by block. Examples of a common heaviest term and label lie together."""
+    """Unit vectors of the examples, by term and by example."""
 
     numbers: dict[str, int] = field(repr=False)
-    idf: np.ndarray = field(repr=False)
+    idf: np.ndarray = field(repr=False)  # of each term, times its weight
     ids: np.ndarray = field(repr=False)  # of the examples
     labels: np.ndarray = field(repr=False)
-    blocks: int = 0
-    greatest: np.ndarray = field(default=None, repr=False)  # terms x blocks
-    starts: np.ndarray = field(default=None, repr=False)  # terms x (blocks + 1), into the postings
+    greatest: np.ndarray = field(default=None, repr=False)  # weight of each term
+    starts: np.ndarray = field(default=None, repr=False)  # of each term, into the postings
     posted: np.ndarray = field(default=None, repr=False)  # example of each posting
     weights: np.ndarray = field(default=None, repr=False)
+    row_starts: np.ndarray = field(default=None, repr=False)  # of each example, into the rows
+    row_terms: np.ndarray = field(default=None, repr=False)
+    row_weights: np.ndarray = field(default=None, repr=False)
+    room: np.ndarray = field(default=None, repr=False)  # a zero for each term
     curve: np.ndarray = field(default=None, repr=False)
     blank: float = 0.0
-    kept: dict = field(default_factory=dict, repr=False)
 
     def vector(self, counts: Counter | dict) -> tuple[np.ndarray, np.ndarray]:
-        found = sorted((self.numbers[t], n) for t, n in counts.items() if t in self.numbers)
-        return self.weigh(np.array([t for t, _ in found], np.int64), np.array([n for _, n in found], np.float64))
+        number = np.array([self.numbers.get(t, -1) for t in counts], np.int64)
+        known = np.flatnonzero(number >= 0)
+        return self.weigh(number[known], np.array(list(counts.values()), np.float64)[known])
 
     def weigh(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         w = (1 + np.log(counts)) * self.idf[terms] if len(terms) else np.zeros(0)
         return terms, (w / np.sqrt((w * w).sum()) if len(terms) else w)
 
     def build(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> Index:
-        heaviest = [(int(t[w.argmax()]) if len(t) else -1) for t, w in vectors]
-        order = sorted(range(len(vectors)), key=lambda i: (self.labels[i], heaviest[i], i))
-        self.ids, self.labels = self.ids[order], self.labels[order]
-        rows = [vectors[i] for i in order]
-        self.blocks = -(-len(rows) // BLOCK)
-        example = np.repeat(np.arange(len(rows)), [len(t) for t, _ in rows])
-        term = np.concatenate([t for t, _ in rows] or [np.zeros(0, np.int64)])
-        weight = np.concatenate([w for _, w in rows] or [np.zeros(0)])
-        by = np.lexsort((example, term))
-        term, self.posted, self.weights = term[by], example[by], weight[by]
+        size = np.array([len(t) for t, _ in vectors], np.int64)
+        example = np.repeat(np.arange(len(vectors), dtype=np.int32), size)
+        self.row_terms = np.concatenate([t for t, _ in vectors] or [np.zeros(0)]).astype(np.int32)
+        self.row_weights = np.concatenate([w for _, w in vectors] or [np.zeros(0)])
+        self.row_starts = np.concatenate([[0], np.cumsum(size)])
+        by = np.argsort(self.row_terms, kind="stable")
+        self.posted, self.weights = example[by], self.row_weights[by]
         n = len(self.idf)
-        cell = term * self.blocks + self.posted // BLOCK
-        self.greatest = np.zeros((n, self.blocks))
-        np.maximum.at(self.greatest.reshape(-1), cell, self.weights)
-        self.starts = np.searchsorted(cell, np.arange(n)[:, None] * self.blocks + np.arange(self.blocks + 1)[None, :])
+        self.starts = np.searchsorted(self.row_terms[by], np.arange(n + 1))
+        self.greatest = np.zeros(n)
+        np.maximum.at(self.greatest, self.row_terms, self.row_weights)
         return self
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of greatest cosine above 0, ties by place, and the cosines; exact."""
-        if not len(terms) or not self.blocks:
+        n = len(self.ids)
+        if not len(terms) or not n:
             return np.zeros(0, np.int64), np.zeros(0)
-        bound = weights @ self.greatest[terms]
-        order = np.argsort(-bound, kind="stable")
-        best, score, worst, at, step = np.zeros(0, np.int64), np.zeros(0), 0.0, 0, 1
-        while at < len(order):
-            some = order[at : at + step]
-            some = some[(bound[some] > 0) & (bound[some] >= worst - 1e-12)]
-            if not len(some):
+        most = weights * self.greatest[terms]
+        order = np.argsort(-most, kind="stable")
+        t, w = terms[order], weights[order]
+        rest = np.append(np.cumsum(most[order][::-1])[::-1], 0.0)  # what terms from here on can add
+        sums, at, left = np.zeros(n), 0, rest[0] / FIRST
+        while at < len(t):
+            left /= 2
+            end = max(at + 1, int(np.searchsorted(-rest, -left)))
+            end = len(t) if end >= len(t) or rest[end] < 1e-3 * rest[0] else end
+            places, of = _ranges(self.starts[t[at:end]], self.starts[t[at:end] + 1])
+            sums += np.bincount(self.posted[places], self.weights[places] * w[at:end][of], n)
+            at = end
+            worst = np.partition(sums, n - k)[n - k] if n > k else 0.0
+            some = np.flatnonzero(sums >= max(worst - rest[at] - 1e-9, 0.0))
+            if worst > 0 and len(some) <= max(FEW, k):
                 break
-            sums: dict[int, np.ndarray] = {}
-            for b in some.tolist():
-                local = np.zeros(BLOCK)
-                for t, w in zip(terms.tolist(), weights.tolist(), strict=True):
-                    lo, hi = self.starts[t, b], self.starts[t, b + 1]
-                    if hi > lo:
-                        local[self.posted[lo:hi] - b * BLOCK] += w * self.weights[lo:hi]
-                sums[b] = local
-            for b, local in sums.items():
-                hit = np.flatnonzero(local)
-                best, score = np.concatenate([best, hit + b * BLOCK]), np.concatenate([score, local[hit]])
-            if len(best) > k:
-                top = np.lexsort((best, -np.round(score, 12)))[:k]
-                best, score = best[top], score[top]
-                worst = float(score[-1])
-            at, step = at + step, min(2 * step, 8)
-        top = np.lexsort((best, -np.round(score, 12)))[:k]
-        return best[top], score[top]
+        if self.room is None:
+            self.room = np.zeros(len(self.idf))
+        self.room[terms] = weights
+        some = some[sums[some] > 0] if at == len(t) else some
+        places, of = _ranges(self.row_starts[some], self.row_starts[some + 1])
+        score = np.bincount(of, self.room[self.row_terms[places]] * self.row_weights[places], len(some))
+        self.room[terms] = 0
+        top = np.lexsort((some, -np.round(score, 12)))[:k]
+        top = top[score[top] > 0]
+        return some[top], score[top]
 
     @staticmethod
     def vote(labels: np.ndarray, cosines: np.ndarray) -> tuple[float, float]:
@@ -154,15 +166,10 @@ class Index:
         terms, weights = self.vector(counts)
         if not len(terms):
             return self.blank, [], []
-        key = (terms.tobytes(), weights.tobytes())
-        if key not in self.kept:
-            near, cosine = self.nearest(terms, weights, k)
-            share, most = self.vote(self.labels[near], cosine)
-            z = float(np.clip(self.curve @ [1.0, np.log(share / (1 - share)), most], -30, 30))
-            if len(self.kept) > 50_000:
-                self.kept.clear()
-            self.kept[key] = (float(1 / (1 + np.exp(-z))), self.ids[near[:3]].tolist(), cosine[:3].tolist())
-        return self.kept[key]
+        near, cosine = self.nearest(terms, weights, k)
+        share, most = self.vote(self.labels[near], cosine)
+        z = float(np.clip(self.curve @ [1.0, np.log(share / (1 - share)), most], -30, 30))
+        return float(1 / (1 + np.exp(-z))), self.ids[near[:3]].tolist(), cosine[:3].tolist()
 
 
 def _term_counts(rows: DataFrame, most: int = 200_000) -> DataFrame:
@@ -190,7 +197,7 @@ def _term_counts(rows: DataFrame, most: int = 200_000) -> DataFrame:
     return counted.groupBy("term").agg(F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("b"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, fold: int | None = 0, folds: int = 5, examples_each: int = EXAMPLES_EACH, terms: int = TERMS) -> Index | None:
+def fit(docs: DataFrame, labels: DataFrame, fold: int | None = 0, folds: int = 5, examples_each: int = EXAMPLES_EACH) -> Index | None:
     """Learn from labelled documents outside the fold; None where both labels aren't there.
 
     At most examples_each documents a label, the least by a hash of their ids; a document labelled twice counts once, as 1 if any says so.
@@ -215,8 +222,9 @@ def fit(docs: DataFrame, labels: DataFrame, fold: int | None = 0, folds: int = 5
     a, b = F.col("a").cast("double"), F.col("b").cast("double")
     chi = (n1 + n0) * F.pow(a * (n0 - b) - b * (n1 - a), 2) / ((a + b) * (n1 + n0 - a - b + 1e-9) * n1 * n0)
     ratio = ((a + 0.5) / (n1 + 1)) / ((b + 0.5) / (n0 + 1))
-    picked = _term_counts(sample).withColumn("chi", chi).filter((F.col("chi") >= CHI_SQUARE) & ((ratio >= TIMES) | (ratio <= 1 / TIMES)))
-    names = sorted(r["term"] for r in picked.orderBy(F.desc("chi"), "term").limit(terms).collect())
+    telling = F.least(F.lit(1.0), chi / CHI_SQUARE) * F.least(F.lit(1.0), F.abs(F.log(ratio)) / float(np.log(TIMES)))
+    picked = _term_counts(sample).select("term", F.greatest(F.lit(LEAST), telling).alias("weight")).orderBy("term").toArrow()
+    names = picked["term"].to_pylist()
     numbers = {t: i for i, t in enumerate(names)}
 
     # document frequencies over the whole corpus, summed by task and then by term
@@ -229,10 +237,13 @@ def fit(docs: DataFrame, labels: DataFrame, fold: int | None = 0, folds: int = 5
                 rows += 1
                 for t in terms_of(text).keys() & sent.value.keys():
                     df[sent.value[t]] += 1
-        yield pa.RecordBatch.from_arrays([pa.array([-1, *range(len(df))], pa.int32()), pa.array([rows, *df.tolist()], pa.int64())], names=["term", "n"])
+        some = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(-1, some), pa.int32()), pa.array(np.append(rows, df[some]), pa.int64())], names=["term", "n"])
 
-    df = {r["term"]: r["n"] for r in small_batches(texts.select("text")).mapInArrow(count, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
-    idf = np.log((df.get(-1, 0) + 1) / (np.array([df.get(i, 0) for i in range(len(names))], float) + 1)) + 1
+    counted = small_batches(texts.select("text")).mapInArrow(count, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    df = np.zeros(len(names) + 1)  # the last one: all documents
+    df[counted["term"].to_numpy()] = counted["n"].to_numpy()
+    idf = (np.log((df[-1] + 1) / (df[:-1] + 1)) + 1) * picked["weight"].to_numpy()
 
     def vectors(batches):
         for batch in batches:
@@ -242,11 +253,11 @@ def fit(docs: DataFrame, labels: DataFrame, fold: int | None = 0, folds: int = 5
                 out.append({"doc_id": key, "label": label, "terms": [t for t, _ in found], "counts": [c for _, c in found]})
             yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("doc_id", pa.int64()), ("label", pa.int32()), ("terms", pa.list_(pa.int32())), ("counts", pa.list_(pa.int32()))]))
 
-    rows = sorted(sample.mapInArrow(vectors, "doc_id long, label int, terms array<int>, counts array<int>").collect(), key=lambda r: r["doc_id"])
-    index = Index(numbers, idf, np.array([r["doc_id"] for r in rows]), np.array([r["label"] for r in rows]))
-    found = [index.weigh(np.array(r["terms"], np.int64), np.array(r["counts"], float)) for r in rows]
+    rows = sample.mapInArrow(vectors, "doc_id long, label int, terms array<int>, counts array<int>").toArrow().sort_by("doc_id").combine_chunks()
+    index = Index(numbers, idf, rows["doc_id"].to_numpy(), rows["label"].to_numpy())
+    found = [index.weigh(np.array(t, np.int64), np.array(c, float)) for t, c in zip(*(([x.values.to_numpy() for x in rows[n]]) for n in ("terms", "counts")), strict=True)]
     index.build(found)
-    index.calibrate(list(zip([r["doc_id"] for r in rows], found, strict=True)), (true[0], true[1]))
+    index.calibrate(list(zip(index.ids.tolist(), found, strict=True)), (true[0], true[1]))
     return index
 
 
