@@ -1,33 +1,89 @@
+import re
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from tests.conftest import SF
 from tests.llm.helpers import documents, empty
 from tidemill.llm import toxicity
 
 
-def test_nearest_is_exact():
-    rng = np.random.default_rng(3)
-    index = toxicity.Index({f"t{i}": i for i in range(60)}, rng.random(60) + 0.5, np.arange(700), rng.integers(0, 2, 700))
-    vectors = []
-    for _ in range(700):
-        terms = np.sort(rng.choice(60, rng.integers(0, 6), replace=False))
-        vectors.append(index.weigh(terms, rng.integers(1, 4, len(terms)).astype(float)))
-    labels = index.labels.copy()
-    index.build(vectors)
-    dense = np.zeros((700, 60))
-    for i, (t, w) in enumerate(vectors):
-        dense[i, t] = w
-    dense = dense[index.ids]
-    assert (labels[index.ids] == index.labels).all()
-    for terms, weights in vectors[:200]:
-        near, cosine = index.nearest(terms, weights, 15)
-        all_ = dense[:, terms] @ weights
-        order = [i for i in np.lexsort((np.arange(700), -np.round(all_, 12))) if all_[i] > 1e-12][:15]
+def small_index(rng, terms, rows, most):
+    vectors = [(np.sort(rng.choice(terms, rng.integers(0, most), replace=False)).astype(np.int32),) for _ in range(rows)]
+    vectors = [(t, rng.integers(1, 4, len(t))) for (t,) in vectors]
+    starts = np.cumsum([0, *(len(t) for t, _ in vectors)])
+    index = toxicity.Index({f"t{i}": i for i in range(terms)}, rng.random(terms) * rng.choice([0.05, 1, 3], terms) + 0.01, np.arange(rows), rng.integers(0, 2, rows), starts, np.concatenate([t for t, _ in vectors]), np.concatenate([c for _, c in vectors]))
+    return index, vectors
+
+
+@pytest.mark.parametrize(("terms", "rows", "most"), [(60, 700, 6), (400, 900, 120), (5000, 500, 300)])
+def test_nearest_is_exact(terms, rows, most):
+    index, vectors = small_index(np.random.default_rng(3), terms, rows, most)
+    dense = np.zeros((rows, terms))
+    for i, (t, c) in enumerate(vectors):
+        dense[i, t] = index.weigh(t, c)
+    for t, c in vectors[:200]:
+        near, cosine = index.nearest(t, index.weigh(t, c), 15)
+        all_ = dense[:, t] @ index.weigh(t, c)
+        order = [i for i in np.lexsort((np.arange(rows), -np.round(all_, 12))) if all_[i] > 1e-12][:15]
         assert near.tolist() == order and np.allclose(cosine, all_[order])
 
 
+def slow_terms(text):
+    words = [w for w in re.findall(r"[^\W\d_]+", text.lower())]
+    return Counter(words) + Counter(w[:5] + "*" for w in words if len(w) > 5)
+
+
+def slow_scores(texts, labels):
+    """Every text's score by dense loops over all examples; labels: text number -> label."""
+    bags = [slow_terms(t) for t in texts]
+    ones, zeros = [i for i, y in labels.items() if y], [i for i, y in labels.items() if not y]
+    a, b = (Counter(t for i in some for t in bags[i]) for some in (ones, zeros))
+    n1, n0, df = len(ones), len(zeros), Counter(t for bag in bags for t in bag)
+    idf = {}
+    for t in a.keys() | b.keys():
+        chi = (n1 + n0) * (a[t] * (n0 - b[t]) - b[t] * (n1 - a[t])) ** 2 / ((a[t] + b[t]) * (n1 + n0 - a[t] - b[t] + 1e-9) * n1 * n0)
+        ratio = ((a[t] + 0.5) / (n1 + 1)) / ((b[t] + 0.5) / (n0 + 1))
+        weight = max(0.01, min(1, chi / 20) * min(1, abs(np.log(ratio)) / np.log(3)))
+        idf[t] = weight * np.log((len(texts) + 1) / (df[t] + 0.5))
+
+    def vector(bag):
+        v = {t: (1 + np.log(n)) * idf[t] for t, n in bag.items() if t in idf}
+        norm = sum(x * x for x in v.values()) ** 0.5
+        return {t: x / norm for t, x in v.items()}
+
+    vectors = [vector(bag) for bag in bags]
+
+    def features(i):
+        cosines = sorted(((-round(sum(x * vectors[j].get(t, 0) for t, x in vectors[i].items()), 12), j) for j in labels if texts[j] != texts[i]))[:15]
+        cosines = [(-c, j) for c, j in cosines if c < 0]
+        share = (sum(c * c * labels[j] for c, j in cosines) + 0.05) / (sum(c * c for c, _ in cosines) + 0.1)
+        return [1, np.log(share / (1 - share)), cosines[0][0] if cosines else 0]
+
+    rows = [i for i in labels if vectors[i]]
+    x, y, beta = np.array([features(i) for i in rows]), np.array([labels[i] for i in rows]), np.array([0.0, 1, 0])
+    for _ in range(3000):  # plain descent on the same penalised likelihood
+        p = 1 / (1 + np.exp(-x @ beta))
+        beta += 0.5 / len(rows) * (x.T @ (y - p) - 0.5 * (beta - [0, 1, 0]))
+    blank = [labels[i] for i in labels if not vectors[i]]
+    rate = (sum(blank) + 0.1) / (len(blank) + 1)
+    return [1 / (1 + np.exp(-np.dot(features(i), beta))) if vectors[i] else rate for i in range(len(texts))]
+
+
+def test_whole_score_against_brute_force(spark):
+    rng = np.random.default_rng(8)
+    word = lambda: "".join(rng.choice(list("abcd"), rng.integers(1, 8)))
+    texts = [" ".join(word() for _ in range(rng.integers(0, 30))) + (" vile zorgle" if i % 4 == 1 and rng.random() < 0.8 else "") for i in range(290)]
+    texts += texts[:9] + [""]
+    labels = {i: int(i % 4 == 1) for i in range(300) if i % 3}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    model = toxicity.fit(docs, spark.createDataFrame(list(labels.items()), "doc_id long, toxic int"), fold=None)
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(docs, model).collect()}
+    want = slow_scores(texts, labels)
+    assert np.allclose([got[i] for i in range(300)], want, atol=2e-3)
+
+
 def test_every_shared_word_counts(spark):
     rng = np.random.default_rng(4)
     word = lambda: "abcdefgh"[rng.integers(8)] + str(rng.integers(0, 10)).translate(str.maketrans("0123456789", "qrstuvwxyz"))
@@ -37,7 +93,7 @@ def test_every_shared_word_counts(spark):
     got = {r["doc_id"]: r for r in toxicity.score(docs, toxicity.fit(docs, labels, fold=None)).collect()}
     assert set(got[1000]["evidence"]) < {1, 3, 5, 7} and len(got[1000]["evidence"]) == 3 and got[1000]["score"] > 0.5
     assert len(got[1001]["evidence"]) == 3 and all("aq" in rows[i][1].split() for i in got[1001]["evidence"])
-    assert got[1002]["evidence"] == [] and all(len(got[i]["evidence"]) == 3 for i, _, _ in rows)
+    assert got[1002]["evidence"] == [] and all(len(got[i]["evidence"]) == 3 and i not in got[i]["evidence"] for i, _, _ in rows)
 
 
 def test_held_out_documents(spark):
@@ -48,14 +104,18 @@ def test_held_out_documents(spark):
     hit = Counter((r["toxic"], r["predicted"]) for r in rows)
     assert hit[1, 1] >= 0.7 * (hit[1, 1] + hit[1, 0]) and hit[0, 1] <= 0.03 * (hit[0, 0] + hit[0, 1])
     assert found.count() == docs.count()
+    assert found.join(docs, "doc_id").filter("trim(text) <> '' and size(evidence) > 0").count() > 0.95 * docs.filter("trim(text) <> ''").count()
 
 
 def test_edge_rows(spark):
     labels = spark.createDataFrame([(1, 0), (2, 0), (5, 1), (6, None), (77, 1)], "doc_id long, toxic int")
-    index = toxicity.fit(documents(spark), labels, fold=None)
-    got = toxicity.score(documents(spark), index).collect()
+    model = toxicity.fit(documents(spark), labels, fold=None)
+    got = toxicity.score(documents(spark), model).collect()
     assert len(got) == 10 and all(0 <= r["score"] <= 1 for r in got)
-    assert toxicity.score(empty(spark), index).count() == 0
+    assert len({r["score"] for r in got if r["doc_id"] == 5}) == 1
+    assert toxicity.score(empty(spark), model).count() == 0
     assert toxicity.fit(empty(spark), labels, fold=None) is None
     assert toxicity.fit(documents(spark), labels.filter("toxic = 0")) is None
     assert {r["predicted"] for r in toxicity.score(documents(spark), None).collect()} == {0}
+    one = toxicity.fit(documents(spark).filter("doc_id in (2, 3)"), spark.createDataFrame([(2, 0), (3, 1)], "doc_id long, toxic int"), fold=None)
+    assert {r["score"] for r in toxicity.score(documents(spark), one).collect()} == {1.1 / 3}

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Characters that separate words: space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Scratch folders of local sessions, as in tests.
+_OWN: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,11 +22,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path under spark.checkpoint.dir, which all executors share; a local folder only where that is unset."""
+    """A new path under spark.checkpoint.dir, which all executors share. Where that is unset, a local session gets a folder of its own; a cluster is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = tempfile.mkdtemp(prefix="spark-scratch-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        own = spark.sparkContext.applicationId
+        if own not in _OWN:
+            _OWN[own] = tempfile.mkdtemp(prefix="spark-")
+        root = _OWN[own]
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

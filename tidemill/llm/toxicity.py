@@ -1,15 +1,18 @@
 """Toxicity by nearest labelled examples.
 
 Texts are TF-IDF vectors over all terms of the examples: words, and word starts for inflected forms. Terms that go with
-the label weigh more, none is left out. The nearest examples by exact cosine come from an inverted index: terms are
-added by what they can give at most, until few examples can still be among the best, and those are compared whole.
-Neighbours vote by cosine squared, and a logistic curve fitted on left-out votes of the examples turns votes into scores.
+the label weigh more, none is left out. The nearest examples by exact cosine come from a block-max inverted index: a
+term's postings stand in blocks by falling weight, and the blocks of a text's terms are added in the order of what each
+can give at most. What the blocks left can add bounds every sum, so that soon few examples can be among the best, and
+only those are compared whole. Neighbours vote by cosine squared, and a logistic curve fitted on the examples' own votes
+turns votes into scores. An example of the very same text never votes, so no row meets its own label.
 
 The labelled sample is bounded. Document frequencies are counted over all documents.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -17,6 +20,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,152 +32,185 @@ EXAMPLES_EACH = 4000
 #: Chi-square of a term with the label, and how many times as common it is under one label, from which its weight is
 #: whole; below, it is in proportion, and LEAST at least.
 CHI_SQUARE, TIMES, LEAST = 20.0, 3.0, 0.01
-#: Examples that may be left when whole vectors are compared.
-FEW = 100
-#: Part of what a text's terms can give that is left after the first of them are added.
-FIRST = 16
+#: Postings of a block, and examples that may be left when whole vectors are compared.
+BLOCK, FEW = 64, 50
+#: Part of what a text's terms can give that is left after the first blocks are added; each further round leaves a third.
+FIRST = 0.05
 NEIGHBOURS, START = 15, 5
 _WORD = re.compile(r"[^\W\d_]+")
 
 
-def terms_of(text: str) -> Counter:
-    """Words in lower case, and starts of longer words."""
-    words = Counter(_WORD.findall(text.lower()))
-    starts: Counter = Counter()
-    for w, n in words.items():
-        if len(w) > START:
-            starts[w[:START] + "*"] += n
-    return words + starts
+def terms_of(text: str) -> list[str]:
+    """Words in lower case, and starts of longer words, as often as they stand there."""
+    text = text.lower()
+    words = [text] if text.isalpha() else _WORD.findall(text)
+    return words + [w[:START] + "*" for w in words if len(w) > START]
 
 
-def _ranges(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The numbers of all ranges end to end, and the range of each."""
-    size = ends - starts
-    before = np.cumsum(size) - size
-    return np.arange(size.sum()) + np.repeat(starts - before, size), np.repeat(np.arange(len(size)), size)
+def digest(text: str) -> bytes:
+    return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+
+
+class Numbered:
+    """Term numbers of texts, with a bounded memory of what stands between spaces."""
+
+    def __init__(self, numbers: dict[str, int], most: int = 400_000):
+        self.numbers, self.most, self.kept = numbers, most, {}
+
+    def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """The known terms of a text in order of their numbers, and how often each stands there."""
+        pieces = text.lower().split()
+        try:
+            found = b"".join(map(self.kept.__getitem__, pieces))
+        except KeyError:
+            if len(self.kept) > self.most:
+                self.kept.clear()
+            get = self.numbers.get
+            for piece in {p for p in pieces if p not in self.kept}:
+                self.kept[piece] = b"".join([n.to_bytes(4, "little") for t in terms_of(piece) if (n := get(t)) is not None])
+            found = b"".join(map(self.kept.__getitem__, pieces))
+        return np.unique(np.frombuffer(found, "<i4"), return_counts=True)
+
+
+_NUMBERED: list[Numbered] = []
+
+
+def numbered(numbers: dict[str, int]) -> Numbered:
+    """One memory a Python worker, so that tasks share it."""
+    if not _NUMBERED or _NUMBERED[0].numbers is not numbers:
+        _NUMBERED[:] = [Numbered(numbers)]
+    return _NUMBERED[0]
+
+
+def _ranges(starts: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges end to end."""
+    return np.arange(size.sum()) + np.repeat(starts - (np.cumsum(size) - size), size)
 
 
 @dataclass
 class Index:
-    """Unit vectors of the examples, by term and by example."""
+    """The examples. What is sent to executors is small; a worker lays out the postings when it first needs them."""
 
     numbers: dict[str, int] = field(repr=False)
     idf: np.ndarray = field(repr=False)  # of each term, times its weight
     ids: np.ndarray = field(repr=False)  # of the examples
     labels: np.ndarray = field(repr=False)
-    greatest: np.ndarray = field(default=None, repr=False)  # weight of each term
-    starts: np.ndarray = field(default=None, repr=False)  # of each term, into the postings
-    posted: np.ndarray = field(default=None, repr=False)  # example of each posting
-    weights: np.ndarray = field(default=None, repr=False)
-    row_starts: np.ndarray = field(default=None, repr=False)  # of each example, into the rows
-    row_terms: np.ndarray = field(default=None, repr=False)
-    row_weights: np.ndarray = field(default=None, repr=False)
-    room: np.ndarray = field(default=None, repr=False)  # a zero for each term
-    curve: np.ndarray = field(default=None, repr=False)
-    blank: float = 0.0
-
-    def vector(self, counts: Counter | dict) -> tuple[np.ndarray, np.ndarray]:
-        number = np.array([self.numbers.get(t, -1) for t in counts], np.int64)
-        known = np.flatnonzero(number >= 0)
-        return self.weigh(number[known], np.array(list(counts.values()), np.float64)[known])
-
-    def weigh(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        w = (1 + np.log(counts)) * self.idf[terms] if len(terms) else np.zeros(0)
-        return terms, (w / np.sqrt((w * w).sum()) if len(terms) else w)
-
-    def build(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> Index:
-        size = np.array([len(t) for t, _ in vectors], np.int64)
-        example = np.repeat(np.arange(len(vectors), dtype=np.int32), size)
-        self.row_terms = np.concatenate([t for t, _ in vectors] or [np.zeros(0)]).astype(np.int32)
-        self.row_weights = np.concatenate([w for _, w in vectors] or [np.zeros(0)])
-        self.row_starts = np.concatenate([[0], np.cumsum(size)])
-        by = np.argsort(self.row_terms, kind="stable")
-        self.posted, self.weights = example[by], self.row_weights[by]
-        n = len(self.idf)
-        self.starts = np.searchsorted(self.row_terms[by], np.arange(n + 1))
-        self.greatest = np.zeros(n)
-        np.maximum.at(self.greatest, self.row_terms, self.row_weights)
-        return self
+    row_starts: np.ndarray = field(repr=False)  # of each example, into the rows
+    row_terms: np.ndarray = field(repr=False)
+    row_counts: np.ndarray = field(repr=False)
+    digests: dict[bytes, list[int]] = field(default_factory=dict, repr=False)  # examples by their text
+    _ready: bool = field(default=False, repr=False)
+
+    def weigh(self, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        w = (1 + np.log(counts)) * self.idf[terms]
+        return w / np.sqrt((w * w).sum()) if len(w) else w
+
+    def __getstate__(self):
+        names = ("numbers", "idf", "ids", "labels", "row_starts", "row_terms", "row_counts", "digests")
+        return {n: getattr(self, n) for n in names} | {"_ready": False}
+
+    def lay_out(self) -> None:
+        size = np.diff(self.row_starts)
+        example = np.repeat(np.arange(len(size), dtype=np.int32), size)
+        w = (1 + np.log(self.row_counts)) * self.idf[self.row_terms]
+        norms = np.sqrt(np.bincount(example, w * w, len(size)))
+        self.row_weights = w / norms[example]
+        # by term, then by falling weight
+        by = np.argsort((self.row_terms.astype(np.int64) << 32) | ((1 - self.row_weights) * 0xFFFFFFFF).astype(np.int64), kind="stable")
+        self.posted, self.weights = example[by], self.row_weights[by].astype(np.float32)
+        n = np.bincount(self.row_terms, minlength=len(self.idf))
+        starts = np.cumsum(n) - n
+        blocks = -(-n // BLOCK)
+        self.first = np.concatenate([[0], np.cumsum(blocks)])  # block of each term
+        of = np.repeat(np.arange(len(n)), blocks)
+        self.block_starts = starts[of] + (np.arange(len(of)) - self.first[of]) * BLOCK
+        self.block_sizes = np.minimum(self.block_starts + BLOCK, (starts + n)[of]) - self.block_starts
+        self.greatest = np.maximum.reduceat(self.weights, self.block_starts) if len(of) else np.zeros(0, np.float32)
+        # how much less the next block of the term can give
+        following = np.append(self.greatest[1:], np.float32(0))
+        following[self.first[1:][blocks > 0] - 1] = 0.0
+        self.falls = self.greatest - following
+        self.row_sizes = np.diff(self.row_starts)
+        self.room = np.zeros(len(self.idf))
+        self._ready = True
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of greatest cosine above 0, ties by place, and the cosines; exact."""
+        if not self._ready:
+            self.lay_out()
         n = len(self.ids)
         if not len(terms) or not n:
             return np.zeros(0, np.int64), np.zeros(0)
-        most = weights * self.greatest[terms]
-        order = np.argsort(-most, kind="stable")
-        t, w = terms[order], weights[order]
-        rest = np.append(np.cumsum(most[order][::-1])[::-1], 0.0)  # what terms from here on can add
-        sums, at, left = np.zeros(n), 0, rest[0] / FIRST
-        while at < len(t):
-            left /= 2
-            end = max(at + 1, int(np.searchsorted(-rest, -left)))
-            end = len(t) if end >= len(t) or rest[end] < 1e-3 * rest[0] else end
-            places, of = _ranges(self.starts[t[at:end]], self.starts[t[at:end] + 1])
-            sums += np.bincount(self.posted[places], self.weights[places] * w[at:end][of], n)
+        count = self.first[terms + 1] - self.first[terms]
+        block, of = _ranges(self.first[terms], count), np.repeat(weights, count)
+        order = np.argsort(-of * self.greatest[block])
+        block, of = block[order], of[order]
+        # what all blocks from each place on can add to one example
+        rest = np.append(np.cumsum((of * self.falls[block])[::-1])[::-1], 0.0)
+        some, at, left = None, 0, rest[0] * FIRST
+        while True:
+            end = min(max(at + 1, int(np.searchsorted(-rest, -left))), len(block))
+            end = len(block) if rest[end] < 1e-3 * rest[0] else end
+            size = self.block_sizes[block[at:end]]
+            places = _ranges(self.block_starts[block[at:end]], size)
+            add = np.bincount(self.posted[places], self.weights[places] * np.repeat(of[at:end], size), n)
+            some, sums = (np.arange(n), add) if some is None else (some, sums + add[some])
             at = end
-            worst = np.partition(sums, n - k)[n - k] if n > k else 0.0
-            some = np.flatnonzero(sums >= max(worst - rest[at] - 1e-9, 0.0))
-            if worst > 0 and len(some) <= max(FEW, k):
+            if len(some) > k:
+                worst = np.partition(sums, len(some) - k)[len(some) - k]
+                can = np.flatnonzero(sums >= worst - rest[at] - 1e-5)
+                some, sums = some[can], sums[can]
+            if len(some) <= max(FEW, k) or at == len(block):
                 break
-        if self.room is None:
-            self.room = np.zeros(len(self.idf))
+            left = rest[at] / 3
+        some = some[sums > 0] if at == len(block) else some[self.row_sizes[some] > 0]
         self.room[terms] = weights
-        some = some[sums[some] > 0] if at == len(t) else some
-        places, of = _ranges(self.row_starts[some], self.row_starts[some + 1])
-        score = np.bincount(of, self.room[self.row_terms[places]] * self.row_weights[places], len(some))
+        size = self.row_sizes[some]
+        places = _ranges(self.row_starts[some], size)
+        score = np.add.reduceat(self.room[self.row_terms[places]] * self.row_weights[places], np.cumsum(size) - size) if len(some) else np.zeros(0)
         self.room[terms] = 0
         top = np.lexsort((some, -np.round(score, 12)))[:k]
         top = top[score[top] > 0]
         return some[top], score[top]
 
-    @staticmethod
-    def vote(labels: np.ndarray, cosines: np.ndarray) -> tuple[float, float]:
-        """Share of label 1 among the neighbours by cosine squared, drawn to a half where they are far, and the nearest cosine."""
-        w = cosines**2
-        return float(((w * labels).sum() + 0.05) / (w.sum() + 0.1)), float(cosines[0]) if len(cosines) else 0.0
-
-    def calibrate(self, vectors: list[tuple[np.ndarray, np.ndarray]], true_counts: tuple[int, int], k: int = NEIGHBOURS) -> None:
-        """Logistic regression on the examples' votes, each without itself; labels weigh as in the whole learning set."""
-        place = {int(d): i for i, d in enumerate(self.ids.tolist())}
-        rows, labels, blank = [], [], [0.0, 0.0]
-        each = [true_counts[y] / max(1, int((self.labels == y).sum())) for y in (0, 1)]
-        for own, (terms, weights) in vectors:
-            y = int(self.labels[place[own]])
-            if not len(terms):
-                blank[y] += each[y]
-                continue
-            near, cosine = self.nearest(terms, weights, k + 1)
-            keep = near != place[own]
-            share, most = self.vote(self.labels[near[keep][:k]], cosine[keep][:k])
-            rows.append((1.0, np.log(share / (1 - share)), most))
-            labels.append(y)
-        self.blank = (blank[1] + 0.1) / (sum(blank) + 1)
-        x, y = np.array(rows).reshape(-1, 3), np.array(labels, float)
-        w = np.array(each)[np.array(labels, int)] if labels else y
-        beta = np.array([0.0, 1.0, 0.0])
-        for _ in range(30):
-            p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-            hessian = (x * (w * p * (1 - p) + 1e-9)[:, None]).T @ x + 0.5 * np.eye(3)
-            move = np.linalg.solve(hessian, x.T @ (w * (y - p)) - 0.5 * (beta - [0.0, 1.0, 0.0]))
-            beta += np.clip(move, -2, 2)
-            if np.abs(move).max() < 1e-6:
-                break
-        self.curve = beta
+    def vote(self, own: bytes, terms: np.ndarray, counts: np.ndarray, k: int = NEIGHBOURS) -> tuple[float, np.ndarray, np.ndarray]:
+        """Share of label 1 among the neighbours by cosine squared, drawn to a half where they are far; the neighbours and their cosines. own: digest of the text."""
+        same = self.digests.get(own, [])
+        near, cosine = self.nearest(terms, self.weigh(terms, counts), k + len(same))
+        if same:
+            others = ~np.isin(near, same)
+            near, cosine = near[others][:k], cosine[others][:k]
+        w = cosine**2
+        return float(((w * self.labels[near]).sum() + 0.05) / (w.sum() + 0.1)), near, cosine
+
 
-    def score(self, counts: Counter, k: int = NEIGHBOURS) -> tuple[float, list[int], list[float]]:
-        """Score, and as evidence the ids of the three nearest examples and their cosines."""
-        terms, weights = self.vector(counts)
-        if not len(terms):
-            return self.blank, [], []
-        near, cosine = self.nearest(terms, weights, k)
-        share, most = self.vote(self.labels[near], cosine)
-        z = float(np.clip(self.curve @ [1.0, np.log(share / (1 - share)), most], -30, 30))
-        return float(1 / (1 + np.exp(-z))), self.ids[near[:3]].tolist(), cosine[:3].tolist()
+@dataclass
+class Model:
+    index: Broadcast
+    curve: np.ndarray
+    blank: float  # rate of label 1 among texts without any known term
+
+
+def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Coefficients of columns 1, log odds of the vote and nearest cosine, drawn to the vote itself."""
+    start = np.array([0.0, 1.0, 0.0])
+    beta = start.copy()
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
+        hessian = (x * (w * p * (1 - p) + 1e-9)[:, None]).T @ x + 0.5 * np.eye(3)
+        move = np.linalg.solve(hessian, x.T @ (w * (y - p)) - 0.5 * (beta - start))
+        beta += np.clip(move, -2, 2)
+        if np.abs(move).max() < 1e-6:
+            break
+    return beta
+
+
+def _features(share: float, cosine: np.ndarray) -> tuple[float, float, float]:
+    return 1.0, float(np.log(share / (1 - share))), float(cosine[0]) if len(cosine) else 0.0
 
 
 def _term_counts(rows: DataFrame, most: int = 200_000) -> DataFrame:
-    """(label, text) -> term, with, without: documents of either label that hold a term, summed by task and then by term."""
+    """(label, text) -> term, a, b: documents of label 1 and 0 that hold a term, summed by task and then by term."""
     schema = pa.schema([("term", pa.string()), ("label", pa.int32()), ("n", pa.int64())])
 
     def work(batches):
@@ -187,7 +224,7 @@ def _term_counts(rows: DataFrame, most: int = 200_000) -> DataFrame:
 
         for batch in batches:
             for label, text in zip(batch.column("label").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                held[label].update(terms_of(text).keys())
+                held[label].update(set(terms_of(text)))
             if len(held[0]) + len(held[1]) > most:
                 yield flush()
         if held[0] or held[1]:
@@ -197,85 +234,140 @@ def _term_counts(rows: DataFrame, most: int = 200_000) -> DataFrame:
     return counted.groupBy("term").agg(F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("b"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, fold: int | None = 0, folds: int = 5, examples_each: int = EXAMPLES_EACH) -> Index | None:
-    """Learn from labelled documents outside the fold; None where both labels aren't there.
-
-    At most examples_each documents a label, the least by a hash of their ids; a document labelled twice counts once, as 1 if any says so.
-    """
+def _sample(texts: DataFrame, labels: DataFrame, fold: int | None, folds: int, examples_each: int) -> tuple[DataFrame, dict[int, int]]:
+    """(doc_id, label, text) of at most examples_each documents a label, the least by a hash of their ids; and how many there are."""
     known = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull())
     if fold is not None:
         known = known.filter(crc_fold("doc_id", folds) != fold)
-    known = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    true = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    if len(true) < 2:
-        return None
+    known = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label")).join(texts.select("doc_id"), "doc_id", "left_semi")
+    known = saved(known.withColumn("_u", unit_hash(F.col("doc_id"), "toxicity")), "labelled")
+    there = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    near = known.filter(few_enough(F.col("_u"), examples_each, F.when(F.col("label") == 1, there.get(1, 0)).otherwise(there.get(0, 0))))
     by = Window.partitionBy("label").orderBy("_u", "doc_id")
-    chosen = known.withColumn("_u", unit_hash(F.col("doc_id"), "toxicity")).filter(few_enough(F.col("_u"), examples_each, F.when(F.col("label") == 1, true[1]).otherwise(true[0])))
-    chosen = chosen.withColumn("_n", F.row_number().over(by)).filter(F.col("_n") <= examples_each).select("doc_id", "label")
-    sample = saved(small_batches(texts).join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]), "toxicity")
+    chosen = near.withColumn("_n", F.row_number().over(by)).filter(F.col("_n") <= examples_each).select("doc_id", "label")
+    return saved(small_batches(texts).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text")), "toxicity"), there
 
-    n = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    if len(n) < 2:
-        return None
-    n1, n0 = n[1], n[0]
-    a, b = F.col("a").cast("double"), F.col("b").cast("double")
-    chi = (n1 + n0) * F.pow(a * (n0 - b) - b * (n1 - a), 2) / ((a + b) * (n1 + n0 - a - b + 1e-9) * n1 * n0)
-    ratio = ((a + 0.5) / (n1 + 1)) / ((b + 0.5) / (n0 + 1))
-    telling = F.least(F.lit(1.0), chi / CHI_SQUARE) * F.least(F.lit(1.0), F.abs(F.log(ratio)) / float(np.log(TIMES)))
-    picked = _term_counts(sample).select("term", F.greatest(F.lit(LEAST), telling).alias("weight")).orderBy("term").toArrow()
-    names = picked["term"].to_pylist()
-    numbers = {t: i for i, t in enumerate(names)}
 
-    # document frequencies over the whole corpus, summed by task and then by term
-    sent = docs.sparkSession.sparkContext.broadcast(numbers)
+def _document_frequencies(texts: DataFrame, numbers: Broadcast) -> np.ndarray:
+    """Documents that hold each term, over the whole corpus, and last the number of all; summed by task and then by term."""
 
     def count(batches):
-        df, rows = np.zeros(len(sent.value), np.int64), 0
+        number, df, rows = numbered(numbers.value), np.zeros(len(numbers.value), np.int64), 0
         for batch in batches:
+            rows += batch.num_rows
             for text in batch.column(0).to_pylist():
-                rows += 1
-                for t in terms_of(text).keys() & sent.value.keys():
-                    df[sent.value[t]] += 1
+                df[number(text)[0]] += 1
         some = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(-1, some), pa.int32()), pa.array(np.append(rows, df[some]), pa.int64())], names=["term", "n"])
 
-    counted = small_batches(texts.select("text")).mapInArrow(count, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
-    df = np.zeros(len(names) + 1)  # the last one: all documents
+    counted = texts.select("text").mapInArrow(count, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    df = np.zeros(len(numbers.value) + 1)
     df[counted["term"].to_numpy()] = counted["n"].to_numpy()
-    idf = (np.log((df[-1] + 1) / (df[:-1] + 1)) + 1) * picked["weight"].to_numpy()
+    return df
 
-    def vectors(batches):
-        for batch in batches:
-            out = []
-            for key, label, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "label", "text")), strict=True):
-                found = sorted((sent.value[t], c) for t, c in terms_of(text).items() if t in sent.value)
-                out.append({"doc_id": key, "label": label, "terms": [t for t, _ in found], "counts": [c for _, c in found]})
-            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("doc_id", pa.int64()), ("label", pa.int32()), ("terms", pa.list_(pa.int32())), ("counts", pa.list_(pa.int32()))]))
 
-    rows = sample.mapInArrow(vectors, "doc_id long, label int, terms array<int>, counts array<int>").toArrow().sort_by("doc_id").combine_chunks()
-    index = Index(numbers, idf, rows["doc_id"].to_numpy(), rows["label"].to_numpy())
-    found = [index.weigh(np.array(t, np.int64), np.array(c, float)) for t, c in zip(*(([x.values.to_numpy() for x in rows[n]]) for n in ("terms", "counts")), strict=True)]
-    index.build(found)
-    index.calibrate(list(zip(index.ids.tolist(), found, strict=True)), (true[0], true[1]))
-    return index
+def fit(docs: DataFrame, labels: DataFrame, fold: int | None = 0, folds: int = 5, examples_each: int = EXAMPLES_EACH) -> Model | None:
+    """Learn from labelled documents outside the fold; None where both labels aren't there.
 
+    At most examples_each documents a label, the least by a hash of their ids; a document labelled twice counts once, as 1
+    if any says so, and of the texts of one id the least is taken. Driver and executors hold the examples' terms and
+    nothing that grows with the table.
+    """
+    texts = small_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")))
+    sample, there = _sample(texts, labels, fold, folds, examples_each)
+    if len(there) < 2:
+        return None
+    n = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    n1, n0 = n[1], n[0]
+    a, b = F.col("a").cast("double"), F.col("b").cast("double")
+    chi = (n1 + n0) * F.pow(a * (n0 - b) - b * (n1 - a), 2) / ((a + b) * (n1 + n0 - a - b + 1e-9) * n1 * n0)
+    ratio = ((a + 0.5) / (n1 + 1)) / ((b + 0.5) / (n0 + 1))
+    telling = F.least(F.lit(1.0), chi / CHI_SQUARE) * F.least(F.lit(1.0), F.abs(F.log(ratio)) / float(np.log(TIMES)))
+    picked = _term_counts(sample).select("term", F.greatest(F.lit(LEAST), telling).alias("weight")).orderBy("term").toArrow()
+    spark = docs.sparkSession
+    numbers = spark.sparkContext.broadcast({t: i for i, t in enumerate(picked["term"].to_pylist())})
+    df = _document_frequencies(texts, numbers)
+    idf = np.log((df[-1] + 1) / (df[:-1] + 0.5)) * picked["weight"].to_numpy()
 
-def score(docs: DataFrame, index: Index | None, carry: list[str] | None = None) -> DataFrame:
+    def vectors(batches):
+        number = numbered(numbers.value)
+        schema = pa.schema([("doc_id", pa.int64()), ("label", pa.int32()), ("digest", pa.binary()), ("terms", pa.list_(pa.int32())), ("counts", pa.list_(pa.int32()))])
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            found = [number(t) for t in texts]
+            ends = pa.array(np.cumsum([0, *(len(t) for t, _ in found)]), pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, np.concatenate([f[i] for f in found] or [np.zeros(0)]).astype(np.int32)) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(map(digest, texts), pa.binary()), *lists], schema=schema)
+
+    rows = sample.select("doc_id", "label", "text").mapInArrow(vectors, "doc_id long, label int, digest binary, terms array<int>, counts array<int>").toArrow().sort_by("doc_id").combine_chunks()
+    lists = [rows[c].chunk(0) if rows.num_rows else pa.array([], pa.list_(pa.int32())) for c in ("terms", "counts")]
+    digests: dict[bytes, list[int]] = {}
+    for i, d in enumerate(rows["digest"].to_pylist()):
+        digests.setdefault(d, []).append(i)
+    own = Index(numbers.value, idf, rows["doc_id"].to_numpy(), rows["label"].to_numpy(), lists[0].offsets.to_numpy() - lists[0].offsets[0].as_py(), lists[0].flatten().to_numpy(), lists[1].flatten().to_numpy(), digests)
+    index = spark.sparkContext.broadcast(own)
+    return _calibrated(index, sample, there)
+
+
+def _calibrated(index: Broadcast, sample: DataFrame, there: dict[int, int]) -> Model:
+    """The curve that turns the examples' own votes, each without its text, into rates; labels weigh as in the whole learning set."""
+
+    def votes(batches):
+        own = index.value
+        number = numbered(own.numbers)
+        for batch in batches:
+            out = []
+            for label, text in zip(batch.column("label").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                terms, counts = number(text)
+                share, _, cosine = own.vote(digest(text), terms, counts) if len(terms) else (0.5, None, ())
+                out.append((label, len(terms) == 0, *_features(share, cosine)[1:]))
+            kinds = (pa.int32(), pa.bool_(), pa.float64(), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array(list(x), k) for x, k in zip(zip(*out, strict=True) if out else [[]] * 4, kinds, strict=True)], names=["label", "blank", "odds", "cosine"])
+
+    rows = sample.select("label", "text").mapInArrow(votes, "label int, blank boolean, odds double, cosine double").orderBy("label", "blank", "odds", "cosine").toArrow()
+    label, blank = rows["label"].to_numpy(), rows["blank"].to_numpy()
+    each = np.array([there[y] / max(1, int((label == y).sum())) for y in (0, 1)])
+    empty = each * [int((blank & (label == y)).sum()) for y in (0, 1)]
+    x = np.stack([np.ones(len(label)), rows["odds"].to_numpy(), rows["cosine"].to_numpy()], axis=1)[~blank]
+    y = label[~blank]
+    return Model(index, _logistic(x, y.astype(float), each[y]), float((empty[1] + 0.1) / (empty.sum() + 1)))
+
+
+def score(docs: DataFrame, model: Model | None, carry: list[str] | None = None) -> DataFrame:
     """docs -> doc_id (or the columns to carry), score, predicted, evidence (nearest examples), cosines.
 
-    A text without any term, empty and null ones too, has the rate of such examples; without a model all score 0.
+    A text without any term of the examples, empty and null ones too, has the rate of such examples and no evidence;
+    without a model all score 0. Equal texts, repeated rows among them, have equal scores; of examples at the same
+    cosine the lower doc_id comes first. A very long text is one vector like any other. An empty table gives no rows.
     """
     carry = carry or ["doc_id"]
     rows = small_batches(docs.select(*carry, F.coalesce("text", F.lit("")).alias("_text")))
-    sent = docs.sparkSession.sparkContext.broadcast(index)
+    index, curve, blank = (model.index, model.curve, model.blank) if model else (None, None, 0.0)
     added = T.StructType.fromDDL("score double, predicted int, evidence array<long>, cosines array<double>")
     names = [*carry, *added.names]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = sent.value
+        own = index.value if index else None
+        number = numbered(own.numbers) if own else None
+        known: dict[bytes, tuple[float, list[int], list[float]]] = {}  # what this task found for earlier texts
+
+        def one(text: str) -> tuple[float, list[int], list[float]]:
+            key = digest(text)
+            if key in known:
+                return known[key]
+            if len(known) > 20_000:
+                known.clear()
+            terms, counts = number(text)
+            if len(terms):
+                share, near, cosine = own.vote(key, terms, counts)
+                z = float(np.clip(curve @ _features(share, cosine), -30, 30))
+                known[key] = float(1 / (1 + np.exp(-z))), own.ids[near[:3]].tolist(), cosine[:3].tolist()
+            else:
+                known[key] = blank, [], []
+            return known[key]
+
         for batch in batches:
-            got = [model.score(terms_of(t)) if model else (0.0, [], []) for t in batch.column("_text").to_pylist()]
+            got = [one(t) if own else (0.0, [], []) for t in batch.column("_text").to_pylist()]
             kinds = (pa.float64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.float64()))
             values = zip(*((x[0], int(x[0] >= 0.5), x[1], x[2]) for x in got), strict=True) if got else [[]] * 4
             yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(carry))] + [pa.array(list(v), k) for v, k in zip(values, kinds, strict=True)], names=names)
@@ -284,7 +376,11 @@ def score(docs: DataFrame, index: Index | None, carry: list[str] | None = None)
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs (doc_id, text and others) without those that are predicted toxic; all its columns stay."""
+    """docs (doc_id, text and others) without those that are predicted toxic; all its columns stay.
+
+    Null and empty texts stay unless most such examples are toxic; rows that repeat, or have no id, are decided by their
+    text alone. Without labels of both kinds all rows stay. An empty table stays empty.
+    """
     held = docs.select("doc_id", "text", F.struct("*").alias("_row"))
     return score(held, fit(docs, labels), ["_row"]).filter("predicted = 0").select("_row.*")
 
