@@ -13,7 +13,7 @@ from tidemill.llm import packing
 from tidemill.llm.tokens import Encoder
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
-PLAIN, KEPT = Tokenizer.from_file(PATH), Encoder(PATH, most=50)
+PLAIN, KEPT = Tokenizer.from_file(PATH), Encoder(PATH)
 
 
 @settings(max_examples=300, deadline=None)
@@ -23,6 +23,19 @@ def test_ids_equal_the_tokenizers(text):
     assert np.frombuffer(KEPT.encode([text])[0], "<u2").tolist() == PLAIN.encode(text, add_special_tokens=False).ids
 
 
+def test_ids_of_a_table(spark):
+    assert KEPT.quick is not None
+    texts = [r["text"] or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    assert all(np.frombuffer(a, "<u2").tolist() == b.ids for a, b in zip(KEPT.encode(texts), PLAIN.encode_batch(texts, add_special_tokens=False), strict=True))
+
+
+def test_other_vocabularies_go_to_the_library():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    other = Encoder(path)
+    assert other.quick is None
+    assert np.frombuffer(other.encode(["Ab c <|endoftext|>"])[0], "<u2").tolist() == Tokenizer.from_file(path).encode("Ab c <|endoftext|>", add_special_tokens=False).ids
+
+
 def check(docs, pieces):
     """Every id in exactly one piece, sequences full and gapless."""
     by_doc, by_sequence = defaultdict(list), defaultdict(list)
