@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import hashlib
 import math
-import os
 import re
 from collections.abc import Callable, Iterator
 
@@ -102,12 +101,9 @@ def token_counter(path: str | None) -> Callable[[str], int]:
     """Counts tokens with a tokenizer file, or words where there is none."""
     if path is None:
         return lambda text: len(text.split())
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+    from tidemill.llm.tokens import encoder
 
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    return lambda text: len(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids) if text else 0
+    return encoder(path).count
 
 
 FORMATTED = pa.schema([
