@@ -43,3 +43,44 @@ def test_all_documents_in_order(spark):
     by = {r["doc_id"]: r["fingerprint"] for r in got}
     assert by[1] == by[6] and by[2] == "" == by[3]
     assert fp.fingerprints(empty(spark)).count() == 0
+
+
+def test_many_buckets(spark):
+    rows = [(i * 37 % 9001, f"text {i % 50}") for i in range(6000)]
+    texts = dict(rows)
+    order = sorted(texts, reverse=True)
+    got = {r["doc_id"]: r["edited_sha256"] for r in fp.fingerprints(spark.createDataFrame(rows, "doc_id long, text string"), 1200).collect()}
+    assert got == {k: hashlib.sha256(fp.edited(texts[k], texts[order[(i + 1) % len(order)]]).encode()).hexdigest() for i, k in enumerate(order)}
+
+
+def slow_fingerprint(text):
+    """The least mixed hashes of all spans, each hashed on its own in whole numbers."""
+    p, out = (1 << 31) - 1, set()
+    width = min(fp.SPAN, len(text))
+    for i in range(len(text) - width + 1 if text else 0):
+        parts = [sum((ord(c) + 1) * pow(base, j, p) for j, c in enumerate(text[i : i + width])) % p for base in fp.BASES]
+        x = (parts[0] << 31) | parts[1]
+        x = (x ^ (x >> 29)) * 0xBF58476D1CE4E5B9 % 2**64
+        out.add(((x ^ (x >> 32)) >> 13) % 2**32)
+    return sorted(out)[: fp.KEPT]
+
+
+def slow_likeness(a, b):
+    both = sorted({*a, *b})[: fp.KEPT]
+    return sum(x in a and x in b for x in both) / len(both) if both else 1.0
+
+
+def test_columns_against_brute_force(spark):
+    import random
+
+    rng = random.Random(6)
+    base = "".join(rng.choice("abcde ") for _ in range(400))
+    rows = [(i, (base[: rng.randrange(400)] + "".join(rng.choice("abü") for _ in range(rng.randrange(60))))[: rng.choice([0, 1, 20, 400])]) for i in range(40)]
+    texts = dict(rows)
+    for r in fp.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        own, following = texts[r["doc_id"]], texts[(r["doc_id"] - 1) % 40]
+        changed = fp.edited(own, following)
+        a, b, c = map(slow_fingerprint, (own, changed, following))
+        form = lambda x: "".join(f"{v:08x}" for v in x)
+        assert (r["fingerprint"], r["edited_fingerprint"]) == (form(a), form(b))
+        assert abs(r["near_edited"] - slow_likeness(a, b)) < 1e-9 and abs(r["near_next"] - slow_likeness(a, c)) < 1e-9

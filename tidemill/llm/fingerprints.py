@@ -11,6 +11,8 @@ hashes among the least of both estimates the Jaccard likeness of the span sets.
 from __future__ import annotations
 
 import hashlib
+import json
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -126,6 +128,21 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
+def _constant(values: list, kind: str):
+    """One constant, whatever its length."""
+    return F.from_json(F.lit(json.dumps(values)), kind)
+
+
+def _bucket(key, bounds: list[int]):
+    """One more than the number of bounds at or below the key: counted among every side-th bound, then within that block."""
+    side = max(1, math.isqrt(len(bounds)))
+    blocks = [bounds[i : i + side] for i in range(0, len(bounds), side)]
+    below = lambda values: F.size(F.filter(values, lambda x: x <= key))
+    block = below(_constant([b[0] for b in blocks], "array<bigint>")) - 1
+    within = F.coalesce(F.get(_constant(blocks, "array<array<bigint>>"), F.greatest(block, F.lit(0))), F.array().cast("array<bigint>"))
+    return F.greatest(block, F.lit(0)) * side + below(within) + 1
+
+
 def with_following(docs: DataFrame, key: str = "doc_id", text: str = "text", buckets: int | None = None) -> DataFrame:
     """A partition a bucket of rows (bucket, key, text, ghost) such that in each bucket, by (key descending, nulls last, text), every row but ghosts
     is followed by the document after it; the first document of all comes after the last.
@@ -138,21 +155,14 @@ def with_following(docs: DataFrame, key: str = "doc_id", text: str = "text", buc
     wanted = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     at = rows.agg(F.percentile_approx("_key", [i / wanted for i in range(1, wanted)] or [0.5], 10_000)).first()[0]
     bounds = sorted(set(at or ()))
-
-    # one more than the number of bounds at or below the key, by halving; null keys stand below all
-    def bucket(low: int, high: int):
-        if low == high:
-            return F.lit(low + 1)
-        middle = (low + high) // 2
-        return F.when(F.col("_key") >= bounds[middle], bucket(middle + 1, high)).otherwise(bucket(low, middle))
-
-    rows = rows.withColumn("_bucket", F.when(F.col("_key").isNull(), 0).otherwise(bucket(0, len(bounds))))
+    rows = rows.withColumn("_bucket", F.when(F.col("_key").isNull(), 0).otherwise(_bucket(F.col("_key"), bounds)))
     # one row a bucket
     heads = sorted(((r["_bucket"], r["k"]) for r in rows.groupBy("_bucket").agg(F.max("_key").alias("k")).collect()), reverse=True)
-    before = {k: heads[i - 1][0] for i, (_, k) in enumerate(heads)}
-    ghost = F.lit(None).cast("int")
-    for k, b in before.items():
-        ghost = F.when(F.col("_key").eqNullSafe(F.lit(k).cast("long")), b).otherwise(ghost)
+    first, before = [None] * (len(bounds) + 2), [None] * (len(bounds) + 2)
+    for i, (bucket, k) in enumerate(heads):
+        first[bucket], before[bucket] = k, heads[i - 1][0]
+    of_own = lambda values, kind: F.get(_constant(values, f"array<{kind}>"), F.col("_bucket").cast("int"))
+    ghost = F.when(F.col("_key").eqNullSafe(of_own(first, "bigint")), of_own(before, "int"))
     own = F.struct(F.col("_bucket").cast("int").alias("bucket"), F.lit(False).alias("ghost"))
     sent = F.when(ghost.isNotNull(), F.array(own, F.struct(ghost.alias("bucket"), F.lit(True).alias("ghost")))).otherwise(F.array(own))
     rows = rows.select("_key", "_text", F.explode(sent).alias("_to")).select(F.col("_to.bucket").alias("bucket"), F.col("_to.ghost").alias("ghost"), F.col("_key").alias(key), F.col("_text").alias("text"))
@@ -167,7 +177,7 @@ def fingerprints(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     """docs (doc_id, text) -> fingerprints of each text and of its edited text, and their likeness.
 
     common_start is the longest common extension of both from their starts. Null text: empty; documents of one id follow each
-    other by text; a null id comes last. A single document follows itself. Workers stream sorted buckets and hold two documents.
+    other by text; a null id comes last. A single document follows itself; an empty table gives no rows. Workers stream sorted buckets and hold two documents.
     """
     schema = pa.schema(FIELDS)
     rows = small_batches(with_following(docs, buckets=buckets), 1000)
