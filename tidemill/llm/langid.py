@@ -16,11 +16,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemill.llm.common import blocks, crc_fold, few_enough, small_batches, table, text_bytes, unit_hash
+from tidemill.llm.common import blocks, crc_fold, few_enough, light, saved, small_batches, table, text_bytes, unit_hash
 
 WINDOW, DEPTH, WIDTHS, FILTERS = 128, 8, (2, 3, 4), 16
-#: Most labelled documents a language and windows a document that training sees, and most languages.
-DOCS_EACH, WINDOWS_EACH, LANGUAGES = 500, 4, 256
+#: Most labelled documents a language and windows a document that training sees.
+DOCS_EACH, WINDOWS_EACH = 500, 4
 LETTER = np.array([(65 <= b <= 90) or (97 <= b <= 122) or b >= 128 for b in range(256)])
 
 
@@ -116,16 +116,19 @@ def windows_of(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarr
 def fit(docs: DataFrame, fold: int | None = 1, folds: int = 3, docs_each: int = DOCS_EACH, windows_each: int = WINDOWS_EACH) -> Network | None:
     """Learn from documents with a language and a letter outside the fold. None if there are none.
 
-    At most docs_each documents a language, the least by a hash of their ids, and windows_each windows of each.
+    At most docs_each documents a language, the least by a hash of their ids, and windows_each windows of each; every
+    language has its part, however rare. What training holds grows with the number of languages, not with the table.
     """
-    known = docs.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    known = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").rlike(r"\p{L}"))
     if fold is not None:
         known = known.filter(crc_fold("doc_id", folds) != fold)
-    counts = docs.filter("lang is not null").groupBy("lang").agg(F.count("*").alias("_all")).orderBy(F.desc("_all"), "lang").limit(LANGUAGES)
-    ids = known.join(F.broadcast(counts), "lang").select("doc_id", "lang", "_all", unit_hash(F.col("doc_id"), "langid").alias("_u")).filter(few_enough(F.col("_u"), docs_each, F.col("_all")))
-    chosen = ids.withColumn("_n", F.row_number().over(Window.partitionBy("lang").orderBy("_u", "doc_id"))).filter(F.col("_n") <= docs_each)
-    chosen = chosen.groupBy("doc_id", "lang").agg(F.first("_u").alias("_u"))
-    sample = known.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"]).select("lang", "_u", "text")
+    # language and hash of every document that may be learned from; texts are read again for the chosen ones only
+    ids = saved(known.select("doc_id", "lang", unit_hash(F.col("doc_id"), "langid").alias("_u")).distinct(), "langids")
+    counts = light(ids.groupBy("lang").agg(F.count("*").alias("_all")))
+    near = ids.join(counts, "lang").filter(few_enough(F.col("_u"), docs_each, F.col("_all")))
+    chosen = near.withColumn("_n", F.row_number().over(Window.partitionBy("lang").orderBy("_u", "doc_id"))).filter(F.col("_n") <= docs_each)
+    chosen = light(saved(chosen.groupBy("doc_id", "lang").agg(F.first("_u").alias("_u")), "langsample"))
+    sample = known.select("doc_id", "lang", "text").join(chosen, ["doc_id", "lang"]).select("lang", "_u", "text")
     schema = pa.schema([("lang", pa.string()), ("window", pa.binary())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,7 +153,9 @@ def fit(docs: DataFrame, fold: int | None = 1, folds: int = 3, docs_each: int =
 def identify(docs: DataFrame, network: Network | None, carry: str = "doc_id") -> DataFrame:
     """docs -> the column to carry, lang_pred, score: the mean of the probabilities of all windows, weighed by their letters.
 
-    `und` with score 0 where the text is null or has no letter, or where there was nothing to learn from. Equal texts have equal results, but for float rounding by batch.
+    `und` with score 0 where the text is null or has no letter, or where there was nothing to learn from. Of languages with
+    equal sums the first by name is taken. Equal texts, repeated rows among them, have equal results but for float rounding by
+    batch. Very long texts are worked on alone, all their windows in turn. An empty table gives no rows.
     """
     rows = small_batches(docs.select(carry, F.coalesce(F.when(F.col("text").rlike(r"\p{L}"), F.col("text")), F.lit("")).alias("_text")))
     sent = docs.sparkSession.sparkContext.broadcast(network)
@@ -180,7 +185,11 @@ def identify(docs: DataFrame, network: Network | None, carry: str = "doc_id") ->
 
 
 def keep_known(docs: DataFrame, least: float = 0.3) -> DataFrame:
-    """docs without those in no known language: no letter at all, or windows that go to no language more than others; all its columns stay."""
+    """docs without those in no known language: no letter at all, or windows that go to no language more than others; all its columns stay.
+
+    Null and blank texts go; repeated rows and rows without an id are decided by their text. Where nothing can be learned all go; an
+    empty table stays empty.
+    """
     held = docs.select("text", F.struct("*").alias("_row"))
     return identify(held, fit(docs), "_row").filter((F.col("lang_pred") != "und") & (F.col("score") >= least)).select("_row.*")
 
