@@ -36,3 +36,21 @@ def test_edge_rows(spark):
     by = {r["page_id"]: r["text"] for r in got}
     assert len(got) == 6 and by[1] == TEXT == by[2] and by[None] == by[4] == "" and by[5].startswith("alone\n\nw\n\nw")
     assert htmltext.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_words_in_names():
+    page = lambda inner: htmltext.extract(f"<body><nav>Menu</nav><article>{inner}<p>{'Long text. ' * 20}</p></article></body>", [])
+    tail = ("Long text. " * 20).strip()
+    for kept in ('<p class="share-price">Up</p>', '<div class="notice-of-sale">Up</div>', '<p id="search-and-rescue">Up</p>', "<header><h1>Up</h1><p>by me</p></header>"):
+        assert page(kept) == f"Up\n\n{tail}"
+    for gone in ('<div class="share-buttons">x</div>', '<div class="site-notice">x</div>', '<div class="ad-slot-2">x</div>', '<section id="related-posts">x</section>', '<div class="wide comment-list"><h2>x</h2></div>'):
+        assert page(gone) == tail
+    assert "Site" not in htmltext.extract(f"<body><header><h1>Site</h1></header><main><p>{tail}</p></main></body>", [])
+
+
+def test_votes(spark):
+    body = lambda c, n: f"<body><div class='menu'>m</div><div class='{c}'><p>{'word ' * n}</p></div></body>"
+    rows = [("a", body(f"x{chr(97 + i % 26)}{chr(97 + i // 26)}", 9)) for i in range(300)]
+    rows += [("b", body("one", 9))] * 6 + [("b", body("two", 9))] * 3 + [("b", body("three", 9))] + [("c", body("q", 9)), ("c", body("p", 9)), ("", body("z", 9)), ("d", "")]
+    got = {r["host"]: r["paths"] for r in htmltext.consensus(spark.createDataFrame(rows, "host string, html string").repartition(3)).collect()}
+    assert got == {"a": [">body>div.xaa"], "b": [">body>div.one", ">body>div.two"], "c": [">body>div.p", ">body>div.q"]}

@@ -21,12 +21,15 @@ from tidemill.llm.common import saved, small_batches, table
 #: Elements that end a block of text. A fixed value of HTML.
 BLOCKS = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre search section select summary table tbody td tfoot th thead title tr ul".split())
 #: Blocks that hold text themselves and are no containers.
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 hr li dt dd pre option legend summary caption title tr td th thead tbody tfoot".split())
 #: Elements whose content is not text of the page, and elements that are never main text.
 RAW = ("script", "style", "noscript", "template", "textarea", "iframe", "svg", "math", "canvas", "object")
 ASIDE = frozenset("head nav header footer aside form menu dialog button select search option fieldset".split())
 #: Words in a class, id or role that mark what is not main text, and such as mark main text.
 NOT_MAIN = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices notification alert popup modal overlay sidebar aside menu nav navbar navigation breadcrumb breadcrumbs header masthead topbar footer foot share sharing social related recommended comment comments commentlist disqus reply replies respond newsletter subscribe signup login search pagination pager widget complementary contentinfo hidden".split())
+#: Words that say nothing of their own beside such a word, as in site-header or related-posts.
+NEUTRAL = frozenset("site page main global top bottom left right primary secondary inner outer wrapper wrap container box bar area block section region list item items links link button buttons icons form field posts articles stories content contents row column col unit slot group panel module text title label view nav js u c l o is has the my".split())
 MAIN = frozenset("article content entry main post story body text".split())
 #: Least share of a host's votes with which a path wins beside the first.
 SHARE = 0.2
@@ -49,7 +52,8 @@ class Page:
         self._walk(html)
 
     def _walk(self, html: str) -> None:
-        stack: list[tuple[str, int, bool]] = [("", 0, False)]  # tag, container, left out
+        # tag, container, left out: 0 no, 1 but for headings, 2 yes
+        stack: list[tuple[str, int, int]] = [("", 0, 0)]
         text: list[str] = []
         linked, link = 0, 0
 
@@ -91,7 +95,7 @@ class Page:
                 # an inline element can be boilerplate too, but it is not tracked unless it says so
                 if not ends and "=" in (a := m["attrs"] or m["attrs2"] or "") and tag in ("span", "ins", "label") and self._marks(a)[1] and not a.endswith("/"):
                     flush()
-                    stack.append((tag, stack[-1][1], True))
+                    stack.append((tag, stack[-1][1], 2))
                 elif ends and tag in ("span", "ins", "label") and any(s[0] == tag for s in stack):
                     flush()
                     close(tag)
@@ -103,7 +107,7 @@ class Page:
                 continue
             if tag == "hr":
                 continue
-            if stack[-1][0] in ("p", "h1", "h2", "h3", "h4", "h5", "h6"):
+            if stack[-1][0] == "p" or stack[-1][0] in HEADINGS:
                 stack.pop()
             if tag in ("li", "dt", "dd", "option", "tr", "td", "th") and stack[-1][0] == tag:
                 stack.pop()
@@ -115,7 +119,12 @@ class Page:
                     stack.pop()
             first, marked = self._marks(m["attrs"] or m["attrs2"] or "")
             parent, out = stack[-1][1], stack[-1][2]
-            leaves = out or marked or (tag in ASIDE) or tag == "title"
+            if tag == "header" and not out and not marked and any(t in ("article", "main") for t, _, _ in stack):
+                leaves = 1  # an article's own header: its headings are the article's
+            elif out == 1 and tag in HEADINGS and not marked:
+                leaves = 0
+            else:
+                leaves = 2 if out == 2 or marked or tag in ASIDE or tag == "title" else out
             if tag in LEAVES:
                 stack.append((tag, parent, leaves))
             else:
@@ -139,8 +148,10 @@ class Page:
             elif name in ("class", "id", "role"):
                 if name == "class" and value.split():
                     first = "." + re.sub(r"\d+", "#", value.split()[0])
-                words = set(re.split(r"[^a-z]+", value))
-                marked |= bool(words & NOT_MAIN) and not (words & {"article", "entry", "story", "post"} and not words & {"comment", "comments", "ad", "ads", "related", "share", "footer"})
+                for name in value.split():
+                    # a name marks if it is such a word, or joins such words with neutral ones; share-price and notice-of-sale don't
+                    words = [w for w in re.split(r"[^a-z]+", name) if w]
+                    marked |= any(w in NOT_MAIN for w in words) and all(w in NOT_MAIN or w in NEUTRAL for w in words)
         return first, marked
 
     def best(self) -> str:
@@ -177,7 +188,10 @@ def extract(html: str, paths: list[str]) -> str:
 
 
 def consensus(pages: DataFrame) -> DataFrame:
-    """(host, html) -> host, paths: the path of most votes, then others of at least SHARE of them."""
+    """(host, html) -> host, paths: the path of most votes (of equal ones the least), then others of at least SHARE of all votes.
+
+    So a host has at most 1 / SHARE paths, whatever its pages. Pages without a host, and without text, don't vote.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         votes: dict[tuple[str, str], int] = defaultdict(int)
@@ -191,9 +205,10 @@ def consensus(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_pylist([{"host": h, "path": p, "n": n} for (h, p), n in votes.items()])
 
     votes = pages.select("host", "html").filter("host <> ''").mapInArrow(work, "host string, path string, n long").groupBy("host", "path").agg(F.sum("n").alias("n")).filter("path <> ''")
-    totals = votes.groupBy("host").agg(F.sum("n").alias("total"), F.max("n").alias("most"))
-    winners = votes.join(totals, "host").filter((F.col("n") >= SHARE * F.col("total")) | (F.col("n") == F.col("most")))
-    return winners.groupBy("host").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "path"))), lambda x: x["path"]).alias("paths"))
+    rank = F.struct((-F.col("n")).alias("n"), "path")
+    totals = votes.groupBy("host").agg(F.sum("n").alias("total"), F.min(rank).alias("first"))
+    winners = votes.join(totals, "host").filter((F.col("n") >= SHARE * F.col("total")) | (rank == F.col("first")))
+    return winners.groupBy("host").agg(F.transform(F.array_sort(F.collect_list(rank)), lambda x: x["path"]).alias("paths"))
 
 
 #: Hosts up to which the winning paths are sent to all executors; beyond, pages are joined by host.
@@ -201,7 +216,11 @@ SENT_HOSTS = 100_000
 
 
 def main_text(pages: DataFrame) -> DataFrame:
-    """pages (page_id, url, html) -> page_id, url, text, n_chars. Null or empty html: empty text; without a host, a page has its own best container."""
+    """pages (page_id, url, html) -> page_id, url, text, n_chars.
+
+    Null or empty html: empty text; without a host, a page has its own best container. Repeated pages each vote and have a row;
+    of paths with equal votes the least is first. A very long page is read whole by one task. An empty table gives no rows.
+    """
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), _HOST, 1))
     rows = small_batches(pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), host.alias("host")), 1000)
     paths = saved(consensus(rows), "hostpaths")
