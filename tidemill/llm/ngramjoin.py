@@ -21,8 +21,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidemill.llm.common import blocks, saved, small_batches, table, text_bytes
+from tidemill.llm.common import blocks, light, saved, small_batches, table, text_bytes
 from tidemill.llm.components import components
 from tidemill.llm.shingles import mix, shingles
 
@@ -146,10 +147,14 @@ def linked_classes(docs: DataFrame, doc_classes: DataFrame) -> DataFrame:
     rows = rows.join(enough, "cls", "left_semi").withColumn("df", F.count("*").over(Window.partitionBy("gram"))).filter("df > 1")
     rows = saved(rows.withColumn("k", F.count("*").over(Window.partitionBy("cls"))).filter("5 * k >= 4 * n"), "grams")
     # n-grams of no other class come first, then the rarer ones
-    rank = F.row_number().over(Window.partitionBy("cls").orderBy("df", "gram"))
+    # the global order as one number: how many classes have an n-gram, then the upper bits of its hash
+    rows = rows.withColumn("place", F.shiftleft(F.least("df", F.lit((1 << 20) - 1)), 43) + F.shiftrightunsigned("gram", 21))
+    rank = F.row_number().over(Window.partitionBy("cls").orderBy("place", "gram"))
     first = rows.withColumn("_r", rank + F.col("n") - F.col("k")).filter(F.col("_r") <= F.floor(F.col("n") / 5) + 1).select("gram", "cls", "n", "k", F.col("_r").alias("r"))
     first = saved(first, "prefixes")
-    segments = rows.groupBy("cls", "n", F.pmod(F.shiftrightunsigned("gram", 40), F.lit(FRAGMENTS)).alias("fragment")).agg(F.collect_list("gram").alias("grams"))
+    bounds = rows.agg(F.percentile_approx("place", [i / FRAGMENTS for i in range(1, FRAGMENTS)], 1000)).first()[0] or []
+    fragment = sum(((F.col("place") >= b).cast("int") for b in bounds), F.lit(0))
+    segments = rows.groupBy("cls", "n", fragment.alias("fragment")).agg(F.collect_list("gram").alias("grams"))
     segments = saved(segments, "segments")
 
     # sizes are near, enough n-grams are shared with anyone, and if this n-gram is the first that both have, enough follow it
@@ -172,21 +177,57 @@ def linked_classes(docs: DataFrame, doc_classes: DataFrame) -> DataFrame:
     return components(links.union(more))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, n_shingles, component_id: the least doc_id reachable by links of likeness 0.8 or more.
-
-    Null and blank texts have no n-grams and link with nothing; rows of a null id have a null component. Repeated ids
-    and texts each have a row. N-grams and classes are 64-bit hashes.
-    """
+def groups(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text) -> a row each: doc_id, n, cls, root (a class of its component; null without n-grams), component_id."""
     docs = small_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")))
     doc_classes = saved(classes(docs), "classes")
     linked = linked_classes(docs, doc_classes)
     least = doc_classes.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("low"))
     rooted = least.join(linked, least["cls"] == linked["vertex"], "left").select("cls", "low", F.coalesce("root", "cls").alias("root"))
     roots = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = rooted.join(roots, "root").select("cls", "component_id", F.lit(1).alias("_some"))
-    found = doc_classes.join(named, (doc_classes["cls"] == named["cls"]) & (doc_classes["n"] > 0), "left")
-    return found.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    named = rooted.join(roots, "root").select(F.col("cls").alias("_c"), "component_id", "root")
+    found = doc_classes.join(named, (F.col("cls") == F.col("_c")) & (F.col("n") > 0), "left")
+    return found.select("doc_id", "n", "cls", "root", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text) -> doc_id, n_shingles, component_id: the least doc_id reachable by links of likeness 0.8 or more.
+
+    Null and blank texts have no n-grams and link with nothing; rows of a null id have a null component. Repeated ids
+    and texts each have a row. A very long text is one set, held by one task. An empty table gives no rows. N-grams and
+    classes are 64-bit hashes.
+    """
+    return groups(docs).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+
+
+def keep_first(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text and others) with one row of each component: that of its least (doc_id, class), and of that the least text.
+
+    Rows without an id or without n-grams stay. Classes of rows are only taken again for ids that repeat.
+    """
+    found = saved(groups(docs), "groups")
+    counted = found.filter("root is not null and doc_id is not null")
+    first = counted.groupBy("root").agg(F.min(F.struct("doc_id", "cls")).alias("first"))
+    stays = saved(counted.select("doc_id", "cls", "root").distinct().join(first, "root").withColumn("stays", F.struct("doc_id", "cls") == F.col("first")).select("doc_id", "cls", "stays"), "stays")
+    many = saved(found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "many")
+    gone = saved(stays.filter("not stays").join(many, "doc_id", "left_anti").select("doc_id"), "gone")
+    kept = docs.join(light(gone, SENT_IDS), "doc_id", "left_anti").select(*docs.columns)
+    if many.isEmpty():
+        return kept
+    many = light(many, SENT_IDS)
+    rows = small_batches(kept.join(many, "doc_id", "left_semi").select(F.coalesce("text", F.lit("")).alias("text"), F.struct(*docs.columns).alias("_row")))
+
+    def classed(batches):
+        for batch in batches:
+            sets = list(_sets(batch))
+            yield pa.RecordBatch.from_arrays([batch.column("text"), batch.column("_row"), pa.array([class_of(g) if len(g) else None for g in sets], pa.int64())], names=["text", "_row", "cls"])
+
+    repeated = rows.mapInArrow(classed, T.StructType([*rows.schema.fields, T.StructField("cls", T.LongType())]))
+    blank = repeated.filter("cls is null").select("_row.*")
+    chosen = stays.filter("stays").select(F.col("doc_id").alias("_d"), F.col("cls").alias("_c"))
+    one = repeated.join(chosen, (F.col("cls") == F.col("_c")) & (F.col("_row.doc_id").cast("long") == F.col("_d")))
+    one = one.groupBy("_d", "_c").agg(F.min_by("_row", F.struct("text", F.to_json("_row"))).alias("_row")).select("_row.*")
+    return kept.join(many, "doc_id", "left_anti").select(*docs.columns).unionByName(one).unionByName(blank)
 
 
 def op10_ngramjoin(spark, sf_dir) -> DataFrame:
