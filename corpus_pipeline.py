@@ -8,39 +8,38 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemill.llm import langid, mixing, ngramjoin, packing, toxicity
-from tidemill.llm.common import light, saved, table
+from tidemill.llm.common import saved, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 3: documents predicted toxic go."""
+    """Operator 3: documents predicted toxic go. Null and empty texts stay; a repeated row goes or stays with its text."""
     return toxicity.keep_clean(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_unknown(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 2: documents without a known language go."""
+    """Operator 2: documents without a known language go, so null and blank texts go too. Ids aren't looked at."""
     return langid.keep_known(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 10: of each group of near copies the least doc_id stays; rows without an id stay."""
-    found = saved(ngramjoin.near_duplicates(docs), "groups")
-    gone = saved(found.filter("doc_id <> component_id").select("doc_id").distinct(), "gone")
-    kept = docs.join(light(gone, 1_000_000), "doc_id", "left_anti").select(*docs.columns)
-    again = saved(found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "again")
-    if again.isEmpty():
-        return kept
-    # rows that repeat a document count once
-    again = light(again, 1_000_000)
-    return kept.join(again, "doc_id", "left_anti").unionByName(kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])).select(*docs.columns)
+    """Operator 10: of each group of near copies one row stays, of the least (doc_id, text).
+
+    Rows that repeat whole, or repeat an id with texts that are near copies, count as copies; an id with unlike texts keeps
+    one row for each. Rows without an id, and without words, stay. An empty table stays empty.
+    """
+    return ngramjoin.keep_first(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 4: documents are left out or repeated, so that sources have their target weights."""
+    """Operator 4: documents are left out or repeated, so that sources have their target weights.
+
+    A text without words is drawn like one of one word, and weighs nothing; a null source is a source of its own.
+    """
     return mixing.repeat_by_mix(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 9: pieces of full sequences."""
+    """Operator 9: pieces of full sequences; every row has its pieces, repeated and empty ones too."""
     import public_tokenizers
 
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json")).drop("ids")
