@@ -19,7 +19,11 @@ def test_correction_feed(spark, tmp_path):
     assert sorted(map(tuple, spark.table("counts").collect())) == sorted((r["grp"], r["n"]) for r in review.group_counts(log).collect())
     jobs.refresh_last(spark, path, str(tmp_path / "last"), str(tmp_path / "ck"), 50).awaitTermination()
     want = sorted(r["seq"] for r in review.last_n(log, 50).collect())
-    assert sorted(r["seq"] for r in spark.read.parquet(str(tmp_path / "last")).collect()) == want
+    assert sorted(r["seq"] for r in jobs.last_corrections(spark, str(tmp_path / "last")).collect()) == want
+    logs.append_corrections(log.filter("seq < 9").withColumn("seq", F.col("seq") + 10**6), path)
+    jobs.refresh_last(spark, path, str(tmp_path / "last"), str(tmp_path / "ck"), 50).awaitTermination()
+    again = sorted(r["seq"] for r in jobs.last_corrections(spark, str(tmp_path / "last")).collect())
+    assert again[-9:] == [10**6 + i for i in range(9)] and again[:-9] == want[9:]
 
 
 def test_job_state(spark, tmp_path):
@@ -38,17 +42,22 @@ def test_job_state(spark, tmp_path):
 
 
 def test_ingest_once(spark, tmp_path):
+    import os
+
     folder, got = tmp_path / "in", []
     folder.mkdir()
     text = load(spark, SF, "nf_text").limit(4).collect()
-    run = lambda: jobs.ingest(spark, str(folder), lambda blocks, epoch: got.extend(blocks.collect()), str(tmp_path / "ck")).awaitTermination()
+    run = lambda: jobs.ingest(spark, str(folder), lambda table, epoch: got.extend(table.collect()), str(tmp_path / "ck"), str(tmp_path / "done")).awaitTermination()
     for i, r in enumerate(text):
         (folder / f"{r['doc_id']}.txt").write_text(r["text"])
+        if i == 3:  # an old file that arrives late
+            os.utime(folder / f"{r['doc_id']}.txt", (10**9, 10**9))
         if i % 2:
             run()
     run()
-    want = rows.segment(load(spark, SF, "nf_text").join(spark.createDataFrame([(r["doc_id"],) for r in text], "doc_id int"), "doc_id")).count()
-    assert len(got) == want and {r["sale_date"] for r in got} == {"2023. 7. 3. 10:00"}
+    want = load(spark, SF, "nf_text").join(spark.createDataFrame([(r["doc_id"],) for r in text], "doc_id int"), "doc_id").withColumn("job_id", F.col("doc_id").cast("string"))
+    assert len(got) == jobs.published_notices(want).count() > 0 and {r["sale_date"] for r in got} == {"2023. 7. 3. 10:00"}
+    assert len({r["job_id"] for r in got}) == 4
 
 
 def test_triage_and_texts(spark, tmp_path):

@@ -212,15 +212,16 @@ def order_note(c: Column) -> Column:
 
 
 def shorten_list(c: Column) -> Column:
-    """목록1,2,3,7 -> 목록1~3,7. Runs of three or more numbers are joined."""
+    """목록1,2,3,7 -> 목록1~3,7, for each list of a text. Runs of three or more numbers are joined, two keep their comma."""
     c = text(c)
-    found = F.regexp_extract(c, r"목록(\d+(?:,\d+)+)", 1)
-    numbers = F.transform(F.split(found, ","), lambda x: x.cast("int"))
     start = F.struct(F.lit("").alias("out"), F.lit(None).cast("int").alias("a"), F.lit(None).cast("int").alias("b"))
     show = lambda s: F.concat(s["out"], F.when(s["out"] != "", ",").otherwise(""), F.when(s["a"] == s["b"], s["a"].cast("string")).when(s["b"] == s["a"] + 1, F.concat_ws(",", s["a"], s["b"])).otherwise(F.concat_ws("~", s["a"], s["b"])))
     step = lambda s, n: F.when(s["a"].isNull(), F.struct(F.lit("").alias("out"), n.alias("a"), n.alias("b"))).when(n == s["b"] + 1, F.struct(s["out"].alias("out"), s["a"].alias("a"), n.alias("b"))).otherwise(F.struct(show(s).alias("out"), n.alias("a"), n.alias("b")))
-    short = F.aggregate(numbers, start, step, show)
-    return F.when(found != "", F.replace(c, F.concat(F.lit("목록"), found), F.concat(F.lit("목록"), short))).otherwise(c)
+    short = lambda numbers: F.aggregate(F.transform(F.split(numbers, ","), lambda x: x.cast("int")), start, step, show)
+    # each list is put between marks, so that lists and the texts between them are parts of their own
+    parts = F.split(F.regexp_replace(c, R.LISTED, "$1\u0001$2\u0001"), "\u0001")
+    folded = F.transform(parts, lambda x, i: F.when(i % 2 == 1, short(x)).otherwise(x))
+    return F.when(c.rlike(R.LISTED), F.array_join(folded, "")).otherwise(c)
 
 
 # F17

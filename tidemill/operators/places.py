@@ -92,11 +92,11 @@ def ditto(df: DataFrame, address: str, rec: list[str], order: list[str]) -> Data
 
 
 def unregistered(df: DataFrame, keys: list[str], detail: str) -> DataFrame:
-    """A8. Areas of the 제시외 items of a detail summed under the shortest name, where there are two or more."""
-    tail = F.regexp_extract(F.col(detail), r"제시외(.*)$", 1)
-    found = F.regexp_extract_all(tail, F.lit(r"([가-힣]+)\s*\d+(?:\.\d+)?㎡"), F.lit(0))
+    """A8. Amounts of the 제시외 items of a detail, on however many lines, summed by unit (areas, sets, trees) under the shortest name, where there are two or more."""
+    found = F.regexp_extract_all(F.regexp_extract(F.col(detail), r"(?s)제시외(.*)$", 1), F.lit(R.UNREGISTERED), F.lit(0))
     items = df.select(*keys, F.posexplode(found).alias("_p", "_x"))
-    items = items.select(*keys, "_p", F.regexp_extract("_x", "^([가-힣]+)", 1).alias("_name"), F.regexp_extract("_x", r"(\d+(?:\.\d+)?)㎡", 1).cast("decimal(18,4)").alias("_area"))
-    summed = items.groupBy(*keys).agg(F.count("*").alias("n"), F.sum("_area").alias("_sum"), F.min(F.struct(F.length("_name"), "_p", F.col("_name").alias("name")))["name"].alias("_short"))
+    part = lambda i: F.regexp_extract("_x", R.UNREGISTERED, i)
+    items = items.select(*keys, "_p", part(1).alias("_name"), part(2).cast("decimal(18,4)").alias("_area"), part(3).alias("unit"))
+    summed = items.groupBy(*keys, "unit").agg(F.count("*").alias("n"), F.sum("_area").alias("_sum"), F.min(F.struct(F.length("_name"), "_p", F.col("_name").alias("name")))["name"].alias("_short"))
     number = F.regexp_replace(F.col("_sum").cast("string"), r"\.?0+$", "")
-    return summed.filter("n >= 2").select(*keys, "n", F.concat(F.lit("제시외 "), F.col("_short"), F.lit("등"), number, F.lit("㎡")).alias("summary"))
+    return summed.filter("n >= 2").select(*keys, "unit", "n", F.concat(F.lit("제시외 "), F.col("_short"), F.lit("등"), number, F.col("unit")).alias("summary"))

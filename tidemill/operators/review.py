@@ -9,14 +9,24 @@ from tidemill import rules as R
 from tidemill.functions import text as X
 
 
-def patch(records: DataFrame, changes: DataFrame, edits: DataFrame, keys: tuple[str, str] = ("job_id", "idx")) -> DataFrame:
-    """J7. Records after group changes (keys, new_grp: valid groups only) and edits (keys, field, value: editable fields only, null is empty)."""
+def patch(records: DataFrame, changes: DataFrame, edits: DataFrame, locations: DataFrame | None = None, keys: tuple[str, str] = ("job_id", "idx"), order: str = "at") -> DataFrame:
+    """J7. Records after group changes (keys, at, new_grp: valid groups only) and edits (keys, at, field, value: editable fields only, null is empty).
+
+    Edited locations (keys, at, locations: array of address and use, nulls empty) take the place of the record's. Of several
+    changes of one field the last by `at` holds.
+    """
     keys = list(keys)
-    valid = changes.filter(F.col("new_grp").isin([*R.GROUPS, R.EXCLUDED])).groupBy(*keys).agg(F.last("new_grp").alias("_grp"))
+    valid = changes.filter(F.col("new_grp").isin([*R.GROUPS, R.EXCLUDED])).groupBy(*keys).agg(F.max_by("new_grp", F.struct(order, "new_grp")).alias("_grp"))
     fields = [f for f in R.EDITABLE if f in records.columns and f != "locations"]
-    wide = edits.filter(F.col("field").isin(fields)).groupBy(*keys).agg(*(F.last(F.when(F.col("field") == f, F.coalesce("value", F.lit(""))), True).alias(f"_{f}") for f in fields))
+    value = F.coalesce("value", F.lit(""))
+    wide = edits.filter(F.col("field").isin(fields)).groupBy(*keys).agg(*(F.max_by(value, F.when(F.col("field") == f, F.struct(order, value.alias("v")))).alias(f"_{f}") for f in fields))
     rows = records.join(valid, keys, "left").join(wide, keys, "left").withColumn("old_grp", F.col("grp"))
     out = {"grp": F.coalesce("_grp", "grp")} | {f: F.coalesce(f"_{f}", f) for f in fields}
+    if locations is not None:
+        clean = lambda x: F.struct(F.coalesce(x["address"], F.lit("")).alias("address"), F.coalesce(x["use"], F.lit("")).alias("use"))
+        edited = locations.groupBy(*keys).agg(F.max_by(F.transform("locations", clean), F.struct(order, F.to_json("locations"))).alias("_locations"))
+        rows = rows.join(edited, keys, "left")
+        out["locations"] = F.coalesce("_locations", "locations")
     return rows.select(*(out.get(c, F.col(c)).alias(c) for c in records.columns), "old_grp")
 
 
@@ -48,16 +58,17 @@ def last_n(log: DataFrame, n: int = 200, order: str = "seq") -> DataFrame:
 def similar(targets: DataFrame, log: DataFrame, key: str, text: str, n: int = 200, k: int = 3) -> DataFrame:
     """J3 and W6. For each target its k most alike of the last n corrections, by Jaccard of keyword sets; ties in log order.
 
-    The example side has n rows at most and goes to every executor, so each target is compared where it is.
+    The example side has n rows at most. Its words go to every executor and meet the targets' words, and common words are
+    counted per pair where the target is, so that the work follows the matches. key must be unique.
     """
-    own = X.keywords(F.col(text))
-    examples = last_n(log, n).select("seq", "case_no", "grp", "signature_text", X.keywords(F.col("signature_text")).alias("_e")).filter(F.size("_e") > 0)
-    pairs = targets.select(key, own.alias("_t")).filter(F.size("_t") > 0).join(F.broadcast(examples), F.arrays_overlap("_t", "_e"))
-    overlap = F.size(F.array_intersect("_t", "_e"))
-    score = overlap / (F.size("_t") + F.size("_e") - overlap)
-    scored = pairs.select(key, "seq", "case_no", "grp", "signature_text", score.alias("score"))
+    examples = last_n(log, n).select("seq", "case_no", "grp", "signature_text", X.keywords(F.col("signature_text")).alias("_e"))
+    words = examples.select("seq", F.size("_e").alias("_ne"), F.explode("_e").alias("_w"))
+    own = targets.select(key, X.keywords(F.col(text)).alias("_t")).select(key, F.size("_t").alias("_nt"), F.explode("_t").alias("_w"))
+    common = own.join(F.broadcast(words), "_w").groupBy(key, "_nt", "seq", "_ne").agg(F.count("*").alias("_o"))
+    score = F.col("_o") / (F.col("_nt") + F.col("_ne") - F.col("_o"))
     best = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), "seq"))
-    return scored.withColumn("rank", best).filter(F.col("rank") <= k)
+    found = common.select(key, "seq", score.alias("score")).withColumn("rank", best).filter(F.col("rank") <= k)
+    return found.join(F.broadcast(examples.drop("_e")), "seq").select(key, "seq", "case_no", "grp", "signature_text", "score", "rank")
 
 
 def group_counts(log: DataFrame, group: str = "grp") -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from bisect import bisect_right
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,25 +24,30 @@ def group_headers(words: DataFrame) -> DataFrame:
     return words.withColumn("grp", header_group(F.col("text"))).filter("grp is not null").select("doc_id", "page", F.col("top").alias("gtop"), F.col("x0").alias("gx0"), "grp")
 
 
-def _greedy(page: pd.DataFrame, down: float, aside: float) -> pd.DataFrame:
-    """One page's prefixes in word order, with all numbers that follow each: a prefix takes the nearest free number below."""
-    used, out = set(), []
-    for no, rows in page.groupby("word_no", sort=True):
-        rows = rows[~rows["number_no"].isin(used)].sort_values("number_no")
-        far = rows.index[rows["dy"] > down]
-        rows = rows.loc[: far[0]].iloc[:-1] if len(far) else rows
-        rows = rows[(rows["dy"] > 0) & (rows["dx"] <= aside)].sort_values(["dy", "number_no"])
-        if len(rows):
-            used.add(rows["number_no"].iloc[0])
-            out.append((page["doc_id"].iloc[0], page["page"].iloc[0], no, rows["number_no"].iloc[0]))
-    return pd.DataFrame(out, columns=["doc_id", "page", "word_no", "number_no"])
+def _taken(heads: list[dict], numbers: list[dict], down: float, aside: float) -> list[tuple[int, int]]:
+    """A page's prefixes in word order, each with the nearest free number below it: pairs of word numbers."""
+    at, used, out = [n["no"] for n in numbers], set(), []
+    for head in heads:
+        best = None
+        for i in range(bisect_right(at, head["no"]), len(numbers)):
+            if at[i] in used:
+                continue
+            dy = numbers[i]["top"] - head["top"]
+            if dy > down:
+                break
+            if dy > 0 and abs(numbers[i]["x0"] - head["x0"]) <= aside:
+                best = min(best or (dy, at[i]), (dy, at[i]))
+        if best:
+            used.add(best[1])
+            out.append((head["no"], best[1]))
+    return out
 
 
 def stitched(words: DataFrame, down: float = 30, aside: float = 60) -> DataFrame:
     """J5. Case candidates of words: whole numbers, and split ones: a prefix takes the nearest number that follows it below, near its column.
 
-    Numbers are used once, in word order, and a scan ends at the first free number that is more than `down` below. Pages of
-    several prefixes go through Python, a page at a time.
+    Numbers are used once, in word order, and a scan ends at the first free number that is more than `down` below. A page's
+    prefixes and numbers are one row, so no pairs are made; Python scans them.
     """
     inline = X.spaced(r"^(\d{4})\s*타\s*경\s*(\d+)$")
     prefix = X.spaced(r"^(\d{4})\s*타\s*경$")
@@ -48,20 +55,20 @@ def stitched(words: DataFrame, down: float = 30, aside: float = 60) -> DataFrame
     whole = words.filter(F.col("text").rlike(inline)).select("doc_id", "page", "word_no", "top", "x0", case(F.regexp_extract("text", inline, 1), F.regexp_extract("text", inline, 2)).alias("case_no"), F.lit("inline").alias("source"))
     heads = words.filter(F.col("text").rlike(prefix)).select("doc_id", "page", "word_no", "top", "x0", F.regexp_extract("text", prefix, 1).alias("_year"))
     numbers = words.filter(F.col("text").rlike(r"^\d+$")).select("doc_id", "page", F.col("word_no").alias("number_no"), F.col("top").alias("_top"), F.col("x0").alias("_x0"), F.col("text").alias("_number"))
-    pairs = heads.join(numbers, ["doc_id", "page"]).filter("number_no > word_no")
-    pairs = pairs.select("doc_id", "page", "word_no", "number_no", (F.col("_top") - F.col("top")).alias("dy"), F.abs(F.col("_x0") - F.col("x0")).alias("dx"))
-    on_page = Window.partitionBy("doc_id", "page")
-    pairs = pairs.withColumn("_several", F.min("word_no").over(on_page) < F.max("word_no").over(on_page))
-    alone = pairs.filter("not _several")
-    # the scan of a prefix stops at the first number too far below
-    by_prefix = Window.partitionBy("doc_id", "page", "word_no")
-    alone = alone.withColumn("_stop", F.min(F.when(F.col("dy") > down, F.col("number_no"))).over(by_prefix))
-    alone = alone.filter((F.col("dy") > 0) & (F.col("dy") <= down) & (F.col("dx") <= aside) & (F.col("_stop").isNull() | (F.col("number_no") < F.col("_stop"))))
-    plain = alone.withColumn("_r", F.row_number().over(by_prefix.orderBy("dy", "number_no"))).filter("_r = 1").select("doc_id", "page", "word_no", "number_no")
+    # the prefixes and the numbers of a page, in word order: as much as stands on one page
+    listed = lambda df, no, top, x0, name: df.filter(F.col(top).isNotNull() & F.col(x0).isNotNull()).groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.struct(F.col(no).cast("long").alias("no"), F.col(top).alias("top"), F.col(x0).alias("x0")))).alias(name))
+    pages = listed(heads, "word_no", "top", "x0", "heads").join(listed(numbers, "number_no", "_top", "_x0", "numbers"), ["doc_id", "page"])
     kinds = {f.name: f.dataType.simpleString() for f in words.schema}
-    ddl = f"doc_id {kinds['doc_id']}, page {kinds['page']}, word_no {kinds['word_no']}, number_no {kinds['word_no']}"
-    fought = pairs.filter("_several").drop("_several").groupBy("doc_id", "page").applyInPandas(lambda page: _greedy(page, down, aside), ddl)
-    taken = plain.unionByName(fought).join(heads, ["doc_id", "page", "word_no"]).join(numbers.select("doc_id", "page", "number_no", "_number"), ["doc_id", "page", "number_no"])
+
+    def work(batches):
+        for batch in batches:
+            pairs = [_taken(h, n, down, aside) for h, n in zip(batch.column("heads").to_pylist(), batch.column("numbers").to_pylist(), strict=True)]
+            row = pa.array([i for i, found in enumerate(pairs) for _ in found], pa.int64())
+            flat = [x for found in pairs for x in found]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(row), batch.column("page").take(row), pa.array([x for x, _ in flat], pa.int64()), pa.array([x for _, x in flat], pa.int64())], names=["doc_id", "page", "word_no", "number_no"])
+
+    taken = pages.mapInArrow(work, f"doc_id {kinds['doc_id']}, page {kinds['page']}, word_no long, number_no long")
+    taken = taken.join(heads, ["doc_id", "page", "word_no"]).join(numbers.select("doc_id", "page", "number_no", "_number"), ["doc_id", "page", "number_no"])
     split = taken.select("doc_id", "page", "word_no", "top", "x0", case(F.col("_year"), F.col("_number")).alias("case_no"), F.lit("prefix").alias("source"))
     return whole.unionByName(split)
 

@@ -17,7 +17,7 @@ TABLES: dict[str, tuple] = {
     "j": ((), """select l_orderkey ok, l_linenumber ln, l_partkey pk, l_suppkey sk, cast(l_quantity as int) q, cast(floor(l_extendedprice) as bigint) px, year(o_orderdate) y,
    row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey) seq
  from lineitem join orders on l_orderkey=o_orderkey"""),
-    "nf_rows": (("j",), """select cast(ok % 50 as int) doc_id, ok, cast(seq as int) seq,
+    "nf_rows": (("j",), """select cast(floor(ok / 300) as int) doc_id, ok, cast(seq as int) seq,
  case when seq=1 then concat(cast(y as TEXT),'타경',cast(ok as TEXT), case when ok%9=0 then concat(chr(10),cast(y as TEXT),'타경',cast(ok+1 as TEXT),chr(10),'(중복)') else '' end) else '' end case_cell,
  cast(ln as TEXT) item_cell,
  case when pk%7=0 then '근린시설' when pk%7=1 then '아파트' when pk%7=2 then '임야' else '' end use_cell,
@@ -29,18 +29,18 @@ TABLES: dict[str, tuple] = {
 from j"""),
     "nf_locs": (("nf_rows",), "select ok, seq, addr_cell src_addr, detail_cell src_use, case when seq%3=0 then replace(addr_cell,'경기도 ','') else addr_cell end out_addr, case when seq%2=0 then detail_cell else '대' end out_use from nf_rows"),
     "nf_notes": (("nf_rows",), "select ok, seq, note_cell raw_note, case when seq%4=0 then '' when seq%4=1 then note_cell when seq%4=2 then substring(note_cell,1,6) else replace(note_cell,'일괄매각','') end edit_note from nf_rows"),
-    "nf_pred": (("j",), f"select cast(ok%50 as int) doc_id, cast(y as TEXT)||'타경'||cast(ok as TEXT) case_no, cast(seq as int) seq, cast(ln as TEXT) item_no, {_GROUP.format('pk%7')} pred_grp, {_GROUP.format('(case when sk%10=0 then (pk+1)%6 else pk%6 end)')} truth_grp from j"),
-    "nf_words": ((), f"""select cast(user_id%10 as int) doc_id, cast(user_id as int) page, event_id word_no, cast(event_id%400 as double) top, cast((event_id*37)%500 as double) x0,
+    "nf_pred": (("j",), f"select cast(floor(ok / 300) as int) doc_id, cast(y as TEXT)||'타경'||cast(ok as TEXT) case_no, cast(seq as int) seq, cast(ln as TEXT) item_no, {_GROUP.format('pk%7')} pred_grp, {_GROUP.format('(case when sk%10=0 then (pk+1)%6 else pk%6 end)')} truth_grp from j"),
+    "nf_words": ((), f"""select cast(floor(user_id / 20) as int) doc_id, cast(user_id as int) page, event_id word_no, cast(event_id%400 as double) top, cast((event_id*37)%500 as double) x0,
  case event_type when 'signup' then concat('[',{_GROUP.format('event_id%6')},']') when 'error' then concat(cast(2020+event_id%5 as TEXT),'타경') when 'click' then cast(event_id as TEXT) when 'view' then concat(cast(2020+event_id%5 as TEXT),'타경',cast(event_id%300 as TEXT)) else '면적' end text from events"""),
     "nf_revisions": ((), "select conv_id rec, turn iter, md5(case when conv_id%3=0 then role when conv_id%3=1 then 'same' else text end) h, text cur, case when turn%2=0 then concat('  ',text,' ') else role end expected, conv_id%4=0 pass from conversations"),
     "nf_progress": ((), "select user_id job_id, ts, event_id seq, case when event_type='purchase' then 'done' when event_type='signup' then 'running' end status, case when event_type in ('click','view') then event_type end phase, case when event_type='error' then props end error from events"),
-    "nf_patch": ((), f"select o_custkey%20 job_id, cast(row_number() over (partition by o_custkey%20 order by o_orderkey)-1 as int) idx, {_GROUP.format('o_orderkey%7')} grp, case when o_orderkey%7=0 then '기타' when o_orderkey%13=0 then '없는그룹' end new_grp, case when o_orderkey%5=0 then concat('메모',cast(o_orderkey as TEXT)) end new_note, o_orderkey%11=0 deleted, case when o_orderkey%3=0 then cast(floor(o_totalprice) as bigint) end order_key from orders"),
+    "nf_patch": ((), f"select cast(floor(o_custkey / 75) as bigint) job_id, cast(row_number() over (partition by floor(o_custkey / 75) order by o_orderkey)-1 as int) idx, {_GROUP.format('o_orderkey%7')} grp, case when o_orderkey%7=0 then '기타' when o_orderkey%13=0 then '없는그룹' end new_grp, case when o_orderkey%5=0 then concat('메모',cast(o_orderkey as TEXT)) end new_note, o_orderkey%11=0 deleted, case when o_orderkey%3=0 then cast(floor(o_totalprice) as bigint) end order_key from orders"),
     "nf_files": ((), "select concat('0320 법원',cast(p_size as TEXT),case when p_size%4=0 then '' else '-완료' end) folder, concat(case when p_partkey%5=0 then '수정 ' when p_partkey%5=1 then 'CS_' when p_partkey%5=2 then '0320 ' else '' end, cast(p_partkey as TEXT), case when p_partkey%2=0 then '.hwp' else '.pdf' end) name, p_partkey*10%997 length from part"),
     "nf_text": (("nf_rows",), {
         "duckdb": f"select doc_id, {_NOTICE.format(f'string_agg({_ROW_TEXT}, chr(10) order by ok, seq)')} text from nf_rows group by doc_id",
         "spark": f"select doc_id, {_NOTICE.format(f'array_join(transform(array_sort(collect_list(struct(ok, seq, {_ROW_TEXT} as l))), x -> x.l), chr(10))')} text from nf_rows group by doc_id",
     }),
-    "nf_corrections": ((), "select doc_id seq, cast(doc_id as TEXT) case_no, text signature_text, case doc_id%7 when 0 then '아파트' when 1 then '연립주택/다세대/빌라' when 2 then '단독주택,다가구주택' when 3 then '상가/오피스텔,근린시설' when 4 then '대지/임야/전답' when 5 then '기타' else '게재제외' end grp from documents where doc_id % 5 = 0"),
+    "nf_corrections": ((), "select doc_id seq, cast(doc_id as TEXT) case_no, text signature_text, case doc_id%7 when 0 then '아파트' when 1 then '연립주택/다세대/빌라' when 2 then '단독주택,다가구주택' when 3 then '상가/오피스텔,근린시설' when 4 then '대지/임야/전답' when 5 then '기타' else '게재제외' end grp from documents"),
 }
 
 SOURCES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "conversations")

@@ -14,6 +14,7 @@ from tidemill.plans import oracle_sql as Q
 from tidemill.plans.fixtures import load
 from tidemill.rules import spaced
 from tidemill.sources import files, logs
+from tidemill.streaming import jobs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -117,7 +118,25 @@ column_query("f22_keywords", "nf_rows", K, lambda: _join(F.array_sort(X.keywords
 column_query("f22_signature", "nf_rows", K, lambda: X.signature(F.array("addr_cell"), F.array("detail_cell"), c("note_cell")), "addr_cell || ' ' || detail_cell || ' ' || note_cell")
 column_query("f28_safe_label", "nf_files", "name, length", lambda: X.safe_label(c("folder")), "substring(regexp_replace(folder, '[^A-Za-z0-9가-힣()]+', '_', 'g'), 1, 80)")
 column_query("f31_case_numbers", "nf_text", "doc_id", lambda: _join(X.case_numbers(c("text"))), Q.joined(Q.case_numbers("text")))
-column_query("w11_list_numbers", "nf_notes", K, lambda: X.shorten_list(c("raw_note")), r"regexp_replace(regexp_replace(raw_note, '목록1,2,3,(5|7|8|9|\d\d)', '목록1~3,\1', 'g'), '목록1,2,3,6', '목록1~3,6', 'g')")
+_W11 = "concat(raw_note, ' 목록', cast(seq as TEXT), ',', cast(seq + 1 as TEXT), case when ok % 2 = 0 then concat(',', cast(seq + 2 as TEXT)) else '' end, ' 및 목록', cast(ok % 3 as TEXT), ',', cast(seq + 20 as TEXT), ',', cast(seq + 21 as TEXT), ',', cast(seq + 22 as TEXT), ',3 제외')"
+_LISTS = Q.lit(R.LISTED)
+
+
+@query("w11_list_numbers", Q.over(
+    "nf_notes",
+    f"t as (select ok, seq, {_W11.replace('TEXT', 'VARCHAR')} t from nf_notes)",
+    f"m as (select ok, seq, unnest(regexp_extract_all(t, {_LISTS}, 2)) l, generate_subscripts(regexp_extract_all(t, {_LISTS}, 2), 1) i from t)",
+    "v as (select ok, seq, i, cast(unnest(string_split(l, ',')) as int) v, generate_subscripts(string_split(l, ','), 1) p from m)",
+    "g as (select *, case when v = lag(v) over (partition by ok, seq, i order by p) + 1 then 0 else 1 end s from v)",
+    "k as (select *, sum(s) over (partition by ok, seq, i order by p) k from g)",
+    "r as (select ok, seq, i, k, min(v) a, max(v) b from k group by all)",
+    "f as (select ok, seq, i, '목록' || string_agg(case when a = b then a::varchar when b = a + 1 then a || ',' || b else a || '~' || b end, ',' order by k) f from r group by all)",
+    f"c as (select ok, seq, unnest(string_split_regex(t, {_LISTS})) x, generate_subscripts(string_split_regex(t, {_LISTS}), 1) i from t)",
+) + "select c.ok, c.seq, string_agg(x || coalesce(f, ''), '' order by c.i) as value from c left join f using (ok, seq, i) group by c.ok, c.seq")
+def w11_list_numbers(spark, sf):
+    return load(spark, sf, "nf_notes").select("ok", "seq", F.expr(_W11.replace("TEXT", "STRING")).alias("t")).select("ok", "seq", X.shorten_list(c("t")).alias("value"))
+
+
 column_query("p9_has_share", "nf_rows", K, lambda: X.has_share(c("detail_cell")), f"regexp_matches(detail_cell, '{'|'.join(R.SHARE_WORDS)}')")
 column_query("a6_shares", "nf_rows", K, lambda: _join(X.shares(c("addr_cell"), c("detail_cell"))), Q.joined(Q.shares("addr_cell", "detail_cell")))
 column_query("p7_alias", "nf_locs", K, lambda: places.resolve("out_use", "src_use"), "coalesce(nullif(out_use, ''), nullif(src_use, ''), '')")
@@ -244,14 +263,18 @@ def w1_ditto(spark, sf):
     return places.ditto(t, "address", ["doc_id", "ok"], ["seq"]).select("ok", "seq", "address")
 
 
-_A8 = "case when l_partkey % 8 = 0 then detail_cell || ' 제시외 창고 10.5㎡ 다용도실 ' || q || '㎡' else detail_cell end"
+_A8 = "concat(detail_cell, case (ok + seq) % 4 when 0 then concat(' 제시외 창고 10.5㎡ 다용도실 ', item_cell, '㎡') when 1 then concat(chr(10), '제시외-주택 벽돌조 단층 ', item_cell, '1.3㎡', chr(10), '-욕실·변소 조적조 2층 1.25㎡', chr(10), '-감나무 3주 -매실 ', item_cell, '주 압축기 2식') when 2 then ' 제시외 창고 7㎡' else '' end)"
+_UN = Q.lit(R.UNREGISTERED)
 
 
-@query("a8_unregistered", Q.over("nf_rows") + r"select ok, seq, cast(2 as bigint) n, '제시외 창고등' || regexp_replace(cast(cast(10.5 + cast(regexp_extract(detail_cell, '2층 (\d+)㎡', 1) as int) as decimal(18,4)) as varchar), '\.?0+$', '') || '㎡' summary from nf_rows where (ok + seq) % 8 = 0")
+@query("a8_unregistered", Q.over(
+    "nf_rows",
+    f"d as (select ok, seq, regexp_extract({_A8}, '(?s)제시외(.*)$', 1) d from nf_rows)",
+    f"i as (select ok, seq, unnest(regexp_extract_all(d, {_UN}, 1)) nm, cast(unnest(regexp_extract_all(d, {_UN}, 2)) as decimal(18,4)) a, unnest(regexp_extract_all(d, {_UN}, 3)) unit, generate_subscripts(regexp_extract_all(d, {_UN}), 1) p from d)",
+    "s as (select ok, seq, unit, count(*) n, sum(a) t, arg_min(nm, (length(nm), p)) nm from i group by ok, seq, unit)",
+) + r"select ok, seq, unit, n, '제시외 ' || nm || '등' || regexp_replace(cast(t as varchar), '\.?0+$', '') || unit summary from s where n >= 2")
 def a8_unregistered(spark, sf):
-    t = load(spark, sf, "nf_rows").filter((c("ok") + c("seq")) % 8 == 0)
-    extra = F.concat(c("detail_cell"), F.lit(" 제시외 창고 10.5㎡ 다용도실 "), F.regexp_extract("detail_cell", r"2층 (\d+)㎡", 1), F.lit("㎡"))
-    return places.unregistered(t.select("ok", "seq", extra.alias("d")), ["ok", "seq"], "d")
+    return places.unregistered(load(spark, sf, "nf_rows").select("ok", "seq", F.expr(_A8).alias("d")), ["ok", "seq"], "d")
 
 
 _HITS = {
@@ -399,35 +422,44 @@ def p11_header_words(spark, sf):
 
 _STITCH = (
     r"inl as (select doc_id, page, word_no, top, x0, text case_no, 'inline' source from nf_words where regexp_matches(text, '^\d{4}타경\d+$'))",
-    r"hd as (select doc_id, page, word_no, top, x0, substring(text, 1, 4) y from nf_words where regexp_matches(text, '^\d{4}타경$'))",
-    r"nb as (select doc_id, page, word_no number_no, top t2, x0 x2, text num from nf_words where regexp_matches(text, '^\d+$'))",
-    "pa as (select h.*, number_no, num, t2 - top dy, abs(x2 - x0) dx, min(case when t2 - top > 30 then number_no end) over (partition by h.doc_id, h.page, h.word_no) stop from hd h join nb n on h.doc_id = n.doc_id and h.page = n.page and n.number_no > h.word_no)",
-    "pb as (select *, row_number() over (partition by doc_id, page, word_no order by dy, number_no) r from pa where dy > 0 and dy <= 30 and dx <= 60 and (stop is null or number_no < stop))",
+    r"hl as (select doc_id, page, list({'no': word_no, 't': top, 'x': x0, 'y': substring(text, 1, 4)} order by word_no) hs from nf_words where regexp_matches(text, '^\d{4}타경$') group by doc_id, page)",
+    r"nl as (select doc_id, page, list({'no': word_no, 't': top, 'x': x0, 'num': text} order by word_no) ns from nf_words where regexp_matches(text, '^\d+$') group by doc_id, page)",
+    # one prefix of a page after the other, with the numbers taken so far
+    """st as (select doc_id, page, 0 k, cast([] as bigint[]) used, cast(null as bigint) pick, hs, ns from hl join nl using (doc_id, page)
+ union all select doc_id, page, k + 1, case when p is null then used else list_append(used, p) end, p, hs, ns from (
+  select *, list_sort(list_transform(list_filter(free, lambda n: n.t - h.t > 0 and n.t - h.t <= 30 and abs(n.x - h.x) <= 60 and (stop is null or n.no < stop)), lambda n: {'dy': n.t - h.t, 'no': n.no}))[1].no p from (
+   select *, list_filter(free, lambda n: n.t - h.t > 30)[1].no stop from (
+    select *, list_filter(ns, lambda n: n.no > h.no and not list_contains(used, n.no)) free from (select *, hs[k + 1] h from st where k < len(hs))))))""",
+    "wd as (select doc_id, page, hs[k].no word_no, hs[k].t top, hs[k].x x0, hs[k].y || '타경' || list_filter(ns, lambda n: n.no = pick)[1].num case_no, 'prefix' source from st where pick is not null union all select * from inl)",
 )
 
 
-@query("j5_stitched")
+def _recursive(sql: str) -> str:
+    return sql.replace("with ", "with recursive ", 1)
+
+
+@query("j5_stitched", _recursive(Q.over("nf_words", *_STITCH)) + "select doc_id, page, word_no, top, x0, case_no, source from wd")
 def j5_stitched(spark, sf):
     return truth.stitched(load(spark, sf, "nf_words"))
 
 
 def _tables(spark, sf):
-    t = load(spark, sf, "nf_rows").filter("seq <= 3")
+    t = load(spark, sf, "nf_rows")
     return t.select("doc_id", (c("ok") % 7).cast("int").alias("page"), c("ok").alias("table_no"), c("seq").cast("long").alias("row_no"), F.when((c("ok") % 5 == 0) & (c("seq") == 1), "사건번호").otherwise(c("case_cell")).alias("cell"), (c("ok") % 400).cast("double").alias("top"), (c("seq") * 10).cast("double").alias("x0"))
 
 
-@query("p12_table_cases", Q.over("nf_rows") + r"select doc_id, cast(ok % 7 as int) page, cast(seq as bigint) word_no, cast(ok % 400 as double) top, cast(seq * 10 as double) x0, regexp_extract(case_cell, '\d{4}타경\d+') case_no, 'table' source from nf_rows where seq <= 3 and ok % 5 <> 0 and regexp_matches(case_cell, '\d{4}타경\d+')")
+@query("p12_table_cases", Q.over("nf_rows") + r"select doc_id, cast(ok % 7 as int) page, cast(seq as bigint) word_no, cast(ok % 400 as double) top, cast(seq * 10 as double) x0, regexp_extract(case_cell, '\d{4}타경\d+') case_no, 'table' source from nf_rows where ok % 5 <> 0 and regexp_matches(case_cell, '\d{4}타경\d+')")
 def p12_table_cases(spark, sf):
     return truth.table_cases(_tables(spark, sf))
 
 
 def _whole(spark, sf):
-    """Whole-number candidates of words, and of tables."""
+    """Candidates of words, stitched ones among them, and of tables."""
     words = load(spark, sf, "nf_words")
-    return words, truth.candidates(truth.stitched(words).filter("source = 'inline'"), truth.table_cases(_tables(spark, sf)))
+    return words, truth.candidates(truth.stitched(words), truth.table_cases(_tables(spark, sf)))
 
 
-_CAND = (*Q.chain("nf_rows", "duckdb"), _STITCH[0], r"tb as (select doc_id, cast(ok % 7 as int) page, cast(seq as bigint) word_no, cast(ok % 400 as double) top, cast(seq * 10 as double) x0, regexp_extract(case_cell, '\d{4}타경\d+') case_no, 'table' source from nf_rows where seq <= 3 and ok % 5 <> 0 and regexp_matches(case_cell, '\d{4}타경\d+'))", "cand as (select *, 0 src_order from inl union all select *, 1 from tb)", "top1 as (select doc_id, page, case_no, top, x0, source from cand qualify row_number() over (partition by doc_id, page, case_no order by top, src_order, word_no, x0) = 1)")
+_CAND = (*Q.chain("nf_rows", "duckdb"), *_STITCH, r"tb as (select doc_id, cast(ok % 7 as int) page, cast(seq as bigint) word_no, cast(ok % 400 as double) top, cast(seq * 10 as double) x0, regexp_extract(case_cell, '\d{4}타경\d+') case_no, 'table' source from nf_rows where ok % 5 <> 0 and regexp_matches(case_cell, '\d{4}타경\d+'))", "cand as (select *, 0 src_order from wd union all select *, 1 from tb)", "top1 as (select doc_id, page, case_no, top, x0, source from cand qualify row_number() over (partition by doc_id, page, case_no order by top, src_order, word_no, x0) = 1)")
 _ASSIGN = (
     *_CAND,
     f"gh as (select doc_id, page, top gtop, x0 gx0, regexp_extract({Q.strip('text')}, {_HW}, 1) grp from nf_words where regexp_matches({Q.strip('text')}, {_HW}))",
@@ -436,12 +468,12 @@ _ASSIGN = (
 )
 
 
-@query("u1_candidates", Q.over("nf_words", *_CAND) + "select source, count(*) n from cand group by source")
+@query("u1_candidates", _recursive(Q.over("nf_words", *_CAND)) + "select source, count(*) n from cand group by source")
 def u1_candidates(spark, sf):
     return _whole(spark, sf)[1].groupBy("source").agg(F.count("*").alias("n"))
 
 
-@query("w10_topmost", Q.over("nf_words", *_CAND) + "select * from top1")
+@query("w10_topmost", _recursive(Q.over("nf_words", *_CAND)) + "select * from top1")
 def w10_topmost(spark, sf):
     return truth.topmost(_whole(spark, sf)[1])
 
@@ -451,17 +483,17 @@ def _assigned(spark, sf):
     return words, truth.assign_groups(truth.topmost(found), truth.group_headers(words))
 
 
-@query("j4_w5_assign_groups", Q.over("nf_words", *_ASSIGN) + "select doc_id, page, case_no, top, x0, source, grp from asg")
+@query("j4_w5_assign_groups", _recursive(Q.over("nf_words", *_ASSIGN)) + "select doc_id, page, case_no, top, x0, source, grp from asg")
 def j4_w5_assign_groups(spark, sf):
     return _assigned(spark, sf)[1].select("doc_id", "page", "case_no", "top", "x0", "source", "grp")
 
 
-@query("a5_cases_by_group", Q.over("nf_words", *_ASSIGN, "f as (select doc_id, grp, case_no, min((page, top, x0)) m from asg group by 1, 2, 3)") + "select doc_id, grp, string_agg(case_no, '|' order by m, case_no) cases from f group by 1, 2")
+@query("a5_cases_by_group", _recursive(Q.over("nf_words", *_ASSIGN, "f as (select doc_id, grp, case_no, min((page, top, x0)) m from asg group by 1, 2, 3)")) + "select doc_id, grp, string_agg(case_no, '|' order by m, case_no) cases from f group by 1, 2")
 def a5_cases_by_group(spark, sf):
     return truth.cases_by_group(_assigned(spark, sf)[1]).withColumn("cases", _join("cases"))
 
 
-@query("a10_self_check", Q.over("nf_words", *_ASSIGN, r"said as (select distinct doc_id, regexp_extract(text, '\d{4}타경\d+') case_no from nf_words where regexp_matches(text, '\d{4}타경\d+'))", "got as (select distinct doc_id, case_no from asg)") + "select doc_id, count(s.case_no) in_text, count(g.case_no) extracted, count(*) - count(g.case_no) missing, count(*) - count(s.case_no) as unknown, bool_and(s.case_no is not null and g.case_no is not null) passed from (select doc_id, case_no from said union select doc_id, case_no from got) a left join said s using (doc_id, case_no) left join got g using (doc_id, case_no) group by doc_id")
+@query("a10_self_check", _recursive(Q.over("nf_words", *_ASSIGN, r"said as (select distinct doc_id, regexp_extract(text, '\d{4}타경\d+') case_no from nf_words where regexp_matches(text, '\d{4}타경\d+'))", "got as (select distinct doc_id, case_no from asg)")) + "select doc_id, count(s.case_no) in_text, count(g.case_no) extracted, count(*) - count(g.case_no) missing, count(*) - count(s.case_no) as unknown, bool_and(s.case_no is not null and g.case_no is not null) passed from (select doc_id, case_no from said union select doc_id, case_no from got) a left join said s using (doc_id, case_no) left join got g using (doc_id, case_no) group by doc_id")
 def a10_self_check(spark, sf):
     return truth.self_check(*_assigned(spark, sf))
 
@@ -520,22 +552,28 @@ def a4_accuracy(spark, sf):
 # ---- review ----
 def _patched(spark, sf):
     t = load(spark, sf, "nf_patch")
-    records = t.select("job_id", "idx", "grp", F.lit("").alias("note"), F.concat(F.lit("c"), c("idx").cast("string")).alias("case_no"))
-    edits = t.filter("new_note is not null").select("job_id", "idx", F.lit("note").alias("field"), c("new_note").alias("value")).unionByName(t.select("job_id", "idx", F.lit("grp").alias("field"), F.lit("x").alias("value")))
-    return t, review.patch(records, t.filter("new_grp is not null").select("job_id", "idx", "new_grp"), edits)
+    place = lambda a, u: F.array(F.struct(a.alias("address"), u.alias("use")))
+    records = t.select("job_id", "idx", "grp", F.lit("").alias("note"), F.concat(F.lit("c"), c("idx").cast("string")).alias("case_no"), place(c("grp"), F.lit("대")).alias("locations"))
+    field = lambda name, value, at: t.select("job_id", "idx", F.lit(at).alias("at"), F.lit(name).alias("field"), value.alias("value"))
+    edits = field("note", c("new_note"), 2).filter("value is not null").unionByName(field("note", F.lit("earlier"), 1).filter("idx % 2 = 0")).unionByName(field("grp", F.lit("x"), 1))
+    changes = t.filter("new_grp is not null").select("job_id", "idx", F.lit(2).alias("at"), "new_grp").unionByName(t.filter("idx % 4 = 0").select("job_id", "idx", F.lit(1).alias("at"), F.lit(R.OTHER).alias("new_grp")))
+    places_ = t.filter("idx % 3 = 0").select("job_id", "idx", F.lit(1).alias("at"), place(c("new_note"), F.lit(None).cast("string")).alias("locations"))
+    return t, review.patch(records, changes, edits, places_)
 
 
 _VALID = Q.in_groups("new_grp", (R.EXCLUDED,))
+_PATCHED = f"pt as (select job_id, idx, grp old_grp, case when {_VALID} then new_grp when idx % 4 = 0 then '기타' else grp end grp, coalesce(new_note, case when idx % 2 = 0 then 'earlier' else '' end) note, case when idx % 3 = 0 then coalesce(new_note, '') || '/' else grp || '/대' end locations from nf_patch)"
 
 
-@query("j7_patch", Q.over("nf_patch") + f"select job_id, idx, case when {_VALID} then new_grp else grp end grp, coalesce(new_note, '') note, 'c' || idx case_no, grp old_grp from nf_patch")
+@query("j7_patch", Q.over("nf_patch", _PATCHED) + "select job_id, idx, grp, note, 'c' || idx case_no, old_grp, locations from pt")
 def j7_patch(spark, sf):
-    return _patched(spark, sf)[1]
+    return _patched(spark, sf)[1].withColumn("locations", _join(F.transform("locations", lambda x: F.concat_ws("/", x["address"], x["use"]))))
 
 
-@query("f26_corrections", Q.over("nf_patch") + f"select job_id, idx, 'c' || idx case_no, coalesce(new_note, '') note, grp original_group, new_grp \"group\", coalesce(new_note, '') signature_text from nf_patch where {_VALID} and new_grp <> grp")
+@query("f26_corrections", Q.over("nf_patch", _PATCHED) + "select job_id, idx, 'c' || idx case_no, note, old_grp original_group, grp \"group\", note signature_text, locations from pt where grp <> old_grp")
 def f26_corrections(spark, sf):
-    return review.corrections(_patched(spark, sf)[1], c("note"), F.current_timestamp()).drop("timestamp")
+    found = review.corrections(_patched(spark, sf)[1], c("note"), F.current_timestamp()).drop("timestamp")
+    return found.withColumn("locations", _join(F.transform("locations", lambda x: F.concat_ws("/", x["address"], x["use"]))))
 
 
 @query("j8_delete", Q.over("nf_patch") + "select job_id, idx, grp from nf_patch where not deleted")
@@ -554,7 +592,7 @@ def o2_explicit_order(spark, sf):
 
 _J3 = (
     f"ex as (select seq, case_no, grp, signature_text, {Q.keywords('signature_text')} e from (select * from nf_corrections order by seq desc limit 200) x)",
-    f"tg as (select doc_id, {Q.keywords('text')} t from documents where doc_id % 5 <> 0)",
+    f"tg as (select doc_id, {Q.keywords('text')} t from documents)",
     "ov as (select doc_id, seq, count(*) o from (select doc_id, unnest(t) w from tg) a join (select seq, unnest(e) w from ex) b using (w) group by 1, 2)",
     "pr as (select doc_id, seq, case_no, grp, signature_text, o, len(t) nt, len(e) ne from ov join tg using (doc_id) join ex using (seq))",
     "sm as (select doc_id, seq, case_no, grp, signature_text, row_number() over (partition by doc_id order by cast(o as double) / (nt + ne - o) desc, seq) as rank from pr qualify rank <= 3)",
@@ -562,7 +600,7 @@ _J3 = (
 
 
 def _similar(spark, sf):
-    targets = load(spark, sf, "documents").filter("doc_id % 5 <> 0").select("doc_id", "text")
+    targets = load(spark, sf, "documents").select("doc_id", "text")
     return review.similar(targets, load(spark, sf, "nf_corrections"), "doc_id", "text")
 
 
@@ -601,12 +639,11 @@ def s5_append_log(spark, sf):
     return logs.read_log(spark, path).select("seq", "case_no", "grp")
 
 
-@query("s6_results", Q.over("nf_rows", *Q.RECORDS) + 'select rec_no, case_no, item_no, "use" use_, len(locations) n, note from rec where doc_id = 7')
+@query("s6_results", Q.over("nf_rows", *Q.RECORDS) + 'select rec_no, case_no, item_no, "use" use_, len(locations) n, note, doc_id job_id from rec')
 def s6_results(spark, sf):
     records, path = _records(spark, sf).withColumnRenamed("doc_id", "job_id").drop("price_value"), logs.shared_path(spark, "results")
     logs.write_results(records, path)
-    found = logs.read_results(spark, path, records.schema, 7)
-    return found.select("rec_no", "case_no", "item_no", c("use").alias("use_"), F.size("locations").cast("bigint").alias("n"), "note")
+    return logs.read_results(spark, path, records.schema).select("rec_no", "case_no", "item_no", c("use").alias("use_"), F.size("locations").cast("bigint").alias("n"), "note", "job_id")
 
 
 # ---- revisions and progress ----
@@ -641,6 +678,39 @@ def t2_fold_state(spark, sf):
     return history.fold_state(load(spark, sf, "nf_progress"), ["status", "phase", "error"])
 
 
+# ---- streams, run to the end of what is there ----
+@query("t1_last_corrections", Q.over("nf_corrections") + "select seq, case_no, grp from nf_corrections order by seq desc limit 200")
+def t1_last_corrections(spark, sf):
+    log, path, target = load(spark, sf, "nf_corrections"), logs.shared_path(spark, "feed"), logs.shared_path(spark, "last")
+    checkpoint = logs.shared_path(spark, "checkpoint")
+    for part in (0, 1):
+        logs.append_corrections(log.filter(F.col("seq") % 2 == part), path)
+        jobs.refresh_last(spark, path, target, checkpoint).awaitTermination()
+    return jobs.last_corrections(spark, target).select("seq", "case_no", "grp")
+
+
+_AD = "concat_ws(' ', a, dt)"
+_T3 = (
+    *_SEG,
+    f"b1 as (select doc_id, block_no, case_no, block_text, list_filter(regexp_extract_all(block_text, '[\\d,]{{4,}}'), lambda p: contains(p, ',')) pr, list_transform(regexp_extract_all(block_text, {Q.lit(R.TEXT_ADDRESS)}, 1), lambda a: {Q.strip('a')}) ad, regexp_extract(block_text, {Q.lit(spaced(R.TEXT_USE))}, 1) u from blocks)",
+    "b2 as (select *, case when len(ad) > 0 then ad else [''] end al, case when len(ad) > 0 then '' else block_text end dt from b1)",
+    "ct as (select doc_id, case_no, block_text as text from b1)", Q.flags_sql("ct"),
+    "l0 as (select doc_id, block_no, case_no, pr, u, dt, unnest(al) a, generate_subscripts(al, 1) - 1 pos from b2)",
+    f"l1 as (select *, {Q.normal_address(_AD)} address, {Q.normal_use('u')} use_cell from l0)",
+)
+
+
+@query("t3_ingest", Q.over("nf_text", *_T3) + f"select l.doc_id, l.block_no rec_no, c.grp, cast(pos as int) pos, case when pos = 0 then l.case_no else '' end case_cell, address, use_cell, case when pos = 0 then coalesce(pr[1], '') || case when coalesce(pr[2], pr[1], '') <> '' then chr(10) || coalesce(pr[2], pr[1]) else '' end else '' end price_cell, '2023. 7. 3. 10:00' sale_date from l1 l join cls c on l.doc_id = c.doc_id and l.case_no = c.case_no where {Q.in_groups('c.grp')}")
+def t3_ingest(spark, sf):
+    """Notices as files, one each, taken in by the stream and published; a second run over the same folder does nothing again."""
+    folder, out, checkpoint, done = (logs.shared_path(spark, n) for n in ("notices", "published", "checkpoint", "done"))
+    load(spark, sf, "nf_text").repartition("doc_id").write.partitionBy("doc_id").text(folder)
+    for _ in range(2):
+        jobs.ingest(spark, folder, lambda rows, epoch: rows.write.mode("overwrite").parquet(f"{out}/epoch={epoch}"), checkpoint, done).awaitTermination()
+    found = spark.read.parquet(out).withColumn("doc_id", F.regexp_extract("job_id", r"doc_id=(\d+)", 1).cast("int"))
+    return found.select("doc_id", "rec_no", "grp", "pos", "case_cell", "address", "use_cell", "price_cell", "sale_date")
+
+
 # ---- files and words ----
 @query("s1_triage", Q.over("nf_files") + "select name, length, case when name like '%.pdf' then 'pdf' when length % 3 = 0 then 'hwpx' when length % 3 = 1 then 'hwp5' else 'text' end kind from nf_files")
 def s1_triage(spark, sf):
@@ -648,14 +718,12 @@ def s1_triage(spark, sf):
     return load(spark, sf, "nf_files").select("name", "length", files.kind(c("name"), head).alias("kind"))
 
 
-@query("s2_whole_texts", "select count(*) texts, sum(length(text))::bigint chars, sum(length(text) - length(replace(text, chr(10), '')))::bigint breaks from documents")
+@query("s2_whole_texts", "select doc_id, text || chr(10) as text from documents")
 def s2_whole_texts(spark, sf):
-    """Documents written as one file a partition's row, and read back whole."""
+    """Documents written as a file each, and read back whole."""
     path = logs.shared_path(spark, "texts")
-    docs = load(spark, sf, "documents").select("text")
-    docs.select(F.concat(F.replace("text", F.lit("\n"), F.lit("\x02")), F.lit("\x03")).alias("value")).write.text(path)
-    back = files.read_notices(spark, path).select(F.explode(F.split("text", "\x03\n")).alias("t")).filter("t <> ''").select(F.replace("t", F.lit("\x02"), F.lit("\n")).alias("t"))
-    return back.agg(F.count("*").alias("texts"), F.sum(F.length("t")).alias("chars"), F.sum(F.length("t") - F.length(F.replace("t", F.lit("\n"), F.lit("")))).alias("breaks"))
+    load(spark, sf, "documents").select("doc_id", "text").write.partitionBy("doc_id").text(path)
+    return files.read_notices(spark, path).select(F.regexp_extract("path", r"doc_id=(\d+)", 1).cast("bigint").alias("doc_id"), "text")
 
 
 @query("s8_pair_files", Q.over("nf_files", "d as (select *, trim(replace(folder, '-완료', '')) lb, regexp_replace(name, '\\.[^.]*$', '') st from nf_files where contains(folder, '-완료'))", r"r as (select folder, name from d where regexp_matches(name, '\.hwpx?$') qualify row_number() over (partition by folder order by case when starts_with(st, split_part(lb, ' ', 1)) then 0 when starts_with(st, 'CS_') then 1 else 2 end, length desc, name) = 1)", r"f as (select folder, name from d where regexp_matches(name, '\.pdf$') qualify row_number() over (partition by folder order by case when starts_with(name, '수정') then 0 when starts_with(st, split_part(lb, ' ', 1)) or (length(split_part(lb, ' ', 1)) > 2 and contains(st, split_part(lb, ' ', 1))) or (length(split_part(lb, ' ', 2)) > 2 and contains(st, split_part(lb, ' ', 2))) then 1 else 2 end, name) = 1)") + "select coalesce(r.folder, f.folder) folder, r.name raw, f.name final from r full join f on r.folder = f.folder")

@@ -34,6 +34,9 @@ def spaced(pattern: str) -> str:
 
 GROUPS = ["아파트", "연립주택/다세대/빌라", "단독주택,다가구주택", "상가/오피스텔,근린시설", "대지/임야/전답", "기타"]
 OTHER, EXCLUDED = "기타", "게재제외"
+#: W11: a list of numbers. A8: an item of what isn't registered: name, what lies between, amount, unit.
+LISTED = r"(목록)(\d+(?:,\d+)+)"
+UNREGISTERED = r"([가-힣·]+)(?:[^0-9㎡]|\d+층)*?(\d+(?:\.\d+)?)\s*(㎡|식|주)"
 EDITABLE = ["case_no", "dup_tag", "item_no", "price", "min_price", "note", "locations"]
 
 PROVINCES = [

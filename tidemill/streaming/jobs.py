@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tidemill.operators import rows
+from tidemill.functions import text as X
+from tidemill.operators import publish, rows
 from tidemill.sources import logs
 
 
@@ -18,12 +19,26 @@ def correction_counts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def refresh_last(spark: SparkSession, path: str, target: str, checkpoint: str, n: int = 200) -> StreamingQuery:
-    """T1. After each micro-batch the last n corrections are written anew to target."""
+    """T1. After each micro-batch the last n corrections stand in a new version under target.
+
+    A version is made from the one before and the batch alone. Versions are never overwritten while they are read; a batch that
+    is run again writes its own version again.
+    """
+
+    def refresh(batch: DataFrame, epoch: int) -> None:
+        known = last_corrections(batch.sparkSession, target, before=epoch) if epoch else batch.limit(0)
+        known.unionByName(batch).orderBy(F.desc("seq")).limit(n).write.mode("overwrite").parquet(f"{target}/version={epoch}")
+
+    rows = spark.readStream.schema(logs.CORRECTION).json(path).filter("case_no is not null")
+    return rows.writeStream.foreachBatch(refresh).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
-    def refresh(batch: DataFrame, _: int) -> None:
-        logs.read_log(batch.sparkSession, path).orderBy(F.desc("seq")).limit(n).write.mode("overwrite").parquet(target)
 
-    return spark.readStream.schema(logs.CORRECTION).json(path).writeStream.foreachBatch(refresh).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def last_corrections(spark: SparkSession, target: str, before: int | None = None) -> DataFrame:
+    """T1. The newest version that refresh_last wrote."""
+    found = spark.read.schema(f"{logs.CORRECTION}, version long").parquet(target)
+    found = found if before is None else found.filter(F.col("version") < before)
+    newest = found.agg(F.max("version")).first()[0]
+    return found.filter(F.col("version") == F.lit(newest)).drop("version")
 
 
 def job_state(events: DataFrame, fields: list[str], late: str = "10 minutes", job: str = "job_id", ts: str = "ts", order: str = "seq") -> DataFrame:
@@ -33,16 +48,35 @@ def job_state(events: DataFrame, fields: list[str], late: str = "10 minutes", jo
     return events.withWatermark(ts, late).groupBy(job).agg(*latest)
 
 
-def ingest(spark: SparkSession, folder: str, publish: Callable[[DataFrame, int], None], checkpoint: str, late: str = "1 day") -> StreamingQuery:
-    """T3. New notice files, each once by its name, cut to blocks with header fields; publish gets each micro-batch.
+def published_notices(texts: DataFrame) -> DataFrame:
+    """(job_id, text) -> published rows with header fields: blocks, their fields, normal addresses, classes by rule.
 
     A document arrives whole, so windows over its order hold within a micro-batch.
     """
-    files = spark.readStream.text(folder, wholetext=True).select(F.col("_metadata.file_name").alias("job_id"), F.col("_metadata.file_modification_time").alias("ts"), F.col("value").alias("text"))
-    fresh = files.withWatermark("ts", late).dropDuplicatesWithinWatermark(["job_id"])
+    blocks = rows.segment(texts, "job_id", "text").withColumn("f", X.block_fields(F.col("block_text")))
+    place = lambda a: F.struct(X.normal_address(F.concat_ws(" ", a, F.col("f.detail"))).alias("address"), X.normal_use(F.col("f.use")).alias("use"))
+    blank = F.lit("")
+    records = blocks.select("job_id", F.col("block_no").alias("rec_no"), "case_no", blank.alias("dup_tag"), blank.alias("item_no"), "f.price", "f.min_price", blank.alias("note"), F.transform("f.addresses", place).alias("locations"))
+    classes = publish.classify(blocks.select("job_id", "case_no", F.col("block_text").alias("text")), ("job_id", "case_no"))
+    table = publish.published(records.join(classes, ["job_id", "case_no"]), ("job_id", "rec_no"))
+    return table.join(rows.headers(texts.select("job_id", "text")).drop("text"), "job_id")
+
+
+def ingest(spark: SparkSession, folder: str, sink: Callable[[DataFrame, int], None], checkpoint: str, done: str) -> StreamingQuery:
+    """T3. New notice files, each once by its path, published; sink gets each micro-batch and should replace what it has of that batch.
+
+    Files of earlier batches stand in a table in the shared folder, so that a file counts as new however old its time is. A batch
+    that is run again does its own files again.
+    """
+    finished = "job_id string, epoch long"
+    spark.createDataFrame([], finished).write.mode("append").parquet(done)
+    # the source would leave out files much older than the newest one
+    files = spark.readStream.option("maxFileAge", "36500d").text(folder, wholetext=True).select(F.col("_metadata.file_path").alias("job_id"), F.col("value").alias("text"))
 
     def each(batch: DataFrame, epoch: int) -> None:
-        blocks = rows.segment(batch, "job_id", "text").join(rows.headers(batch.select("job_id", "text")).drop("text"), "job_id")
-        publish(blocks, epoch)
+        before = batch.sparkSession.read.schema(finished).parquet(done).filter(F.col("epoch") != epoch)
+        fresh = batch.dropDuplicates(["job_id"]).join(before, "job_id", "left_anti")
+        sink(published_notices(fresh), epoch)
+        fresh.select("job_id", F.lit(epoch).cast("long").alias("epoch")).write.mode("append").parquet(done)
 
-    return fresh.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return files.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
