@@ -35,7 +35,7 @@ CHI_SQUARE, TIMES, LEAST = 20.0, 3.0, 0.01
 #: Postings of a block, and examples that may be left when whole vectors are compared.
 BLOCK, FEW = 64, 50
 #: Part of what a text's terms can give that is left after the first blocks are added; each further round leaves a third.
-FIRST = 0.05
+FIRST = 0.01
 NEIGHBOURS, START = 15, 5
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -52,11 +52,17 @@ def digest(text: str) -> bytes:
 
 
 class Numbered:
-    """Term numbers of texts, with a bounded memory of what stands between spaces."""
+    """Term numbers of texts, with a bounded memory of what stands between spaces.
 
-    def __init__(self, numbers: dict[str, int], most: int = 400_000):
+    Sent to executors, where one worker's tasks share the memory of all steps; it goes when the worker drops what was sent.
+    """
+
+    def __init__(self, numbers: dict[str, int], most: int = 200_000):
         self.numbers, self.most, self.kept = numbers, most, {}
 
+    def __getstate__(self):
+        return {"numbers": self.numbers, "most": self.most, "kept": {}}
+
     def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """The known terms of a text in order of their numbers, and how often each stands there."""
         pieces = text.lower().split()
@@ -72,16 +78,6 @@ class Numbered:
         return np.unique(np.frombuffer(found, "<i4"), return_counts=True)
 
 
-_NUMBERED: list[Numbered] = []
-
-
-def numbered(numbers: dict[str, int]) -> Numbered:
-    """One memory a Python worker, so that tasks share it."""
-    if not _NUMBERED or _NUMBERED[0].numbers is not numbers:
-        _NUMBERED[:] = [Numbered(numbers)]
-    return _NUMBERED[0]
-
-
 def _ranges(starts: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The numbers of all ranges end to end."""
     return np.arange(size.sum()) + np.repeat(starts - (np.cumsum(size) - size), size)
@@ -89,7 +85,7 @@ def _ranges(starts: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Index:
-    """The examples. What is sent to executors is small; a worker lays out the postings when it first needs them."""
+    """The examples. What is sent to executors is small, and without the term numbers, which are sent once for all steps; a worker lays out the postings when it first needs them."""
 
     numbers: dict[str, int] = field(repr=False)
     idf: np.ndarray = field(repr=False)  # of each term, times its weight
@@ -106,31 +102,33 @@ class Index:
         return w / np.sqrt((w * w).sum()) if len(w) else w
 
     def __getstate__(self):
-        names = ("numbers", "idf", "ids", "labels", "row_starts", "row_terms", "row_counts", "digests")
-        return {n: getattr(self, n) for n in names} | {"_ready": False}
+        names = ("idf", "ids", "labels", "row_starts", "row_terms", "row_counts", "digests")
+        return {n: getattr(self, n) for n in names} | {"numbers": {}, "_ready": False}
 
     def lay_out(self) -> None:
-        size = np.diff(self.row_starts)
-        example = np.repeat(np.arange(len(size), dtype=np.int32), size)
+        self.row_sizes = np.diff(self.row_starts)
+        example = np.repeat(np.arange(len(self.row_sizes), dtype=np.min_scalar_type(len(self.row_sizes))), self.row_sizes)
         w = (1 + np.log(self.row_counts)) * self.idf[self.row_terms]
-        norms = np.sqrt(np.bincount(example, w * w, len(size)))
-        self.row_weights = w / norms[example]
+        w /= np.sqrt(np.bincount(example, w * w, len(self.row_sizes)))[example]
+        self.row_weights = w
         # by term, then by falling weight
-        by = np.argsort((self.row_terms.astype(np.int64) << 32) | ((1 - self.row_weights) * 0xFFFFFFFF).astype(np.int64), kind="stable")
-        self.posted, self.weights = example[by], self.row_weights[by].astype(np.float32)
+        key = ((1 - w) * 0xFFFFFFFF).astype(np.int64)
+        key |= self.row_terms.astype(np.int64) << 32
+        by = np.argsort(key, kind="stable")
+        del key
+        self.posted, self.weights = example[by], w[by].astype(np.float32)
         n = np.bincount(self.row_terms, minlength=len(self.idf))
         starts = np.cumsum(n) - n
         blocks = -(-n // BLOCK)
-        self.first = np.concatenate([[0], np.cumsum(blocks)])  # block of each term
-        of = np.repeat(np.arange(len(n)), blocks)
+        self.first = np.concatenate([[0], np.cumsum(blocks)]).astype(np.int32)  # block of each term
+        of = np.repeat(np.arange(len(n), dtype=np.int32), blocks)
         self.block_starts = starts[of] + (np.arange(len(of)) - self.first[of]) * BLOCK
-        self.block_sizes = np.minimum(self.block_starts + BLOCK, (starts + n)[of]) - self.block_starts
+        self.block_sizes = (np.minimum(self.block_starts + BLOCK, (starts + n)[of]) - self.block_starts).astype(np.int32)
         self.greatest = np.maximum.reduceat(self.weights, self.block_starts) if len(of) else np.zeros(0, np.float32)
         # how much less the next block of the term can give
         following = np.append(self.greatest[1:], np.float32(0))
         following[self.first[1:][blocks > 0] - 1] = 0.0
         self.falls = self.greatest - following
-        self.row_sizes = np.diff(self.row_starts)
         self.room = np.zeros(len(self.idf))
         self._ready = True
 
@@ -186,6 +184,7 @@ class Index:
 
 @dataclass
 class Model:
+    terms: Broadcast  # Numbered
     index: Broadcast
     curve: np.ndarray
     blank: float  # rate of label 1 among texts without any known term
@@ -248,11 +247,12 @@ def _sample(texts: DataFrame, labels: DataFrame, fold: int | None, folds: int, e
     return saved(small_batches(texts).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text")), "toxicity"), there
 
 
-def _document_frequencies(texts: DataFrame, numbers: Broadcast) -> np.ndarray:
+def _document_frequencies(texts: DataFrame, numbers: Broadcast, terms: int) -> np.ndarray:
     """Documents that hold each term, over the whole corpus, and last the number of all; summed by task and then by term."""
 
     def count(batches):
-        number, df, rows = numbered(numbers.value), np.zeros(len(numbers.value), np.int64), 0
+        number = numbers.value
+        df, rows = np.zeros(len(number.numbers), np.int64), 0
         for batch in batches:
             rows += batch.num_rows
             for text in batch.column(0).to_pylist():
@@ -261,7 +261,7 @@ def _document_frequencies(texts: DataFrame, numbers: Broadcast) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(np.append(-1, some), pa.int32()), pa.array(np.append(rows, df[some]), pa.int64())], names=["term", "n"])
 
     counted = texts.select("text").mapInArrow(count, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
-    df = np.zeros(len(numbers.value) + 1)
+    df = np.zeros(terms + 1)
     df[counted["term"].to_numpy()] = counted["n"].to_numpy()
     return df
 
@@ -285,12 +285,13 @@ def fit(docs: DataFrame, labels: DataFrame, fold: int | None = 0, folds: int = 5
     telling = F.least(F.lit(1.0), chi / CHI_SQUARE) * F.least(F.lit(1.0), F.abs(F.log(ratio)) / float(np.log(TIMES)))
     picked = _term_counts(sample).select("term", F.greatest(F.lit(LEAST), telling).alias("weight")).orderBy("term").toArrow()
     spark = docs.sparkSession
-    numbers = spark.sparkContext.broadcast({t: i for i, t in enumerate(picked["term"].to_pylist())})
-    df = _document_frequencies(texts, numbers)
+    known = {t: i for i, t in enumerate(picked["term"].to_pylist())}
+    numbers = spark.sparkContext.broadcast(Numbered(known))
+    df = _document_frequencies(texts, numbers, len(known))
     idf = np.log((df[-1] + 1) / (df[:-1] + 0.5)) * picked["weight"].to_numpy()
 
     def vectors(batches):
-        number = numbered(numbers.value)
+        number = numbers.value
         schema = pa.schema([("doc_id", pa.int64()), ("label", pa.int32()), ("digest", pa.binary()), ("terms", pa.list_(pa.int32())), ("counts", pa.list_(pa.int32()))])
         for batch in batches:
             texts = batch.column("text").to_pylist()
@@ -304,17 +305,16 @@ def fit(docs: DataFrame, labels: DataFrame, fold: int | None = 0, folds: int = 5
     digests: dict[bytes, list[int]] = {}
     for i, d in enumerate(rows["digest"].to_pylist()):
         digests.setdefault(d, []).append(i)
-    own = Index(numbers.value, idf, rows["doc_id"].to_numpy(), rows["label"].to_numpy(), lists[0].offsets.to_numpy() - lists[0].offsets[0].as_py(), lists[0].flatten().to_numpy(), lists[1].flatten().to_numpy(), digests)
+    own = Index(known, idf, rows["doc_id"].to_numpy(), rows["label"].to_numpy(), lists[0].offsets.to_numpy() - lists[0].offsets[0].as_py(), lists[0].flatten().to_numpy(), lists[1].flatten().to_numpy(), digests)
     index = spark.sparkContext.broadcast(own)
-    return _calibrated(index, sample, there)
+    return _calibrated(numbers, index, sample, there)
 
 
-def _calibrated(index: Broadcast, sample: DataFrame, there: dict[int, int]) -> Model:
+def _calibrated(numbers: Broadcast, index: Broadcast, sample: DataFrame, there: dict[int, int]) -> Model:
     """The curve that turns the examples' own votes, each without its text, into rates; labels weigh as in the whole learning set."""
 
     def votes(batches):
-        own = index.value
-        number = numbered(own.numbers)
+        own, number = index.value, numbers.value
         for batch in batches:
             out = []
             for label, text in zip(batch.column("label").to_pylist(), batch.column("text").to_pylist(), strict=True):
@@ -330,7 +330,7 @@ def _calibrated(index: Broadcast, sample: DataFrame, there: dict[int, int]) -> M
     empty = each * [int((blank & (label == y)).sum()) for y in (0, 1)]
     x = np.stack([np.ones(len(label)), rows["odds"].to_numpy(), rows["cosine"].to_numpy()], axis=1)[~blank]
     y = label[~blank]
-    return Model(index, _logistic(x, y.astype(float), each[y]), float((empty[1] + 0.1) / (empty.sum() + 1)))
+    return Model(numbers, index, _logistic(x, y.astype(float), each[y]), float((empty[1] + 0.1) / (empty.sum() + 1)))
 
 
 def score(docs: DataFrame, model: Model | None, carry: list[str] | None = None) -> DataFrame:
@@ -342,13 +342,12 @@ def score(docs: DataFrame, model: Model | None, carry: list[str] | None = None)
     """
     carry = carry or ["doc_id"]
     rows = small_batches(docs.select(*carry, F.coalesce("text", F.lit("")).alias("_text")))
-    index, curve, blank = (model.index, model.curve, model.blank) if model else (None, None, 0.0)
+    terms, index, curve, blank = (model.terms, model.index, model.curve, model.blank) if model else (None, None, None, 0.0)
     added = T.StructType.fromDDL("score double, predicted int, evidence array<long>, cosines array<double>")
     names = [*carry, *added.names]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = index.value if index else None
-        number = numbered(own.numbers) if own else None
+        own, number = (index.value, terms.value) if index else (None, None)
         known: dict[bytes, tuple[float, list[int], list[float]]] = {}  # what this task found for earlier texts
 
         def one(text: str) -> tuple[float, list[int], list[float]]:
@@ -357,9 +356,9 @@ def score(docs: DataFrame, model: Model | None, carry: list[str] | None = None)
                 return known[key]
             if len(known) > 20_000:
                 known.clear()
-            terms, counts = number(text)
-            if len(terms):
-                share, near, cosine = own.vote(key, terms, counts)
+            held, counts = number(text)
+            if len(held):
+                share, near, cosine = own.vote(key, held, counts)
                 z = float(np.clip(curve @ _features(share, cosine), -30, 30))
                 known[key] = float(1 / (1 + np.exp(-z))), own.ids[near[:3]].tolist(), cosine[:3].tolist()
             else:
