@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 from tests.llm.helpers import ROWS, documents, empty
-from tidemill.llm import lexical
+from tidemill.llm import hashed, lexical
 
 TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -77,9 +77,9 @@ def test_tree_finds_what_all_pairs_find():
 def test_long_texts_and_long_sums(monkeypatch):
     text = " ".join(f"w{i}" for i in range(3000)) + "x" * 5000
     data, ends = np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)])
-    whole = lexical._hashes(data, ends)[0]
-    monkeypatch.setattr(lexical, "PIECE", 700)
-    assert lexical._hashes(data, ends)[0].tolist() == whole.tolist()
+    whole = hashed.cut(data, ends)[0]
+    monkeypatch.setattr(hashed, "PIECE", 700)
+    assert hashed.cut(data, ends)[0].tolist() == whole.tolist() and len(whole) == 3000
     n, tf, of = np.array([10, 4 * 10**9]), np.array([3, 7]), np.array([0, 1])
     assert lexical.saturated(tf, n, of, 10**10, 10**13).tolist() == [(10**9 * f) // (1000 * f + 20 * (50 + 50 * k * 10**10 // 10**13)) for f, k in ((3, 10), (7, 4 * 10**9))]
 

@@ -17,54 +17,20 @@ apart by 64-bit hashes.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import blocks, saved, small_batches, table, text_bytes
-from tidemill.llm.shingles import words
+from tidemill.llm.common import saved, small_batches, table
+from tidemill.llm.hashed import Vocabulary, lists, terms
 
 TOP = 50
 #: Terms of all items of a block, and of a tree of items; one part in so many documents that gives the first thresholds.
 BLOCK_TERMS, TREE_TERMS, SEED = 1 << 21, 1 << 14, 32
-#: Children of a node, documents of a tree, bytes of text cut at once.
-FAN, ROWS, PIECE = 8, 512, 1 << 20
-#: Bytes that no term holds become a space; those from 0x80 on are parts of letters.
-_PLAIN = np.full(256, 32, np.uint8)
-for _a, _b in ((48, 58), (65, 91), (97, 123), (128, 256)):
-    _PLAIN[_a:_b] = np.arange(_a, _b)
-
-
-def _hashes(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of each term of some rows its hash and row; a long row is cut between terms, so that memory follows its terms only."""
-    data = _PLAIN[data]
-    if len(data) <= 2 * PIECE:
-        h, row = words(data, ends)
-        return h.view(np.int64), row
-    found, at = [], 0
-    while at < len(data):
-        end = min(at + PIECE, len(data))
-        gaps = np.flatnonzero(data[end:] == 32)[:1] if end < len(data) and data[end] != 32 else np.zeros(1, np.int64)
-        end = end + int(gaps[0]) if len(gaps) else len(data)
-        found.append(words(data[at:end], np.array([0, end - at]))[0].view(np.int64))
-        at = end
-    h = np.concatenate(found)
-    return h, np.zeros(len(h), np.int64)
-
-
-def terms(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Ranges of rows, the hash of each term in them, and its row counted from the range's start."""
-    data, ends = text_bytes(column)
-    for a, b in blocks(ends):
-        yield a, b, *_hashes(data[ends[a] : ends[b]], ends[a : b + 1] - ends[a])
-
-
-def _lists(sizes: np.ndarray, values: np.ndarray, kind: pa.DataType) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(values, kind))
+#: Children of a node, documents of a tree.
+FAN, ROWS = 8, 512
 
 
 def item_terms(items: DataFrame) -> DataFrame:
@@ -74,28 +40,11 @@ def item_terms(items: DataFrame) -> DataFrame:
         for batch in batches:
             for a, b, h, row in terms(batch.column(1)):
                 own = [np.unique(h[row == i]) for i in range(b - a)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), _lists(np.array([len(x) for x in own]), np.concatenate(own), pa.int64())], names=["item_id", "terms"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), lists(np.array([len(x) for x in own]), np.concatenate(own), pa.int64())], names=["item_id", "terms"])
 
     return small_batches(items.select("item_id", "text")).mapInArrow(work, "item_id long, terms array<long>").filter("size(terms) > 0")
 
 
-class Vocabulary:
-    """Sorted hashes of a block's terms, behind a table of bits that turns most other terms away."""
-
-    def __init__(self, hashes: np.ndarray):
-        self.hashes = np.unique(hashes)
-        self.shift = np.uint64(64 - min(26, max(12, int(16 * len(self.hashes)).bit_length())))
-        self.bits = np.zeros(1 << (64 - int(self.shift)), bool)
-        self.bits[self.hashes.view(np.uint64) >> self.shift] = True
-
-    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Which of the hashes are terms, and their places."""
-        some = np.flatnonzero(self.bits[h.view(np.uint64) >> self.shift])
-        at = np.minimum(np.searchsorted(self.hashes, h[some]), len(self.hashes) - 1)
-        same = self.hashes[at] == h[some]
-        return some[same], at[same].astype(np.int32)
-
-
 def vectors(docs: DataFrame, known: Broadcast) -> DataFrame:
     """docs (doc_id, text) -> doc_id, n (its terms, repeats counted), at and tf: the vocabulary's terms in it. Texts without terms have no row."""
 
@@ -104,11 +53,8 @@ def vectors(docs: DataFrame, known: Broadcast) -> DataFrame:
         for batch in batches:
             for a, b, h, row in terms(batch.column(1)):
                 n = np.bincount(row, minlength=b - a)
-                some, at = vocabulary.find(h)
-                key, tf = np.unique(row[some] * len(vocabulary.hashes) + at, return_counts=True)
-                of, at = np.divmod(key, len(vocabulary.hashes))
-                size = np.bincount(of, minlength=b - a)
-                arrays = [batch.column(0).slice(a, b - a), pa.array(n, pa.int64()), _lists(size, at, pa.int32()), _lists(size, tf, pa.int32())]
+                size, at, tf = vocabulary.bags(h, row, b - a)
+                arrays = [batch.column(0).slice(a, b - a), pa.array(n, pa.int64()), lists(size, at, pa.int32()), lists(size, tf, pa.int32())]
                 yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n", "at", "tf"]).filter(pa.array(n > 0))
 
     return small_batches(docs.select("doc_id", "text")).mapInArrow(work, "doc_id long, n long, at array<int>, tf array<int>")
