@@ -12,6 +12,7 @@ import hashlib
 import math
 import re
 from collections.abc import Callable, Iterator
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,7 +26,7 @@ CONTROL = ("<|", "|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>"
 _BEFORE = re.compile("(?=(?:" + "|".join(map(re.escape, CONTROL)) + "))(.)", re.S)
 _AFTER = re.compile(r"\\(.)", re.S)
 _TURN = re.compile(re.escape(TURN) + "(.*?)" + re.escape(SAYS) + "(.*?)" + re.escape(END), re.S)
-_PLACE = re.compile(r"<\|(?:image|audio|document):\d+\|>")
+_PLACE = re.compile(r"<\|(?:image|audio|document|unknown):(\d+)\|>")
 
 PART = "struct<type:string,text:string,ref:string,width:int,height:int,seconds:double,pages:int>"
 
@@ -43,20 +44,22 @@ class Flatten:
     """Visits the parts of one conversation. Attachments are numbered from 0 in order of appearance."""
 
     def __init__(self, count: Callable[[str], int], tile: int = 512, tile_tokens: int = 170, base_tokens: int = 85, audio_rate: float = 25.0, page_tokens: int = 600):
-        self.count, self.attachments, self.tokens = count, [], 0
+        self.count, self.attachments, self.tokens, self.errors = count, [], 0, []
         self.tile, self.tile_tokens, self.base_tokens, self.audio_rate, self.page_tokens = tile, tile_tokens, base_tokens, audio_rate, page_tokens
 
     def visit(self, part: dict) -> str:
         found = getattr(self, f"visit_{part.get('type') or 'text'}", None)
-        if found is None:
-            raise ValueError(f"no such part: {part['type']}")
-        return found(part)
+        return found(part) if found else self.visit_unknown(part)
 
     def visit_text(self, part: dict) -> str:
         text = part.get("text") or ""
         self.tokens += self.count(text)
         return escape(text)
 
+    def visit_unknown(self, part: dict) -> str:
+        self.errors.append(f"no such part: {part['type']}")
+        return self._attach("unknown", part, 0)
+
     def visit_image(self, part: dict) -> str:
         tiles = math.ceil((part.get("width") or self.tile) / self.tile) * math.ceil((part.get("height") or self.tile) / self.tile)
         return self._attach("image", part, self.base_tokens + self.tile_tokens * tiles)
@@ -75,26 +78,40 @@ class Flatten:
 
 
 def render(turns: list[tuple[str, list[dict]]], count: Callable[[str], int] = lambda text: len(text.split())) -> dict:
-    """Turns (role, parts) in order -> formatted, loss spans [start, end) in code points, attachments, expanded tokens."""
+    """Turns (role, parts) in order -> formatted, loss spans [start, end) in code points, attachments, expanded tokens, errors.
+
+    Neighbouring text parts are one text: they are joined before they are escaped, so that no control string can be put
+    together from pieces, and counted as one.
+    """
     visitor, out, at, spans = Flatten(count), [], 0, []
     for role, parts in turns:
         head = TURN + escape(role) + SAYS
-        pieces = [visitor.visit(p) for p in parts]
-        start = at + len(head)
-        if role == "assistant":
-            where = start
-            for part, piece in zip(parts, pieces, strict=True):
-                if (part.get("type") or "text") == "text":
+        start = where = at + len(head)
+        out.append(head)
+        for is_text, some in groupby(parts, key=lambda p: (p.get("type") or "text") == "text"):
+            for part in [{"text": "".join(p.get("text") or "" for p in some)}] if is_text else some:
+                piece = visitor.visit(part)
+                if is_text and role == "assistant":
                     spans.append((where, where + len(piece)))
+                out.append(piece)
                 where += len(piece)
-        out += [head, *pieces, END]
-        at = start + sum(map(len, pieces)) + len(END)
-    return {"formatted": "".join(out), "loss": spans, "attachments": visitor.attachments, "expanded_tokens": visitor.tokens}
+        out.append(END)
+        at = where + len(END)
+    return {"formatted": "".join(out), "loss": spans, "attachments": visitor.attachments, "expanded_tokens": visitor.tokens, "errors": visitor.errors}
+
+
+def parse_parts(formatted: str) -> list[tuple[str, list[str | int]]]:
+    """Roles and contents of a formatted conversation: texts, and the numbers of attachments between them."""
+    out = []
+    for role, body in _TURN.findall(formatted):
+        pieces = _PLACE.split(body)
+        out.append((unescape(role), [unescape(x) if k % 2 == 0 else int(x) for k, x in enumerate(pieces) if k % 2 or x]))
+    return out
 
 
 def parse(formatted: str) -> list[tuple[str, str]]:
     """Roles and texts of a formatted conversation; placeholders of attachments are taken out of the texts."""
-    return [(unescape(role), unescape(_PLACE.sub("", body))) for role, body in _TURN.findall(formatted)]
+    return [(role, "".join(x for x in parts if isinstance(x, str))) for role, parts in parse_parts(formatted)]
 
 
 def token_counter(path: str | None) -> Callable[[str], int]:
@@ -108,17 +125,18 @@ def token_counter(path: str | None) -> Callable[[str], int]:
 
 FORMATTED = pa.schema([
     ("conv_id", pa.int64()), ("n_turns", pa.int64()), ("formatted", pa.string()), ("loss", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
-    ("attachments", pa.list_(pa.struct([("position", pa.int32()), ("type", pa.string()), ("ref", pa.string()), ("tokens", pa.int64())]))), ("expanded_tokens", pa.int64()),
+    ("attachments", pa.list_(pa.struct([("position", pa.int32()), ("type", pa.string()), ("ref", pa.string()), ("tokens", pa.int64())]))), ("expanded_tokens", pa.int64()), ("errors", pa.list_(pa.string())),
 ])
-_DDL = "conv_id long, n_turns long, formatted string, loss array<struct<start:long,end:long>>, attachments array<struct<position:int,type:string,ref:string,tokens:long>>, expanded_tokens long"
+_DDL = "conv_id long, n_turns long, formatted string, loss array<struct<start:long,end:long>>, attachments array<struct<position:int,type:string,ref:string,tokens:long>>, expanded_tokens long, errors array<string>"
 
 
 def format_conversations(turns: DataFrame, tokenizer: str | None = None, batch_chars: int = 4_000_000) -> DataFrame:
-    """(conv_id, turn, role, parts) -> one row a conversation: n_turns, formatted, loss, attachments, expanded_tokens.
+    """(conv_id, turn, role, parts) -> one row a conversation: n_turns, formatted, loss, attachments, expanded_tokens, errors.
 
     Rows are dealt by conversation and sorted by turn (then role and content, so that repeated turns have a fixed
-    order, and all are kept); a worker streams them and holds one conversation, which is one output row, at a time.
-    Null role: empty; null parts, or a null text: empty text; null conv_id: a conversation of its own. An unknown part type raises.
+    order, and all are kept); a worker streams them and holds one conversation, which is one output row, at a time, however
+    long. Null role: empty; null parts, or a null text: empty text; null conv_id: a conversation of its own. A part of an
+    unknown type becomes a placeholder of no tokens and a line in errors. An empty table gives no rows; other columns play no part.
     """
     rows = small_batches(turns.select("conv_id", "turn", "role", F.col("parts").cast(f"array<{PART}>").alias("parts")))
     rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "parts")
