@@ -54,3 +54,28 @@ def test_votes(spark):
     rows += [("b", body("one", 9))] * 6 + [("b", body("two", 9))] * 3 + [("b", body("three", 9))] + [("c", body("q", 9)), ("c", body("p", 9)), ("", body("z", 9)), ("d", "")]
     got = {r["host"]: r["paths"] for r in htmltext.consensus(spark.createDataFrame(rows, "host string, html string").repartition(3)).collect()}
     assert got == {"a": [">body>div.xaa"], "b": [">body>div.one", ">body>div.two"], "c": [">body>div.p", ">body>div.q"]}
+
+
+def test_comments_footers_and_headers_of_an_article():
+    tail = ("Long text. " * 20).strip()
+    page = lambda inner: htmltext.extract(f"<body><nav>Menu</nav><div class='post'>{inner}<p>{tail}</p></div></body>", [])
+    for gone in ("post-comments", "entry-footer", "article-comments", "content-sidebar", "comment-list", "post-footer"):
+        assert page(f'<div class="{gone}">reader says</div>') == tail
+    for kept in ("content-header", "entry-header", "post-header wide", "article-header-inner"):
+        assert page(f'<div class="{kept}"><h1>Title</h1></div>') == f"Title\n\n{tail}"
+    for gone in ("site-header", "page-header-menu", "header"):
+        assert page(f'<div class="{gone}">Site</div>') == tail
+    assert page("<p>A post about comments and footers.</p>").startswith("A post about")
+
+
+def test_a_path_that_holds_little():
+    tail = ("Long text. " * 20).strip()
+    html = f"<body><div class='teaser'><p>teaser</p></div><div class='long'><p>{tail}</p></div></body>"
+    assert htmltext.extract(html, [">body>div.teaser"]) == tail
+    assert htmltext.extract(html, [">body>div.teaser", ">body>div.long"]) == tail
+    assert htmltext.extract("<body><div class='one'><p>short</p></div></body>", [">body>div.one"]) == "short"
+
+
+def test_hidden_in_a_name():
+    page = lambda inner: htmltext.extract(f"<body><article>{inner}<p>tail</p></article></body>", [])
+    assert page('<p class="text-hidden">kept</p>') == "kept\n\ntail" and page('<p class="hidden">x</p>') == page("<p hidden>x</p>") == "tail"

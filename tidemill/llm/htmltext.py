@@ -28,11 +28,17 @@ RAW = ("script", "style", "noscript", "template", "textarea", "iframe", "svg", "
 ASIDE = frozenset("head nav header footer aside form menu dialog button select search option fieldset".split())
 #: Words in a class, id or role that mark what is not main text, and such as mark main text.
 NOT_MAIN = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices notification alert popup modal overlay sidebar aside menu nav navbar navigation breadcrumb breadcrumbs header masthead topbar footer foot share sharing social related recommended comment comments commentlist disqus reply replies respond newsletter subscribe signup login search pagination pager widget complementary contentinfo hidden".split())
+#: Of these, such as mark what is left out inside an article too, with whatever word of the page before them: post-comments, entry-footer.
+ALWAYS = frozenset("comment comments commentlist replies respond footer sidebar".split())
+#: Names of which a header that holds the title is made: these never mark by `header` alone.
+TITLED = frozenset("content entry main article post page title section story header head inner wrapper".split())
 #: Words that say nothing of their own beside such a word, as in site-header or related-posts.
 NEUTRAL = frozenset("site page main global top bottom left right primary secondary inner outer wrapper wrap container box bar area block section region list item items links link button buttons icons form field posts articles stories content contents row column col unit slot group panel module text title label view nav js u c l o is has the my".split())
 MAIN = frozenset("article content entry main post story body text".split())
 #: Least share of a host's votes with which a path wins beside the first.
 SHARE = 0.2
+#: Least part of the characters of the page's best container that a winning path must hold.
+PART = 0.3
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(RAW) + r")(?=[\s/>])(?:.*?</(?P=raw)\s*>|.*\Z)"
@@ -151,7 +157,9 @@ class Page:
                 for name in value.split():
                     # a name marks if it is such a word, or joins such words with neutral ones; share-price and notice-of-sale don't
                     words = [w for w in re.split(r"[^a-z]+", name) if w]
-                    marked |= any(w in NOT_MAIN for w in words) and all(w in NOT_MAIN or w in NEUTRAL for w in words)
+                    marked |= (words == ["hidden"] or any(w in NOT_MAIN and w != "hidden" for w in words)) and all(w in NOT_MAIN or w in NEUTRAL or (w in MAIN and words[-1] in ALWAYS) for w in words)
+                    if len(words) > 1 and "header" in words and set(words) <= TITLED and set(words) & MAIN:
+                        marked = False  # content-header, entry-header: the title's own place
         return first, marked
 
     def best(self) -> str:
@@ -180,11 +188,15 @@ class Page:
 
 
 def extract(html: str, paths: list[str]) -> str:
+    """The blocks under the first winning path that holds a fair part of what the page's own best container has; else those of that container."""
     page = Page(html)
-    for path in [*paths, page.best()]:
-        if blocks := page.under(path):
+    own = page.under(page.best())
+    least = PART * sum(map(len, own))
+    for path in paths:
+        blocks = page.under(path)
+        if blocks and sum(map(len, blocks)) >= least:
             return "\n\n".join(blocks)
-    return ""
+    return "\n\n".join(own)
 
 
 def consensus(pages: DataFrame) -> DataFrame:
