@@ -1,12 +1,14 @@
 """Streams against their batch forms; sources and sinks as round trips."""
 
+from datetime import datetime, timedelta
+
 from pyspark.sql import functions as F
 
 from tests.conftest import SF
-from tidemill.operators import history, review, rows
+from tidemill.operators import review, rows
 from tidemill.plans.fixtures import load
 from tidemill.sources import files, logs
-from tidemill.streaming import jobs
+from tidemill.streaming import claims, jobs
 
 
 def test_correction_feed(spark, tmp_path):
@@ -27,18 +29,30 @@ def test_correction_feed(spark, tmp_path):
 
 
 def test_job_state(spark, tmp_path):
-    events = load(spark, SF, "nf_progress").filter("job_id < 40").withColumn("ts", F.col("ts").cast("timestamp"))
-    for part in (0, 1):
-        events.filter(F.col("seq") % 2 == part).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    fields = ["status", "phase", "error"]
-    query = jobs.job_state(stream, fields, "10000 days").writeStream.outputMode("update").format("memory").queryName("state").start()
-    query.processAllAvailable()
-    query.stop()
-    last = {}
-    for r in spark.table("state").collect():
-        last[r["job_id"]] = tuple(r)
-    assert sorted(last.values()) == sorted(map(tuple, history.fold_state(events, fields).collect()))
+    at = lambda minute, hour=10: datetime(2024, 1, 1, hour, minute)
+    ddl = "job_id long, ts timestamp, seq long, status string, phase string"
+    batches = [
+        [(1, at(0), 1, "running", "a"), (1, at(1), 2, None, "b"), (1, at(1), 1, None, "older"), (2, at(2), 3, "done", None)],
+        [(1, at(1), 2, None, "b"), (1, at(0), 1, "running", "a"), (3, at(0, 12), 5, "running", None)],
+        [(2, at(3), 9, "late", None), (1, at(4, 12), 6, "done", None), (3, at(5, 12), 7, "done", None), (3, at(6, 12), 8, "running", None)],
+        [(4, at(0, 15), 10, None, None)],
+        [(1, at(1, 15), 11, None, "again"), (4, at(1, 15), 11, None, "x")],
+    ]
+    for rows in batches:
+        spark.createDataFrame(rows, ddl).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(ddl).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    query = jobs.fold_jobs(stream, ["status", "phase"], str(tmp_path / "out"), str(tmp_path / "ck"), keep=timedelta(hours=1))
+    query.awaitTermination()
+    rows = spark.read.parquet(str(tmp_path / "out")).orderBy("epoch", "closed", "job_id").collect()
+    got = [(r["job_id"], r["status"], r["phase"], r["closed"]) for r in rows]
+    assert got[:2] == [(1, "running", "b", False), (2, "done", None, False)] and (1, "running", "b", False) in got[2:4]
+    assert (2, "done", None, True) in got and (1, "done", "b", True) in got and (2, "late", None, False) not in got
+    assert (3, "running", None, False) in got and not any(r[0] == 3 and r[3] for r in got)  # it started again
+    last = {r["job_id"]: tuple(r) for r in jobs.last_states(spark, str(tmp_path / "out")).collect()}
+    assert last[1] == (1, None, "again", False) and last[2] == (2, "done", None, True)  # a new run has nothing of the old one
+    held = spark.read.format("statestore").option("stateVarName", "status").load(str(tmp_path / "ck"))
+    assert {r["key"]["job_id"] for r in held.select("key").collect()} == {3}  # done jobs have left the state
+    assert spark.conf.get(jobs.STATE_STORE[0], None) != jobs.STATE_STORE[1]
 
 
 def test_ingest_once(spark, tmp_path):
@@ -60,6 +74,49 @@ def test_ingest_once(spark, tmp_path):
     assert len({r["job_id"] for r in got}) == 4
 
 
+def test_two_runs_publish_each_notice_once(spark, tmp_path):
+    folder, got = tmp_path / "in", []
+    folder.mkdir()
+    text = load(spark, SF, "nf_text").limit(1).first()["text"]
+    for i in range(12):
+        (folder / f"{i}.txt").write_text(text)
+    sink = lambda table, epoch: got.extend(r["job_id"] for r in table.select("job_id").distinct().collect())
+    both = [jobs.ingest(spark, str(folder), sink, str(tmp_path / f"ck{k}"), str(tmp_path / "done")) for k in (0, 1)]
+    for query in both:
+        query.awaitTermination()
+    assert len(got) == 12 == len(set(got))
+
+
+def test_claims(spark, tmp_path):
+    ids = lambda *x: spark.createDataFrame([(i,) for i in x], "job_id string")
+    own = lambda df: sorted(r["job_id"] for r in df.collect())
+    path = str(tmp_path / "claims")
+    a, b, c = (claims.Claims(spark, path, name, lease=60) for name in "abc")
+    mine = a.claim(ids("x", "y", "y", None), str(tmp_path / "1"))
+    assert own(mine) == ["x", "y"] and own(b.claim(ids("x", "y", "z"), str(tmp_path / "2"))) == ["z"]
+    assert own(a.claim(ids("x", "z"), str(tmp_path / "3"))) == ["x"]  # run again
+    a.finish(mine)
+    dead = claims.Claims(spark, path, "dead", lease=-1).claim(ids("w", "x"), str(tmp_path / "4"))
+    assert own(dead) == ["w"] and own(c.claim(ids("w", "x", "z"), str(tmp_path / "5"))) == ["w"]
+    buckets = {r["bucket"] for r in ids("w", "x", "y", "z").select(claims.bucket(F.col("job_id")).alias("bucket")).collect()}
+    read = c._read(sorted(buckets)[:1]).inputFiles()
+    assert read and all(f"bucket={sorted(buckets)[0]}/" in f for f in read)
+    before = sorted(map(tuple, c._read(sorted(buckets)).collect()))
+    assert c.compact(sorted(buckets), files=2) and sorted(map(tuple, c._read(sorted(buckets)).collect())) == before
+    assert not list((tmp_path / "claims" / "locks").glob("[0-9]*"))
+
+
+def test_failures_stand_apart(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a", None), (2, "b", "bad"), (3, None, None), (3, None, "worse")], "id int, v string, error string")
+    good, dead = logs.split_failures(df, str(tmp_path / "out"))
+    assert sorted(map(tuple, good.collect())) == [(1, "a"), (3, None)] and sorted(r["error"] for r in dead.collect()) == ["bad", "worse"]
+    good, dead = logs.split_failures(df.limit(0), str(tmp_path / "none"))
+    assert good.count() == dead.count() == 0
+    seen = iter(range(10**6))
+    unsteady = df.withColumn("error", F.udf(lambda: str(next(seen)), "string")())
+    logs.split_failures(unsteady, str(tmp_path / "u"))  # evaluated once, or its counts would not add up
+
+
 def test_triage_and_texts(spark, tmp_path):
     for name, raw in (("a.pdf", b"%PDF"), ("b.hwpx", b"PK\x03\x04"), ("c.hwp", b"\xd0\xcf\x11\xe0\xa1"), ("d.hwpx", b"plain"), ("e.txt", "사건\xff".encode("utf-8") + b"\xff"), ("f.exe", b"MZ")):
         (tmp_path / name).write_bytes(raw)
@@ -68,9 +125,19 @@ def test_triage_and_texts(spark, tmp_path):
     assert files.read_notices(spark, str(tmp_path / "e.txt")).first()["text"] == "사건ÿ"
 
 
-def test_results_round_trip(spark, tmp_path):
-    records = rows.assemble(rows.islands(load(spark, SF, "nf_rows").filter("doc_id < 3"))).withColumnRenamed("doc_id", "job_id").drop("price_value")
-    logs.write_results(records, str(tmp_path / "out"))
-    back = logs.read_results(spark, str(tmp_path / "out"), records.schema, 1)
-    want = records.filter("job_id = 1")
-    assert back.select(*want.columns).exceptAll(want).isEmpty() and back.count() == want.count()
+def test_results_of_one_job(spark, tmp_path):
+    records = rows.assemble(rows.islands(load(spark, SF, "nf_rows").filter("doc_id < 4"))).withColumnRenamed("doc_id", "job_id").drop("price_value")
+    path, one = str(tmp_path / "out"), lambda k: records.filter(F.col("job_id") == k)
+    read = lambda k=None: logs.read_results(spark, path, records.schema, k)
+    for k in (1, 2):
+        logs.write_results(one(k), path)
+    for k in (1, 2):
+        back = read(k)
+        assert back.select(*records.columns).exceptAll(one(k)).isEmpty() and back.count() == one(k).count()
+        assert "PartitionFilters: [isnotnull(job_id" in back._jdf.queryExecution().toString()
+    reviewed = one(1).limit(3).withColumn("note", F.lit("seen"))
+    version = logs.write_results(reviewed, path)
+    logs.write_results(reviewed, path, version=version)
+    assert read(1).count() == 3 and read(2).count() == one(2).count() == read().count() - 3
+    logs.write_results(records.limit(0), path, jobs=spark.createDataFrame([(2,)], "job_id int"))
+    assert read(2).count() == read(9).count() == 0 and read().count() == 3

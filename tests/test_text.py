@@ -64,3 +64,58 @@ def test_natural_order(spark):
     df = spark.createDataFrame([("a10",), ("a9",), ("10",), ("9",), ("",), ("a",), ("a09b",), (None,)], "t string")
     got = [r["t"] or "" for r in df.orderBy(X.natural_key(F.col("t")), "t").collect()]
     assert got == ["", "", "9", "10", "a", "a9", "a09b", "a10"]
+
+
+def test_list_numbers_of_any_size(spark):
+    from tidemill.functions import text as X
+
+    cases = {
+        "목록1,2,3,7": "목록1~3,7",
+        "목록1,2,99999999999": "목록1,2,99999999999",
+        "목록1,2,3,99999999999999999999 및 목록4,5,6": "목록1,2,3,99999999999999999999 및 목록4~6",
+        "목록9223372036854775805,9223372036854775806,9223372036854775807,1": "목록9223372036854775805~9223372036854775807,1",
+    }
+    got = spark.createDataFrame(list(cases.items()), "a string, b string").select("b", X.shorten_list(F.col("a")).alias("v")).collect()
+    assert all(r["v"] == r["b"] for r in got)
+
+
+def slow_scan(text, strings):
+    at = next((i for i, ch in enumerate(text) if ch in "{["), None)
+    if at is None:
+        return text.strip(), "none"
+    stack, quoted, escaped = [], False, False
+    for i in range(at, len(text)):
+        ch = text[i]
+        if strings and quoted:
+            if escaped:
+                escaped = False
+            elif ch == "\\":
+                escaped = True
+            elif ch == '"':
+                quoted = False
+            continue
+        if strings and ch == '"':
+            quoted = True
+        elif ch in "{[":
+            stack.append(ch)
+        elif ch in "}]":
+            stack.pop()
+            if not stack:
+                return text[at : i + 1], "balanced"
+    return text[at:], "cut"
+
+
+def test_json_scan(spark):
+    import random
+
+    from tidemill.functions import text as X
+
+    rng = random.Random(7)
+    texts = ["".join(rng.choices('{}[]"\\ab ', k=rng.randrange(30))) for _ in range(600)]
+    texts += ['x [{"a":1},{"a":2}] y', 'x {"k":"}{","v":[1,2]} y', 'cut {"a":[1,', "", "  none "]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    for strings in (False, True):
+        got = {r["i"]: (r["s"]["json"], r["s"]["state"]) for r in df.select("i", X.json_scan(F.col("t"), strings).alias("s")).collect()}
+        assert got == {i: slow_scan(t, strings) for i, t in enumerate(texts)}
+    rows = spark.createDataFrame([('x [{"a":1},{"a":2}] y',), ("```json\n{\"a\":3}\n```",), ('{"a":4',), (None,)], "t string").select(X.json_rows(F.col("t"), "a int").alias("r")).collect()
+    assert [([x["a"] for x in r["r"]["rows"]] if r["r"]["rows"] else None, r["r"]["error"]) for r in rows] == [([1, 2], None), ([3], None), (None, "no JSON: cut"), (None, "no JSON: null")]

@@ -212,12 +212,14 @@ def order_note(c: Column) -> Column:
 
 
 def shorten_list(c: Column) -> Column:
-    """목록1,2,3,7 -> 목록1~3,7, for each list of a text. Runs of three or more numbers are joined, two keep their comma."""
+    """목록1,2,3,7 -> 목록1~3,7, for each list of a text. Runs of three or more numbers are joined, two keep their comma. A list with a number beyond bigint stays as it is."""
     c = text(c)
-    start = F.struct(F.lit("").alias("out"), F.lit(None).cast("int").alias("a"), F.lit(None).cast("int").alias("b"))
-    show = lambda s: F.concat(s["out"], F.when(s["out"] != "", ",").otherwise(""), F.when(s["a"] == s["b"], s["a"].cast("string")).when(s["b"] == s["a"] + 1, F.concat_ws(",", s["a"], s["b"])).otherwise(F.concat_ws("~", s["a"], s["b"])))
-    step = lambda s, n: F.when(s["a"].isNull(), F.struct(F.lit("").alias("out"), n.alias("a"), n.alias("b"))).when(n == s["b"] + 1, F.struct(s["out"].alias("out"), s["a"].alias("a"), n.alias("b"))).otherwise(F.struct(show(s).alias("out"), n.alias("a"), n.alias("b")))
-    short = lambda numbers: F.aggregate(F.transform(F.split(numbers, ","), lambda x: x.cast("int")), start, step, show)
+    start = F.struct(F.lit("").alias("out"), F.lit(None).cast("bigint").alias("a"), F.lit(None).cast("bigint").alias("b"))
+    follows = lambda n, b: F.coalesce(n == F.try_add(b, F.lit(1)), F.lit(False))
+    show = lambda s: F.concat(s["out"], F.when(s["out"] != "", ",").otherwise(""), F.when(s["a"] == s["b"], s["a"].cast("string")).when(follows(s["b"], s["a"]), F.concat_ws(",", s["a"], s["b"])).otherwise(F.concat_ws("~", s["a"], s["b"])))
+    step = lambda s, n: F.when(s["a"].isNull(), F.struct(F.lit("").alias("out"), n.alias("a"), n.alias("b"))).when(follows(n, s["b"]), F.struct(s["out"].alias("out"), s["a"].alias("a"), n.alias("b"))).otherwise(F.struct(show(s).alias("out"), n.alias("a"), n.alias("b")))
+    fold = lambda numbers: F.when(F.exists(numbers, lambda x: x.isNull()), F.lit(None).cast("string")).otherwise(F.aggregate(numbers, start, step, show))
+    short = lambda numbers: F.coalesce(once(F.transform(F.split(numbers, ","), lambda x: x.try_cast("bigint")), fold), numbers)
     # each list is put between marks, so that lists and the texts between them are parts of their own
     parts = F.split(F.regexp_replace(c, R.LISTED, "$1\u0001$2\u0001"), "\u0001")
     folded = F.transform(parts, lambda x, i: F.when(i % 2 == 1, short(x)).otherwise(x))
@@ -322,16 +324,44 @@ def signature(addresses: Column, uses: Column, note: Column) -> Column:
 
 
 # F23
-def json_text(c: Column) -> Column:
-    """The JSON of a model's answer: the fenced block, else the first balanced braces; braces in strings count too. Null if none."""
+def json_scan(c: Column, strings: bool = False) -> Column:
+    """struct(json, state) of a model's answer: the fenced block; else from the first brace or bracket to the one that closes it (balanced), or to the end (cut); else the answer itself (none).
+
+    Any closing mark closes the innermost open one. Marks inside strings count too, as long as `strings` is not set: then
+    quotes and backslashes are followed and what stands in strings is passed over. Null stays null.
+    """
     fenced = F.regexp_extract(c, r"```(?:json)?\s*([\s\S]*?)```", 1)
-    at = F.instr(c, "{")
-    chars = F.split(F.substring(c, at, F.length(c)), "")
-    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("n"), F.lit(False).alias("done"))
-    step = lambda s, x: F.when(s["done"], s).otherwise(F.struct((s["depth"] + F.when(x == "{", 1).when(x == "}", -1).otherwise(0)).alias("depth"), (s["n"] + 1).alias("n"), ((x == "}") & (s["depth"] == 1)).alias("done")))
-    scan = F.aggregate(chars, start, step)
-    balanced = F.when((at > 0) & scan["done"], F.substring(c, at, scan["n"]))
-    return F.when(fenced != "", stripped(fenced)).otherwise(balanced)
+    body = F.regexp_extract(c, r"[{\[][\s\S]*", 0)
+    # runs of other characters are one token
+    tokens = F.regexp_extract_all(body, F.lit(r'[{}\[\]"\\]|[^{}\[\]"\\]+'), F.lit(0))
+    no = F.lit(False)
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("n"), no.alias("done"), no.alias("quoted"), no.alias("escaped"))
+
+    def step(s, x):
+        counts = ~s["quoted"] if strings else F.lit(True)
+        opens, closes = counts & x.isin("{", "["), counts & x.isin("}", "]")
+        quote = (x == '"') & ~s["escaped"] if strings else no
+        depth = s["depth"] + opens.cast("int") - closes.cast("int")
+        return F.when(s["done"], s).otherwise(F.struct(
+            depth.alias("depth"), (s["n"] + F.length(x)).alias("n"), (closes & (depth == 0)).alias("done"),
+            (s["quoted"] != quote).alias("quoted"), (s["quoted"] & (x == "\\") & ~s["escaped"]).alias("escaped"),
+        ))
+
+    found = once(F.aggregate(tokens, start, step), lambda s: F.struct(F.when(s["done"], F.substring(body, F.lit(1), s["n"])).otherwise(body).alias("json"), F.when(s["done"], "balanced").otherwise("cut").alias("state")))
+    alone = lambda x, state: F.struct(stripped(x).alias("json"), F.lit(state).alias("state"))
+    return F.when(F.length(stripped(fenced)) > 0, alone(fenced, "fenced")).when(body != "", found).when(c.isNotNull(), alone(c, "none"))
+
+
+def json_text(c: Column, strings: bool = False) -> Column:
+    """The JSON of a model's answer, fenced or balanced; null if there is none."""
+    return once(json_scan(c, strings), lambda x: F.when(x["state"].isin("fenced", "balanced"), x["json"]))
+
+
+def json_rows(c: Column, fields: str, strings: bool = False) -> Column:
+    """struct(rows, error) of a model's answer: its object, or the objects of its array, by the given fields; an answer that can't be read has an error."""
+    parsed = lambda x: F.struct(F.from_json(x["json"], f"array<struct<{fields}>>", {"mode": "PERMISSIVE"}).alias("rows"), x["state"].alias("state"))
+    told = lambda x: F.struct(x["rows"].alias("rows"), F.when(x["rows"].isNull(), F.concat(F.lit("no JSON: "), F.coalesce(x["state"], F.lit("null")))).alias("error"))
+    return once(once(json_scan(c, strings), parsed), told)
 
 
 # F28

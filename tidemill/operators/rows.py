@@ -144,9 +144,8 @@ def headers(df: DataFrame, text: str = "text") -> DataFrame:
     return df.withColumn("_h", X.header(F.col(text))).select(*df.columns, "_h.*")
 
 
-def quarantine(df: DataFrame, error: str = "error") -> tuple[DataFrame, DataFrame]:
-    """P8. Failed records become placeholders that keep their place and keys; second: the failed rows as they were."""
+def placeholders(df: DataFrame, error: str = "error") -> DataFrame:
+    """P8. Failed records become placeholders that keep their place and keys; logs.split_failures keeps the failed rows as they were."""
     failed = F.col(error).isNotNull()
     marks = {"address": F.lit(R.FAILED), "use": F.lit(""), "note": F.concat(F.lit("편집 실패: "), F.col(error)), "grp": F.lit(R.OTHER)}
-    kept = df.select(*(F.when(failed, marks[c]).otherwise(F.col(c)).alias(c) if c in marks else F.col(c) for c in df.columns if c != error))
-    return kept, df.filter(failed)
+    return df.select(*(F.when(failed, marks[c]).otherwise(F.col(c)).alias(c) if c in marks else F.col(c) for c in df.columns if c != error))

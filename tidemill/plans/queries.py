@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -118,7 +119,7 @@ column_query("f22_keywords", "nf_rows", K, lambda: _join(F.array_sort(X.keywords
 column_query("f22_signature", "nf_rows", K, lambda: X.signature(F.array("addr_cell"), F.array("detail_cell"), c("note_cell")), "addr_cell || ' ' || detail_cell || ' ' || note_cell")
 column_query("f28_safe_label", "nf_files", "name, length", lambda: X.safe_label(c("folder")), "substring(regexp_replace(folder, '[^A-Za-z0-9가-힣()]+', '_', 'g'), 1, 80)")
 column_query("f31_case_numbers", "nf_text", "doc_id", lambda: _join(X.case_numbers(c("text"))), Q.joined(Q.case_numbers("text")))
-_W11 = "concat(raw_note, ' 목록', cast(seq as TEXT), ',', cast(seq + 1 as TEXT), case when ok % 2 = 0 then concat(',', cast(seq + 2 as TEXT)) else '' end, ' 및 목록', cast(ok % 3 as TEXT), ',', cast(seq + 20 as TEXT), ',', cast(seq + 21 as TEXT), ',', cast(seq + 22 as TEXT), ',3 제외')"
+_W11 = "concat(raw_note, ' 목록', cast(seq as TEXT), ',', cast(seq + 1 as TEXT), case when ok % 2 = 0 then concat(',', cast(seq + 2 as TEXT)) else '' end, ' 및 목록', cast(ok % 3 as TEXT), ',', cast(seq + 20 as TEXT), ',', cast(seq + 21 as TEXT), ',', cast(seq + 22 as TEXT), ',3 제외', case ok % 5 when 0 then ' 목록1,2,99999999999' when 1 then ' 목록1,2,99999999999999999999' when 2 then ' 목록9223372036854775806,9223372036854775807' else '' end)"
 _LISTS = Q.lit(R.LISTED)
 
 
@@ -126,11 +127,12 @@ _LISTS = Q.lit(R.LISTED)
     "nf_notes",
     f"t as (select ok, seq, {_W11.replace('TEXT', 'VARCHAR')} t from nf_notes)",
     f"m as (select ok, seq, unnest(regexp_extract_all(t, {_LISTS}, 2)) l, generate_subscripts(regexp_extract_all(t, {_LISTS}, 2), 1) i from t)",
-    "v as (select ok, seq, i, cast(unnest(string_split(l, ',')) as int) v, generate_subscripts(string_split(l, ','), 1) p from m)",
-    "g as (select *, case when v = lag(v) over (partition by ok, seq, i order by p) + 1 then 0 else 1 end s from v)",
+    "v as (select ok, seq, i, try_cast(unnest(string_split(l, ',')) as bigint) v, generate_subscripts(string_split(l, ','), 1) p from m)",
+    "g as (select *, case when v = lag(v::hugeint) over (partition by ok, seq, i order by p) + 1 then 0 else 1 end s from v)",
     "k as (select *, sum(s) over (partition by ok, seq, i order by p) k from g)",
-    "r as (select ok, seq, i, k, min(v) a, max(v) b from k group by all)",
-    "f as (select ok, seq, i, '목록' || string_agg(case when a = b then a::varchar when b = a + 1 then a || ',' || b else a || '~' || b end, ',' order by k) f from r group by all)",
+    "r as (select ok, seq, i, k, min(v)::hugeint a, max(v)::hugeint b, bool_or(v is null) bad from k group by all)",
+    "f1 as (select ok, seq, i, bool_or(bad) bad, '목록' || string_agg(case when a = b then a::varchar when b = a + 1 then a || ',' || b else a || '~' || b end, ',' order by k) f from r group by all)",
+    "f as (select ok, seq, i, case when bad then '목록' || l else f end f from f1 join m using (ok, seq, i))",
     f"c as (select ok, seq, unnest(string_split_regex(t, {_LISTS})) x, generate_subscripts(string_split_regex(t, {_LISTS}), 1) i from t)",
 ) + "select c.ok, c.seq, string_agg(x || coalesce(f, ''), '' order by c.i) as value from c left join f using (ok, seq, i) group by c.ok, c.seq")
 def w11_list_numbers(spark, sf):
@@ -162,13 +164,42 @@ def f20_restore_lines(spark, sf):
     return t.select("ok", "seq", X.restore_lines(c("addr_cell"), F.replace("detail_cell", F.lit(" 2층"), F.lit("\n2층")), c("addr_cell"), F.lit("")).alias("value"))
 
 
-_WRAP = "case event_id % 3 when 0 then '```json' || chr(10) || props || chr(10) || '```' when 1 then 'Here: ' || props || ' and more' else 'cut ' || substring(props, 1, length(props) - 1) end"
+_WRAP = """case event_id % 7 when 0 then concat('```json', chr(10), props, chr(10), '```') when 1 then concat('Here: ', props, ' and more') when 2 then concat('cut ', substring(props, 1, length(props) - 1))
+ when 3 then concat('x [', props, ', ', props, '] y ]') when 4 then concat('n [{"a":[', props, ',{"b":[]}],"k":7}] z}') when 5 then concat('s {"a":"}{[ \\\\" ]","k":', cast(event_id as TEXT), '} t') else 'none at all' end"""
+_SCAN = (
+    f"t as (select event_id, {_WRAP.replace('TEXT', 'VARCHAR').replace(chr(92) * 2, chr(92))} t from events)",
+    "b as (select event_id, t, coalesce(regexp_extract(t, '```(?:json)?\\s*([\\s\\S]*?)```', 1), '') fenced, coalesce(regexp_extract(t, '[{\\[][\\s\\S]*'), '') body from t)",
+    """sc as (select event_id, m, 0 i, 0 depth, false q, false e, false done from b, (values (false), (true)) v(m) where body <> ''
+      union all select event_id, m, i + 1, depth + case when m and q then 0 when ch in ('{', '[') then 1 when ch in ('}', ']') then -1 else 0 end,
+        case when m and ch = '"' and not e then not q else q end, m and q and ch = chr(92) and not e, not (m and q) and ch in ('}', ']') and depth = 1
+      from (select s.*, substr(b.body, s.i + 1, 1) ch from sc s join b using (event_id) where not done and i < length(b.body)))""",
+    "ends as (select event_id, m, max(i) n, bool_or(done) done from sc group by all)",
+    "got as (select b.event_id, v.m, case when fenced <> '' then trim(fenced, chr(10) || ' ') when body = '' then t when done then left(body, n) else body end json, case when fenced <> '' then 'fenced' when body = '' then 'none' when done then 'balanced' else 'cut' end state from b cross join (values (false), (true)) v(m) left join ends e on e.event_id = b.event_id and e.m = v.m)",
+    "ks as (select *, case when not json_valid(json) then null when json like '[%' then array_to_string(list_transform(cast(json_extract(json, '$[*].k') as varchar[]), lambda x: coalesce(x, '-')), '|') else coalesce(json_extract_string(json, '$.k'), '-') end k from got)",
+)
+
+
+def _scanned(spark, sf):
+    t = load(spark, sf, "events").withColumn("t", F.expr(_WRAP.replace("TEXT", "STRING").replace("chr(10)", "'\\n'")))
+    both = [t.select("event_id", F.lit(m).alias("m"), X.json_scan(c("t"), m).alias("s"), X.json_rows(c("t"), "k bigint", m).alias("r")) for m in (False, True)]
+    return both[0].union(both[1]).select("event_id", "m", "s.json", "s.state", "r.rows", "r.error")
+
+
+def _scan_sql(what: str) -> str:
+    return "with recursive " + ", ".join(_SCAN) + " " + what
 
 
-@query("f23_json_text", "select event_id, case when event_id % 3 < 2 then props end as value, case when event_id % 3 < 2 then cast(json_extract(props, '$.k') as bigint) end as k from events")
+@query("f23_json_text", _scan_sql("select event_id, m, case when k is not null and state <> 'none' then json end as value, state, k from ks where k is not null"))
 def f23_json_text(spark, sf):
-    t = load(spark, sf, "events").withColumn("j", X.json_text(F.expr(_WRAP.replace("chr(10)", "'\\n'"))))
-    return t.select("event_id", c("j").alias("value"), F.from_json("j", "k long", {"mode": "PERMISSIVE"})["k"].alias("k"))
+    """Answers that can be read, by both ways of scanning; f23_quarantine has the others."""
+    good, _ = logs.split_failures(_scanned(spark, sf), logs.shared_path(spark, "answers"))
+    return good.select("event_id", "m", c("json").alias("value"), "state", _join(F.transform("rows", lambda x: F.coalesce(x["k"].cast("string"), F.lit("-")))).alias("k"))
+
+
+@query("f23_quarantine", _scan_sql("select event_id, m, json, 'no JSON: ' || state as error from ks where k is null"))
+def f23_quarantine(spark, sf):
+    _, dead = logs.split_failures(_scanned(spark, sf), logs.shared_path(spark, "answers"))
+    return dead.select("event_id", "m", "json", "error")
 
 
 @query("f24_content_hash", "with g as (select rec, count(distinct (h, iter)) n from (select conv_id rec, turn iter, md5(coalesce(text, '')) h from conversations) group by rec) select rec, n from g")
@@ -239,8 +270,26 @@ def a13_assemble_text(spark, sf):
 
 @query("p8_quarantine", Q.over("nf_rows") + f"select ok, seq, case when px is null then {Q.lit(R.FAILED)} else addr_cell end address, case when px is null then '' else use_cell end use_, case when px is null then '편집 실패: ' || price_cell else note_cell end note, case when px is null then '기타' else '아파트' end grp from (select *, try_cast(price_cell as bigint) px from nf_rows)")
 def p8_quarantine(spark, sf):
-    t = load(spark, sf, "nf_rows").select("ok", "seq", c("addr_cell").alias("address"), c("use_cell").alias("use"), c("note_cell").alias("note"), F.lit("아파트").alias("grp"), F.when(c("price_cell").try_cast("bigint").isNull(), c("price_cell")).alias("error"))
-    return rows.quarantine(t)[0].withColumnRenamed("use", "use_")
+    return rows.placeholders(_failing(spark, sf)).withColumnRenamed("use", "use_")
+
+
+def _failing(spark, sf):
+    t = load(spark, sf, "nf_rows")
+    return t.select("ok", "seq", c("addr_cell").alias("address"), c("use_cell").alias("use"), c("note_cell").alias("note"), F.lit("아파트").alias("grp"), F.when(c("price_cell").try_cast("bigint").isNull(), c("price_cell")).alias("error"))
+
+
+_P8 = "select ok, seq, addr_cell address, use_cell use_, note_cell note, '아파트' grp{} from nf_rows where try_cast(price_cell as bigint) is {}"
+
+
+@query("p8_good", Q.over("nf_rows") + _P8.format("", "not null"))
+def p8_good(spark, sf):
+    """The rows that didn't fail, as one run wrote them beside the dead letters."""
+    return logs.split_failures(_failing(spark, sf), logs.shared_path(spark, "rows"))[0].withColumnRenamed("use", "use_")
+
+
+@query("p8_dead_letters", Q.over("nf_rows") + _P8.format(", price_cell error", "null"))
+def p8_dead_letters(spark, sf):
+    return logs.split_failures(_failing(spark, sf), logs.shared_path(spark, "rows"))[1].withColumnRenamed("use", "use_")
 
 
 _W4 = (
@@ -639,10 +688,15 @@ def s5_append_log(spark, sf):
     return logs.read_log(spark, path).select("seq", "case_no", "grp")
 
 
-@query("s6_results", Q.over("nf_rows", *Q.RECORDS) + 'select rec_no, case_no, item_no, "use" use_, len(locations) n, note, doc_id job_id from rec')
+@query("s6_results", Q.over("nf_rows", *Q.RECORDS) + """select rec_no, case_no, item_no, "use" use_, len(locations) n, case when doc_id % 3 = 0 then '검수 ' || note else note end note, doc_id job_id
+ from rec where doc_id % 5 <> 1 and (doc_id % 3 <> 0 or rec_no % 2 = 1)""")
 def s6_results(spark, sf):
+    """All jobs written, then the reviewed ones again with fewer records, then some emptied; what holds for each job is read back."""
     records, path = _records(spark, sf).withColumnRenamed("doc_id", "job_id").drop("price_value"), logs.shared_path(spark, "results")
     logs.write_results(records, path)
+    reviewed = logs.read_results(spark, path, records.schema).filter("job_id % 3 = 0 and rec_no % 2 = 1")
+    logs.write_results(reviewed.withColumn("note", F.concat(F.lit("검수 "), "note")), path)
+    logs.write_results(records.limit(0), path, jobs=records.select("job_id").filter("job_id % 5 = 1").distinct())
     return logs.read_results(spark, path, records.schema).select("rec_no", "case_no", "item_no", c("use").alias("use_"), F.size("locations").cast("bigint").alias("n"), "note", "job_id")
 
 
@@ -678,7 +732,29 @@ def t2_fold_state(spark, sf):
     return history.fold_state(load(spark, sf, "nf_progress"), ["status", "phase", "error"])
 
 
+_T2 = "select job_id, arg_max(status, (ts, seq)) filter (where status is not null) status, arg_max(phase, (ts, seq)) filter (where phase is not null) phase, arg_max(error, (ts, seq)) filter (where error is not null) error from nf_progress group by job_id"
+
+
 # ---- streams, run to the end of what is there ----
+@query("t2_job_stream", Q.over("nf_progress", f"s as ({_T2})") + "select *, coalesce(status = 'done', false) closed from s")
+def t2_job_stream(spark, sf):
+    """Events in file batches in order of time, each batch with rows of the one before again; then late events, and one far in the future, after which done jobs are closed."""
+    events = load(spark, sf, "nf_progress").withColumn("ts", F.col("ts").cast("timestamp"))
+    path, target, checkpoint = (logs.shared_path(spark, n) for n in ("events", "states", "checkpoint"))
+    first, last = events.agg(F.min("ts"), F.max("ts")).first()
+    cuts = [first + (last - first) * k / 3 for k in range(4)]
+    for k in range(3):
+        part = events.filter((F.col("ts") >= (cuts[k - 1] if k else first)) & ((F.col("ts") < cuts[k + 1]) | F.lit(k == 2)))
+        part.coalesce(1).write.mode("append").parquet(path)
+    late = events.filter(F.col("ts") <= cuts[1]).select("job_id", F.lit(first).alias("ts"), (-F.col("seq")).alias("seq"), F.lit("late").alias("status"), F.lit("late").alias("phase"), F.lit("late").alias("error"))
+    clock = lambda days: spark.range(1).select(F.lit(-1).cast(events.schema["job_id"].dataType).alias("job_id"), F.lit(last + timedelta(days=days)).alias("ts"), F.lit(0).cast("long").alias("seq"), *(F.lit(None).cast("string").alias(f) for f in ("status", "phase", "error")))
+    late.unionByName(clock(4000)).coalesce(1).write.mode("append").parquet(path)
+    clock(4001).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    jobs.fold_jobs(stream, ["status", "phase", "error"], target, checkpoint, late="1 hour", keep=timedelta(days=3000)).awaitTermination()
+    return jobs.last_states(spark, target).filter("job_id <> -1")
+
+
 @query("t1_last_corrections", Q.over("nf_corrections") + "select seq, case_no, grp from nf_corrections order by seq desc limit 200")
 def t1_last_corrections(spark, sf):
     log, path, target = load(spark, sf, "nf_corrections"), logs.shared_path(spark, "feed"), logs.shared_path(spark, "last")

@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from datetime import timedelta
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from tidemill.functions import text as X
 from tidemill.operators import publish, rows
 from tidemill.sources import logs
+from tidemill.streaming import claims
 
 
 def correction_counts(spark: SparkSession, path: str) -> DataFrame:
@@ -41,11 +47,112 @@ def last_corrections(spark: SparkSession, target: str, before: int | None = None
     return found.filter(F.col("version") == F.lit(newest)).drop("version")
 
 
-def job_state(events: DataFrame, fields: list[str], late: str = "10 minutes", job: str = "job_id", ts: str = "ts", order: str = "seq") -> DataFrame:
-    """T2. The latest value of each field of each job, as history.fold_state; write it in update mode."""
-    at = F.struct(ts, order)
-    latest = [F.max_by(f, F.when(F.col(f).isNotNull(), at)).alias(f) for f in fields]
-    return events.withWatermark(ts, late).groupBy(job).agg(*latest)
+class FoldJob(StatefulProcessor):
+    """A job's fields, each with the time and number of the event that set it. A job that is done leaves the state `keep` milliseconds later, unless it starts again."""
+
+    def __init__(self, fields: list[str], job: str, ts: str, order: str, keep: int):
+        self.fields, self.job, self.ts, self.order, self.keep = fields, job, ts, order, keep
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.values = {f: handle.getValueState(f, "at long, seq long, value string") for f in self.fields}
+        self.ends = handle.getValueState("_ends", "at long")
+
+    def _row(self, key, held: dict, closed: bool) -> pd.DataFrame:
+        return pd.DataFrame({self.job: [key[0]]} | {f: pd.Series([held[f][2] if held[f] else None], dtype=object) for f in self.fields} | {"closed": [closed]})
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
+        # Spark itself drops events that were late before the last batch; those that became late by it are dropped here
+        watermark, seen = timerValues.getCurrentWatermarkInMs() * 1000, False
+        held = {f: v.get() if v.exists() else None for f, v in self.values.items()}
+        old = self.ends.get()[0] if self.ends.exists() else None
+        if old is not None and old * 1000 <= watermark:
+            # its time came with this batch, whose events belong to a new run
+            yield self._row(key, held, True)
+            self.handle.deleteTimer(old)
+            for v in (*self.values.values(), self.ends):
+                v.clear()
+            held, old = dict.fromkeys(held), None
+        before = dict(held)
+        for part in rows:
+            at = part[self.ts].astype("datetime64[us]").astype("int64").to_numpy()
+            timely = at >= watermark
+            seen |= bool(timely.any())
+            for f in self.fields:
+                some = part[f].notna().to_numpy() & timely
+                if some.any():
+                    newest = max(zip(at[some].tolist(), part[self.order][some].tolist(), part[f][some].tolist(), strict=True), key=lambda x: x[:2])
+                    if held[f] is None or newest[:2] >= tuple(held[f][:2]):
+                        held[f] = newest
+        for f, v in self.values.items():
+            if held[f] != before[f]:
+                v.update(held[f])
+        if not seen:
+            return
+        status = held["status"]
+        end = status[0] // 1000 + self.keep if status and status[2] == "done" else None
+        if end != old:
+            if old is not None:
+                self.handle.deleteTimer(old)
+                self.ends.clear()
+            if end is not None:
+                self.handle.registerTimer(end)
+                self.ends.update((end,))
+        yield self._row(key, held, False)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802
+        yield self._row(key, {f: v.get() if v.exists() else None for f, v in self.values.items()}, True)
+        for v in (*self.values.values(), self.ends):
+            v.clear()
+
+    def close(self) -> None:
+        pass
+
+
+STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+@contextmanager
+def state_store(spark: SparkSession) -> Iterator[None]:
+    """Streams that are started inside keep their state in RocksDB, which job_state needs; the session's setting is put back."""
+    name, provider = STATE_STORE
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, provider)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def job_state(events: DataFrame, fields: list[str], late: str = "10 minutes", keep: timedelta = timedelta(days=1), job: str = "job_id", ts: str = "ts", order: str = "seq") -> DataFrame:
+    """T2. The latest value of each field of each job, as history.fold_state, with `closed`; write it in update mode, started inside state_store().
+
+    `status` is one of the fields, all of them strings. A row comes for each job that a batch touches, and a last one, closed, when a done job leaves the
+    state: once the watermark is `keep` past the event that ended it. Events later than the watermark are passed over, so an ended job
+    doesn't come back by them; a later event is a new run, with nothing of the old one.
+    """
+    kind = dict(events.dtypes)[job]
+    out = f"{job} {kind}, " + ", ".join(f"{f} string" for f in fields) + ", closed boolean"
+    rows = events.select(job, ts, order, *fields).withWatermark(ts, late).groupBy(job)
+    return rows.transformWithStateInPandas(FoldJob(fields, job, ts, order, int(keep.total_seconds() * 1000)), T.StructType.fromDDL(out), "Update", "EventTime")
+
+
+def fold_jobs(events: DataFrame, fields: list[str], target: str, checkpoint: str, **options) -> StreamingQuery:
+    """T2 run to the end of what is there: each batch's rows under target, by epoch; a batch that is run again replaces its own."""
+
+    def keep_batch(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{target}/epoch={epoch}")
+
+    with state_store(events.sparkSession):
+        return job_state(events, fields, **options).writeStream.outputMode("update").foreachBatch(keep_batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def last_states(spark: SparkSession, target: str, job: str = "job_id") -> DataFrame:
+    """T2. The last row that fold_jobs wrote of each job."""
+    rows = spark.read.parquet(target)
+    names = [c for c in rows.columns if c != "epoch"]
+    # a batch that closes a job and has events of its next run gives two rows: the open one is the later
+    return rows.groupBy(job).agg(F.max_by(F.struct(*names), F.struct("epoch", ~F.col("closed"))).alias("s")).select("s.*")
 
 
 def published_notices(texts: DataFrame) -> DataFrame:
@@ -62,21 +169,22 @@ def published_notices(texts: DataFrame) -> DataFrame:
     return table.join(rows.headers(texts.select("job_id", "text")).drop("text"), "job_id")
 
 
-def ingest(spark: SparkSession, folder: str, sink: Callable[[DataFrame, int], None], checkpoint: str, done: str) -> StreamingQuery:
+def ingest(spark: SparkSession, folder: str, sink: Callable[[DataFrame, int], None], checkpoint: str, done: str, lease: float = claims.LEASE) -> StreamingQuery:
     """T3. New notice files, each once by its path, published; sink gets each micro-batch and should replace what it has of that batch.
 
-    Files of earlier batches stand in a table in the shared folder, so that a file counts as new however old its time is. A batch
-    that is run again does its own files again.
+    A file is claimed before it is worked on, in the table under `done` that all runs share (claims.py): what another run
+    holds or has done is passed over, however old the file's time is. A batch reads the claims of its own files' buckets
+    alone. A batch that is run again does its own files again; a run that died leaves its claims to others when the lease ends.
     """
-    finished = "job_id string, epoch long"
-    spark.createDataFrame([], finished).write.mode("append").parquet(done)
     # the source would leave out files much older than the newest one
     files = spark.readStream.option("maxFileAge", "36500d").text(folder, wholetext=True).select(F.col("_metadata.file_path").alias("job_id"), F.col("value").alias("text"))
+    run = hashlib.md5(checkpoint.encode()).hexdigest()
 
     def each(batch: DataFrame, epoch: int) -> None:
-        before = batch.sparkSession.read.schema(finished).parquet(done).filter(F.col("epoch") != epoch)
-        fresh = batch.dropDuplicates(["job_id"]).join(before, "job_id", "left_anti")
+        own = claims.Claims(batch.sparkSession, done, f"{run}-{epoch}", lease)
+        mine = own.claim(batch, f"{done}/batches/{run}-{epoch}")
+        fresh = batch.dropDuplicates(["job_id"]).join(mine.select("job_id"), "job_id", "left_semi")
         sink(published_notices(fresh), epoch)
-        fresh.select("job_id", F.lit(epoch).cast("long").alias("epoch")).write.mode("append").parquet(done)
+        own.finish(mine)
 
     return files.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
