@@ -77,14 +77,13 @@ def islands(df: DataFrame, doc: str = "doc_id", order: tuple[str, ...] = ("ok",
     return df.withColumn("item_no", F.last(F.when(F.col("_start"), F.col("_item")), True).over(running)).drop("_nos", "_tag", "_item", "_seg", "_last")
 
 
-def assemble(df: DataFrame, doc: str = "doc_id", order: tuple[str, ...] = ("ok", "seq")) -> DataFrame:
-    """A1. islands() -> a row a record: locations and notes in order, price and minimum of the first row with a price."""
+def assemble(df: DataFrame, doc: str = "doc_id", order: tuple[str, ...] = ("ok", "seq"), also: list[Column] | None = None) -> DataFrame:
+    """A1. islands() -> a row a record: locations and notes in order, price and minimum of the first row with a price; and further sums over its rows."""
     at = F.struct(*order)
     price = X.prices(F.col("price_cell"))
     place = F.struct(at.alias("at"), F.col("addr_cell").alias("addr"), F.col("detail_cell").alias("detail"))
     keep = F.col("_case") | (F.col("addr_cell") != "") | (F.col("detail_cell") != "")
     first_price = F.min(F.when(F.col("price_cell") != "", F.struct(at.alias("at"), price.alias("p"))))["p"]
-    in_order = lambda c, field: F.transform(F.array_sort(c), lambda x: x[field])
     grouped = df.groupBy(doc, "rec_no").agg(
         F.first("case_no").alias("case_no"),
         F.first("dup_tag").alias("dup_tag"),
@@ -92,14 +91,16 @@ def assemble(df: DataFrame, doc: str = "doc_id", order: tuple[str, ...] = ("ok",
         F.min(F.when(F.col("_start"), F.struct(at.alias("at"), F.col("use").alias("u"))))["u"].alias("use"),
         F.array_sort(F.collect_list(F.when(keep, place))).alias("_places"),
         first_price.alias("_price"),
-        F.collect_list(F.when(F.col("note_cell") != "", F.struct(at.alias("at"), F.col("note_cell").alias("n")))).alias("_notes"),
+        F.array_sort(F.collect_list(F.when(F.col("note_cell") != "", F.struct(at.alias("at"), F.col("note_cell").alias("n"))))).alias("_notes"),
+        *(also or []),
     )
+    known = {doc, "rec_no", "case_no", "dup_tag", "item_no", "use", "_places", "_price", "_notes"}
     blank = F.lit("")
     return grouped.select(
         doc, "rec_no", "case_no", "dup_tag", "item_no", "use",
         F.transform("_places", lambda x: F.struct(x["addr"].alias("addr"), x["detail"].alias("detail"))).alias("locations"),
         F.coalesce("_price.price", blank).alias("price"), F.coalesce("_price.min_price", blank).alias("min_price"), F.col("_price.price_value").alias("price_value"),
-        F.array_join(in_order(F.col("_notes"), "n"), "\n").alias("note"),
+        F.array_join(F.transform("_notes", lambda x: x["n"]), "\n").alias("note"), *(c for c in grouped.columns if c not in known),
     )
 
 

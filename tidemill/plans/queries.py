@@ -433,15 +433,18 @@ _ORDER = "case c.grp " + " ".join(f"when {Q.lit(g)} then {i + 1}" for i, g in en
  case when l.pos = 0 then coalesce(pl[1], '') || case when coalesce(pl[2], pl[1], '') <> '' then chr(10) || coalesce(pl[2], pl[1]) else '' end else '' end price_cell, case when l.pos = 0 then {Q.normal_note('r.note')} else '' end note_cell
  from rec r join loc3 l using (doc_id, rec_no) join cls c on r.doc_id = c.doc_id and r.case_no = c.case_no where {Q.in_groups('c.grp')}""")
 def published_table(spark, sf):
-    """Rows to records, normal addresses and notes, ditto, classes by rule, published form."""
-    records = _records(spark, sf)
+    """Rows to records, normal addresses and notes, ditto, classes by rule, published form. The rows are read and dealt out once, by document: islands, records and the flags of cases share the partitioning."""
+    islands = rows.islands(rows.rows_normalise(rows.as_cells(load(spark, sf, "nf_rows"))))
+    # the flags of a row are found before the rows are gathered, as a number
+    islands = islands.withColumn("_flags", publish.flags(F.concat_ws(" ", "use_cell", "detail_cell", "note_cell")))
+    records = rows.assemble(islands, also=[F.bit_or("_flags").alias("_any"), F.bit_and("_flags").alias("_all")])
+    records = publish.publishable(publish.classify_records(records))
     address = lambda x: X.normal_address(F.concat_ws(" ", x["addr"], x["detail"]))
     records = records.withColumn("locations", F.transform("locations", lambda x: F.struct(address(x).alias("address"), X.normal_use(x["detail"]).alias("use"))))
     records = records.withColumn("_towns", F.transform("locations", lambda x: X.town(x["address"])))
     same = lambda i: (i > 0) & (F.get("_towns", i) != "") & (F.get("_towns", i) == F.get("_towns", i - 1))
     records = records.withColumn("locations", F.transform("locations", lambda x, i: F.struct(F.when(same(i), places.same_place(x["address"])).otherwise(x["address"]).alias("address"), x["use"].alias("use"))))
-    records = records.withColumn("note", X.normal_note(c("note"))).join(_classified(spark, sf), ["doc_id", "case_no"])
-    return publish.published(records)
+    return publish.published(records.withColumn("note", X.normal_note(c("note"))))
 
 
 @query("p2_publishable", Q.over("nf_pred") + f"select doc_id, case_no, seq, pred_grp grp from nf_pred where {Q.in_groups('pred_grp')}")
