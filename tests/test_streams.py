@@ -141,3 +141,19 @@ def test_results_of_one_job(spark, tmp_path):
     assert read(1).count() == 3 and read(2).count() == one(2).count() == read().count() - 3
     logs.write_results(records.limit(0), path, jobs=spark.createDataFrame([(2,)], "job_id int"))
     assert read(2).count() == read(9).count() == 0 and read().count() == 3
+
+
+def test_pairs_of_written_folders(spark, tmp_path):
+    tree = {
+        "0320 법원-완료": ["0320 a.hwp", "CS_b.hwpx", "0320 b.pdf"],
+        "0321 법원-완료": ["0321 own.hwp", "0321 own.pdf", "원고/CS_c.hwp", "원고/x.hwp", "최종/z.pdf", "최종/수정 y.pdf", "기타/0321 no.hwp"],
+        "0322 법원-완료": ["0322 own.hwp", "원고/notes.txt", "최종/a.pdf"],
+        "0323 법원": ["0323 a.hwp", "0323 a.pdf"],
+    }
+    for folder, names in tree.items():
+        for name in names:
+            path = tmp_path / folder / name
+            path.parent.mkdir(parents=True, exist_ok=True)
+            path.write_bytes(b"x" * len(name))
+    got = {r["folder"]: (r["raw"], r["final"]) for r in files.pair_files(files.list_files(spark, str(tmp_path))).collect()}
+    assert got == {"0320 법원-완료": ("0320 a.hwp", "0320 b.pdf"), "0321 법원-완료": ("CS_c.hwp", "수정 y.pdf"), "0322 법원-완료": ("0322 own.hwp", "a.pdf")}

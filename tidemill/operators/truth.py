@@ -146,9 +146,16 @@ def both_differences(ours: DataFrame, truth: DataFrame) -> DataFrame:
     return truth.exceptAll(ours).withColumn("side", F.lit("missing")).unionByName(ours.exceptAll(truth).withColumn("side", F.lit("extra")))
 
 
-def accuracy(compared: DataFrame, published: DataFrame) -> DataFrame:
-    """A4. Per document and in total (doc_id null): counts and the rate in percent to one place."""
+def accuracy(compared: DataFrame, published: DataFrame, errors: DataFrame | None = None) -> DataFrame:
+    """A4. Per document and in total (doc_id null): counts, the rate in percent to one place, and whether, or how many, failed.
+
+    errors (doc_id, error): documents that couldn't be measured. They have a row each, and count in none of the sums but `failed`.
+    """
+    failed = (published.select("doc_id").limit(0) if errors is None else errors.select("doc_id")).distinct().withColumn("failed", F.lit(1))
     counts = compared.filter(F.col("grp").isin(R.GROUPS)).groupBy("doc_id").agg(F.count_if(F.col("verdict") != "extra").alias("truth_total"), F.count_if(F.col("verdict") == "match").alias("matched"))
     ours = published.groupBy("doc_id").agg(F.count_if(F.col("grp").isin(R.GROUPS)).alias("ours"), F.count_if(F.col("grp") == R.EXCLUDED).alias("excluded"))
-    total = counts.join(ours, "doc_id", "full").rollup("doc_id").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("truth_total", "matched", "ours", "excluded")), F.grouping("doc_id").alias("is_total"))
+    names = ("truth_total", "matched", "ours", "excluded")
+    rows = counts.join(ours, "doc_id", "full").join(failed, "doc_id", "full")
+    rows = rows.select("doc_id", *(F.when(F.col("failed").isNull(), F.col(c)).alias(c) for c in names), "failed")
+    total = rows.rollup("doc_id").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in (*names, "failed")), F.grouping("doc_id").alias("is_total"))
     return total.withColumn("rate", F.when(F.col("truth_total") > 0, F.round(F.col("matched") / F.col("truth_total") * 100, 1)).otherwise(0.0))

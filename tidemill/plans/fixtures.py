@@ -35,7 +35,7 @@ from j"""),
     "nf_revisions": ((), "select conv_id rec, turn iter, md5(case when conv_id%3=0 then role when conv_id%3=1 then 'same' else text end) h, text cur, case when turn%2=0 then concat('  ',text,' ') else role end expected, conv_id%4=0 pass from conversations"),
     "nf_progress": ((), "select user_id job_id, ts, event_id seq, case when event_type='purchase' then 'done' when event_type='signup' then 'running' end status, case when event_type in ('click','view') then event_type end phase, case when event_type='error' then props end error from events"),
     "nf_patch": ((), f"select cast(floor(o_custkey / 75) as bigint) job_id, cast(row_number() over (partition by floor(o_custkey / 75) order by o_orderkey)-1 as int) idx, {_GROUP.format('o_orderkey%7')} grp, case when o_orderkey%7=0 then '기타' when o_orderkey%13=0 then '없는그룹' end new_grp, case when o_orderkey%5=0 then concat('메모',cast(o_orderkey as TEXT)) end new_note, o_orderkey%11=0 deleted, case when o_orderkey%3=0 then cast(floor(o_totalprice) as bigint) end order_key from orders"),
-    "nf_files": ((), "select concat('0320 법원',cast(p_size as TEXT),case when p_size%4=0 then '' else '-완료' end) folder, concat(case when p_partkey%5=0 then '수정 ' when p_partkey%5=1 then 'CS_' when p_partkey%5=2 then '0320 ' else '' end, cast(p_partkey as TEXT), case when p_partkey%2=0 then '.hwp' else '.pdf' end) name, p_partkey*10%997 length from part"),
+    "nf_files": ((), "select concat('0320 법원',cast(p_size as TEXT),case when p_size%4=0 then '' else '-완료' end) folder, concat(case when p_partkey%5=0 then '수정 ' when p_partkey%5=1 then 'CS_' when p_partkey%5=2 then '0320 ' else '' end, cast(p_partkey as TEXT), case when p_partkey%2=0 then '.hwp' else '.pdf' end) name, p_partkey*10%997 length, case when p_partkey%3=0 then '' when p_partkey%7=0 then '기타' when p_size%3=0 then '' when p_partkey%2=0 then '원고' else '최종' end sub from part"),
     "nf_text": (("nf_rows",), {
         "duckdb": f"select doc_id, {_NOTICE.format(f'string_agg({_ROW_TEXT}, chr(10) order by ok, seq)')} text from nf_rows group by doc_id",
         "spark": f"select doc_id, {_NOTICE.format(f'array_join(transform(array_sort(collect_list(struct(ok, seq, {_ROW_TEXT} as l))), x -> x.l), chr(10))')} text from nf_rows group by doc_id",

@@ -594,11 +594,13 @@ def u3_intersection(spark, sf):
     return ours.intersect(real)
 
 
-@query("a4_accuracy", Q.over("nf_pred", *_CMP, f"k as (select doc_id, sum(case when verdict <> 'extra' then 1 else 0 end) truth_total, sum(case when verdict = 'match' then 1 else 0 end) matched from cmp where {Q.in_groups('grp')} group by 1)", f"p as (select doc_id, sum(case when {Q.in_groups('pred_grp')} then 1 else 0 end) ours, sum(case when pred_grp = '게재제외' then 1 else 0 end) excluded from nf_pred group by 1)", "b as (select doc_id, coalesce(truth_total, 0) truth_total, coalesce(matched, 0) matched, coalesce(ours, 0) ours, coalesce(excluded, 0) excluded from k full join p using (doc_id))") + "select doc_id, cast(sum(truth_total) as bigint) truth_total, cast(sum(matched) as bigint) matched, cast(sum(ours) as bigint) ours, cast(sum(excluded) as bigint) excluded from b group by rollup (doc_id)")
+@query("a4_accuracy", Q.over("nf_pred", *_CMP, f"k as (select doc_id, sum(case when verdict <> 'extra' then 1 else 0 end) truth_total, sum(case when verdict = 'match' then 1 else 0 end) matched from cmp where {Q.in_groups('grp')} group by 1)", f"p as (select doc_id, sum(case when {Q.in_groups('pred_grp')} then 1 else 0 end) ours, sum(case when pred_grp = '게재제외' then 1 else 0 end) excluded from nf_pred group by 1)", "e as (select distinct doc_id, 1 failed from nf_pred where case_no like '%77')", "b as (select doc_id, case when failed is null then truth_total else 0 end truth_total, case when failed is null then matched else 0 end matched, case when failed is null then ours else 0 end ours, case when failed is null then excluded else 0 end excluded, failed from k full join p using (doc_id) full join e using (doc_id))", "s as (select doc_id, cast(coalesce(sum(truth_total), 0) as bigint) truth_total, cast(coalesce(sum(matched), 0) as bigint) matched, cast(coalesce(sum(ours), 0) as bigint) ours, cast(coalesce(sum(excluded), 0) as bigint) excluded, cast(coalesce(sum(failed), 0) as bigint) failed from b group by rollup (doc_id))") + "select *, case when truth_total > 0 then round(matched / truth_total * 100, 1) else 0.0::double end rate from s")
 def a4_accuracy(spark, sf):
     ours, real = _sides(spark, sf)
     published = load(spark, sf, "nf_pred").withColumn("grp", c("pred_grp"))
-    return truth.accuracy(truth.compare(ours, real), published).select("doc_id", "truth_total", "matched", "ours", "excluded")
+    # documents that hold such a case count as not measured
+    errors = published.filter("case_no like '%77'").select("doc_id", F.lit("unreadable").alias("error"))
+    return truth.accuracy(truth.compare(ours, real), published, errors).drop("is_total")
 
 
 # ---- review ----
@@ -725,9 +727,9 @@ def w8_convergence(spark, sf):
     return history.convergence(load(spark, sf, "nf_revisions"))
 
 
-@query("w9_progress", Q.over("nf_progress", "p as (select job_id, seq, row_number() over (partition by job_id order by ts, seq) done, count(*) over (partition by job_id) total from nf_progress)") + "select job_id, seq, done, total, cast(10 + floor(80 * done / total) as bigint) percent from p")
+@query("w9_progress", Q.over("nf_progress", "p as (select job_id, seq, row_number() over (partition by job_id order by ts, seq) done, count(*) over (partition by job_id) total, (epoch(cast(ts as timestamp)) - epoch(cast(min(ts) over (partition by job_id) as timestamp))) * 0.9::double el from nf_progress)", "q as (select *, el / (done / total) - el + 5 eta from p)") + "select job_id, seq, done, total, cast(10 + floor(80 * done / total) as bigint) percent, case when done / total > 0.05 and eta > 0 and eta < 600 then round(eta, 3) end eta from q")
 def w9_progress(spark, sf):
-    return history.progress(load(spark, sf, "nf_progress")).select("job_id", "seq", F.col("done").cast("bigint").alias("done"), "total", "percent")
+    return history.progress(load(spark, sf, "nf_progress")).select("job_id", "seq", F.col("done").cast("bigint").alias("done"), "total", "percent", "eta")
 
 
 @query("t2_fold_state", Q.over("nf_progress") + "select job_id, arg_max(status, (ts, seq)) filter (where status is not null) status, arg_max(phase, (ts, seq)) filter (where phase is not null) phase, arg_max(error, (ts, seq)) filter (where error is not null) error from nf_progress group by job_id")
@@ -805,13 +807,13 @@ def s2_whole_texts(spark, sf):
     return files.read_notices(spark, path).select(F.regexp_extract("path", r"doc_id=(\d+)", 1).cast("bigint").alias("doc_id"), "text")
 
 
-@query("s8_pair_files", Q.over("nf_files", "d as (select *, trim(replace(folder, '-완료', '')) lb, regexp_replace(name, '\\.[^.]*$', '') st from nf_files where contains(folder, '-완료'))", r"r as (select folder, name from d where regexp_matches(name, '\.hwpx?$') qualify row_number() over (partition by folder order by case when starts_with(st, split_part(lb, ' ', 1)) then 0 when starts_with(st, 'CS_') then 1 else 2 end, length desc, name) = 1)", r"f as (select folder, name from d where regexp_matches(name, '\.pdf$') qualify row_number() over (partition by folder order by case when starts_with(name, '수정') then 0 when starts_with(st, split_part(lb, ' ', 1)) or (length(split_part(lb, ' ', 1)) > 2 and contains(st, split_part(lb, ' ', 1))) or (length(split_part(lb, ' ', 2)) > 2 and contains(st, split_part(lb, ' ', 2))) then 1 else 2 end, name) = 1)") + "select coalesce(r.folder, f.folder) folder, r.name raw, f.name final from r full join f on r.folder = f.folder")
+@query("s8_pair_files", Q.over("nf_files", "d as (select *, trim(replace(folder, '-완료', '')) lb, regexp_replace(name, '\\.[^.]*$', '') st from nf_files where contains(folder, '-완료'))", r"r as (select folder, name from d where regexp_matches(name, '\.hwpx?$') and sub in ('', '원고') qualify row_number() over (partition by folder order by sub = '', case when starts_with(st, split_part(lb, ' ', 1)) then 0 when starts_with(st, 'CS_') then 1 else 2 end, length desc, name) = 1)", r"f as (select folder, name from d where regexp_matches(name, '\.pdf$') and sub in ('', '최종') qualify row_number() over (partition by folder order by sub = '', case when starts_with(name, '수정') then 0 when starts_with(st, split_part(lb, ' ', 1)) or (length(split_part(lb, ' ', 1)) > 2 and contains(st, split_part(lb, ' ', 1))) or (length(split_part(lb, ' ', 2)) > 2 and contains(st, split_part(lb, ' ', 2))) then 1 else 2 end, name) = 1)") + "select coalesce(r.folder, f.folder) folder, r.name raw, f.name final from r full join f on r.folder = f.folder")
 def s8_pair_files(spark, sf):
     return files.pair_files(load(spark, sf, "nf_files"))
 
 
-@query("s9_words", Q.over("nf_words") + "select doc_id, page, count(*) n, max(top) bottom from nf_words where text <> '면적' group by 1, 2")
+@query("s9_words", Q.over("nf_words") + "select doc_id, page, count(*) n, max(top) bottom from nf_words group by 1, 2")
 def s9_words(spark, sf):
     path = logs.shared_path(spark, "words")
     load(spark, sf, "nf_words").write.parquet(path)
-    return files.read_words(spark, path).filter("text <> '면적'").groupBy("doc_id", "page").agg(F.count("*").alias("n"), F.max("top").alias("bottom"))
+    return files.read_words(spark, path).groupBy("doc_id", "page").agg(F.count("*").alias("n"), F.max("top").alias("bottom"))
