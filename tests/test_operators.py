@@ -41,6 +41,45 @@ def test_collapsed_rows_are_made_again(spark):
     assert len(got) == 3 and all("갑구7번윤석훈5/80지분전부" in a for a in got[1:])
 
 
+def test_shares_in_turn_against_plain_loops(spark):
+    """The decision and the shares of each location, with the texts' parts taken from the column functions."""
+    import re
+
+    from tidemill.plans.fixtures import load
+
+    in_order = lambda a, u: F.transform(F.array_sort(F.collect_list(F.struct("seq", F.col(a).alias("address"), F.col(u).alias("use")))), lambda x: F.struct(x["address"].alias("address"), x["use"].alias("use")))
+    df = load(spark, "/root/testdata/sf0.01", "nf_locs").filter("ok < 9000").groupBy("ok").agg(in_order("src_addr", "src_use").alias("src_locs"), in_order("out_addr", "out_use").alias("out_locs"))
+    shares = F.transform("src_locs", lambda x: X.shares(x["address"], x["use"]))
+    lots = F.transform("src_locs", lambda x: X.lot_tokens(places.match_text(x["address"], x["use"])))
+    place = F.transform("src_locs", lambda x: X.stripped(F.substring_index(X.strip_province(X.merge_space(x["address"])), "(", 1)))
+    parts = df.select("ok", shares.alias("shares"), lots.alias("lots"), place.alias("place"), F.transform("out_locs", lambda x: X.normal_address(x["address"])).alias("out")).collect()
+    got = {r["ok"]: r for r in places.enforce(df).select("ok", "rebuilt", "locations.address").collect()}
+
+    def target(out, lots, place):
+        scores = []
+        for a in out:
+            there = re.findall(r"(?:산)?\d+(?:-\d+)*", " ".join(a.split()))
+            scores.append(sum(t in there for t in lots) + 3 * bool(place and place in a))
+        return scores.index(max(scores))
+
+    squeeze, rebuilt = (lambda a: re.sub(r"\s+", "", a)), 0
+    for r in parts:
+        out, met = list(r["out"]), []
+        some = [x for x in zip(r["shares"], r["lots"], r["place"], strict=True) if x[0]]
+        for shares, lots, place in some:
+            at = target(out, lots, place)
+            met.append(at)
+            for s in shares:
+                if s not in squeeze(out[at]):
+                    out[at] = f"{out[at].rstrip()} [{s}]".strip()
+        whole = len(set(met)) == len(some) and all(s in squeeze(out[target(out, lots, place)]) for shares, lots, place in some for s in shares)
+        rebuilt += not whole
+        assert got[r["ok"]]["rebuilt"] == (not whole)
+        if whole:
+            assert [re.findall(r"\[.*?\]", a) for a in got[r["ok"]]["address"]] == [re.findall(r"\[.*?\]", a) for a in out]
+    assert 0 < rebuilt < len(parts)
+
+
 def test_lossy_note(spark):
     raw = "일괄매각. 제시외 건물 매각포함. 유치권 신고 있으나 성립여부 불분명. " + "내용이 이어지는 문장 " * 8
     df = spark.createDataFrame([(raw, raw.replace("유치권 신고 있으나 성립여부 불분명. ", "")), ("", "새 비고"), ("비고", None)], "r string, e string")

@@ -50,32 +50,40 @@ def best_match(source: DataFrame, edited: DataFrame, rec: str = "ok", pos: str =
 def enforce(df: DataFrame, rec: str = "ok") -> DataFrame:
     """A7. (rec, src_locs, out_locs: arrays of address and use) -> locations: edited ones, with what the source's shares need.
 
-    All are made again from the source if their numbers differ, if two source locations with shares meet in one output,
-    or if a share still lacks. Arrays hold one record's locations; no row moves.
+    Source locations with shares go in turn: each finds its output among those that hold the shares added so far, and adds its
+    own. All are made again from the source if the numbers of locations differ, if two source locations met in one output, or if
+    at the end a share isn't where its location is looked for. Arrays hold one record's locations; no row moves.
     """
     src, out = F.col("src_locs"), F.col("out_locs")
     df = df.withColumn("_fallback", F.transform(src, lambda s: X.from_source(s["address"], s["use"])))
     normal = F.transform(out, lambda o: F.struct(X.normal_address(o["address"]).alias("address"), X.normal_use(o["use"]).alias("use")))
     df = df.withColumn("_out", F.when(F.size(F.coalesce(out, F.array().cast(dict(df.dtypes)["out_locs"]))) == F.size(src), normal).otherwise(F.col("_fallback")))
-    df = df.withColumn("_tokens", F.transform("_out", lambda o: F.struct(X.lot_tokens(o["address"]).alias("lots"), o["address"].alias("a"))))
-
-    def target(s: Column) -> Column:
-        lots = X.lot_tokens(match_text(s["address"], s["use"]))
-        place = X.stripped(F.substring_index(X.strip_province(X.merge_space(s["address"])), "(", 1))
-        scores = F.transform("_tokens", lambda o: F.size(F.filter(lots, lambda t: F.array_contains(o["lots"], t))) + F.when((place != "") & o["a"].contains(place), 3).otherwise(0))
-        return F.array_position(scores, F.array_max(scores)).cast("int")
-
-    df = df.withColumn("_src", F.transform(src, lambda s: F.struct(X.shares(s["address"], s["use"]).alias("shares"), target(s).alias("target"))))
-    df = df.withColumn("_some", F.filter("_src", lambda s: F.size(s["shares"]) > 0))
-    added = F.transform("_out", lambda o, i: F.struct(F.aggregate(F.filter("_some", lambda s: s["target"] == i + 1), o["address"], lambda a, s: X.with_missing(a, s["shares"])).alias("address"), o["use"].alias("use")))
-    df = df.withColumn("_added", added)
-    apart = F.size(F.array_distinct(F.transform("_some", lambda s: s["target"]))) == F.size("_some")
-    whole = F.forall("_some", lambda s: F.forall(s["shares"], lambda x: X.squeezed(F.get("_added", s["target"] - 1)["address"]).contains(x)))
-    kept = F.when((F.size("_some") == 0) | (apart & whole), F.col("_added")).otherwise(F.col("_fallback"))
+    place = lambda s: X.stripped(F.substring_index(X.strip_province(X.merge_space(s["address"])), "(", 1))
+    sought = F.transform(src, lambda s: F.struct(X.shares(s["address"], s["use"]).alias("shares"), X.lot_tokens(match_text(s["address"], s["use"])).alias("lots"), place(s).alias("place")))
+    df = df.withColumn("_some", F.filter(sought, lambda s: F.size(s["shares"]) > 0))
+
+    def target(locs: Column, s: Column) -> Column:
+        """The place from 1 of the output that holds most of what is sought; of equal ones the first."""
+        score = lambda o: X.once(X.lot_tokens(o["address"]), lambda lots: F.size(F.filter(s["lots"], lambda t: F.array_contains(lots, t)))) + F.when((s["place"] != "") & o["address"].contains(s["place"]), 3).otherwise(0)
+        return X.once(F.transform(locs, score), lambda scores: F.array_position(scores, F.array_max(scores)).cast("int"))
+
+    def add(state: Column, s: Column) -> Column:
+        put = lambda at: F.struct(
+            F.transform(state["locs"], lambda o, i: F.struct(F.when(i + 1 == at, X.with_missing(o["address"], s["shares"])).otherwise(o["address"]).alias("address"), o["use"].alias("use"))).alias("locs"),
+            F.concat(state["met"], F.array(at)).alias("met"),
+        )
+        return X.once(target(state["locs"], s), put)
+
+    start = F.struct(F.transform("_out", lambda o: F.struct(o["address"].alias("address"), o["use"].alias("use"))).alias("locs"), F.array().cast("array<int>").alias("met"))
+    df = df.withColumn("_state", F.aggregate("_some", start, add))
+    apart = F.size(F.array_distinct("_state.met")) == F.size("_some")
+    there = lambda s, locs: X.once(target(locs, s), lambda at: F.forall(s["shares"], lambda x: X.squeezed(F.get(locs, at - 1)["address"]).contains(x)))
+    df = df.withColumn("_whole", apart & F.forall("_some", lambda s: there(s, F.col("_state.locs"))))
+    kept = F.when(F.col("_whole"), F.col("_state.locs")).otherwise(F.col("_fallback"))
     df = df.withColumn("_kept", kept)
     before = lambda i: F.get("_kept", i - 1)["address"]
     ditto = F.transform("_kept", lambda o, i: F.struct(F.when((i > 0) & (X.town(o["address"]) != "") & (X.town(o["address"]) == X.town(before(i))), same_place(o["address"])).otherwise(o["address"]).alias("address"), o["use"].alias("use")))
-    return df.withColumn("locations", ditto).withColumn("rebuilt", (F.size("_some") > 0) & ~(apart & whole)).drop("_fallback", "_out", "_tokens", "_src", "_some", "_added", "_kept")
+    return df.withColumn("locations", ditto).withColumn("rebuilt", ~F.col("_whole")).drop("_fallback", "_out", "_some", "_state", "_whole", "_kept")
 
 
 def same_place(address: Column) -> Column:
