@@ -108,6 +108,28 @@ def test_records(spark):
     ]
 
 
+def test_mixed_case(spark):
+    """Rows of vehicles go, with the rows that follow them; a row that names both is real estate; rows without flags are too."""
+    texts = ["임야 10㎡", "차명 포터 연식 2019", "보관장소 안동", None, "등록번호 3 임야", "", "차명 봉고", "선명 한별"]
+    rec = [1, 2, 2, 2, 3, 4, 4, 5]
+    t = spark.createDataFrame([(1, i, 0, r, x) for i, (r, x) in enumerate(zip(rec, texts, strict=True))], "doc_id int, ok int, seq int, rec_no int, text string")
+    got = publish.parts(t.withColumn("_flags", publish.flags(F.col("text")))).orderBy("ok").collect()
+    assert [r["vehicle"] for r in got] == [False, True, True, True, False, False, True, True]
+    records = spark.createDataFrame([(1, "a", True, 1, 1), (1, "a", False, 1 << 12, 1 << 12), (1, "b", True, 1, 0)], "doc_id int, case_no string, vehicle boolean, _any int, _all int")
+    got = publish.classify_records(records, vehicle="vehicle").collect()
+    assert {(r["case_no"], r["vehicle"], r["grp"]) for r in got} == {("a", True, "게재제외"), ("a", False, "대지/임야/전답"), ("b", True, "게재제외")}
+    assert publish.parts(t.limit(0).withColumn("_flags", publish.flags(F.col("text")))).count() == 0
+
+
+def test_tag_by_lines(spark):
+    """Four lines move the tag, five don't, be they of locations or of the note."""
+    line = "가" * 10
+    cases = [([line] * 4, "1[중복]", "일괄매각"), ([line] * 5, "1[중복]", "일괄매각"), ([line + "나", line * 2], "1[중복]", ""), ([line * 5], "1[중복]", None), ([line], "1[중복]", line * 4 + "다"), ([line], "", "x"), ([line], None, "x"), (None, "1[병합]", "x"), ([None, "", "a\nb"], "1[병합]", "x")]
+    t = spark.createDataFrame([(i, [(a,) for a in p] if p is not None else None, tag, note) for i, (p, tag, note) in enumerate(cases)], "i int, locations array<struct<address:string>>, dup_tag string, note string")
+    got = [(r["dup_tag"], r["note"]) for r in publish.place_tags(t, width=10).orderBy("i").collect()]
+    assert got == [("", "1[중복].일괄매각"), ("1[중복]", "일괄매각"), ("", "1[중복]"), ("1[중복]", None), ("1[중복]", line * 4 + "다"), ("", "x"), (None, "x"), ("", "1[병합].x"), ("", "1[병합].x")]
+
+
 def slow_stitch(words):
     used, out = set(), []
     for i, (no, top, x0, text) in enumerate(words):
@@ -148,7 +170,7 @@ def test_empty_tables(spark):
     assert spark.createDataFrame([(None,)], "t string").select(X.normal_address(F.col("t")).alias("x")).first()["x"] == ""
 
 
-NAMES = ["published_table", "w3_segment", "a1_assemble", "j2_best_match", "j4_w5_assign_groups", "a4_accuracy", "j3_w6_similar", "w8_convergence", "f8_share_notation", "s8_pair_files"]
+NAMES = ["published_table", "f30_mixed", "f16_place_tags", "w4_merge_floors", "u1_candidates", "w3_segment", "a1_assemble", "j2_best_match", "j4_w5_assign_groups", "a4_accuracy", "j3_w6_similar", "w8_convergence", "f8_share_notation", "s8_pair_files"]
 
 
 @pytest.mark.parametrize("name", NAMES)

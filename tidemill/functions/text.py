@@ -211,6 +211,12 @@ def order_note(c: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(ranked), lambda s: s["x"]), ".")
 
 
+def printed_lines(parts: Column, width: int) -> Column:
+    """Lines that texts take in a column `width` characters wide. Each text, and each line of one, begins a new line; an empty or null text takes one."""
+    lines = F.flatten(F.transform(parts, lambda x: F.split(text(x), "\n")))
+    return F.aggregate(lines, F.lit(0).cast("bigint"), lambda n, x: n + F.greatest(F.ceil(F.length(x) / width), F.lit(1)))
+
+
 def shorten_list(c: Column) -> Column:
     """목록1,2,3,7 -> 목록1~3,7, for each list of a text. Runs of three or more numbers are joined, two keep their comma. A list with a number beyond bigint stays as it is."""
     c = text(c)

@@ -77,14 +77,17 @@ def islands(df: DataFrame, doc: str = "doc_id", order: tuple[str, ...] = ("ok",
     return df.withColumn("item_no", F.last(F.when(F.col("_start"), F.col("_item")), True).over(running)).drop("_nos", "_tag", "_item", "_seg", "_last")
 
 
-def assemble(df: DataFrame, doc: str = "doc_id", order: tuple[str, ...] = ("ok", "seq"), also: list[Column] | None = None) -> DataFrame:
-    """A1. islands() -> a row a record: locations and notes in order, price and minimum of the first row with a price; and further sums over its rows."""
+def assemble(df: DataFrame, doc: str = "doc_id", order: tuple[str, ...] = ("ok", "seq"), also: list[Column] | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """A1. islands() -> a row a record: locations and notes in order, price and minimum of the first row with a price; and further sums over its rows.
+
+    `by`: columns that part a record further; a part without the record's first row has no use.
+    """
     at = F.struct(*order)
     price = X.prices(F.col("price_cell"))
     place = F.struct(at.alias("at"), F.col("addr_cell").alias("addr"), F.col("detail_cell").alias("detail"))
     keep = F.col("_case") | (F.col("addr_cell") != "") | (F.col("detail_cell") != "")
     first_price = F.min(F.when(F.col("price_cell") != "", F.struct(at.alias("at"), price.alias("p"))))["p"]
-    grouped = df.groupBy(doc, "rec_no").agg(
+    grouped = df.groupBy(doc, "rec_no", *by).agg(
         F.first("case_no").alias("case_no"),
         F.first("dup_tag").alias("dup_tag"),
         F.first("item_no").alias("item_no"),

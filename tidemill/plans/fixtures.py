@@ -27,6 +27,13 @@ TABLES: dict[str, tuple] = {
  case when pk%5=0 then concat(cast(px as TEXT),cast(px as TEXT)) when pk%5=1 then '' else concat(cast(px as TEXT),chr(10),cast(px - px%1000 as TEXT)) end price_cell,
  case when pk%6=0 then '일괄매각. 농지취득자격증명원 제출요(미제출시 보증금 미반환).' when pk%6=1 then '지분매각. 토지별도등기 있음' when pk%6=2 then concat('목록1,2,3,', cast(5+ln as TEXT), ' 제시외 건물 포함임') else '' end note_cell
 from j"""),
+    "nf_floors": (("j",), """select ok, cast(seq as int) seq, concat(case pk%4 when 0 then '철근콘크리트구조 ' when 1 then '지하 9 층 7㎡ ' else '' end, '1층 ', cast(q as TEXT), '㎡',
+   case sk%6 when 0 then '' when 1 then concat(' 2층 ', cast(q as TEXT), '㎡') when 2 then concat(' 2층 ', cast(q as TEXT), '㎡ 3층', cast(q as TEXT), ' ㎡ 옥탑')
+    when 3 then concat('(주방) 02층 ', cast(q + 1 as TEXT), '.50㎡ / 3층 ', cast(q + 1 as TEXT), '.50㎡, 4층 ', cast(q + 1 as TEXT), '.50㎡') when 4 then concat(' 3층 ', cast(q as TEXT), '㎡ 5층 ', cast(q as TEXT), '㎡ 6층 8㎡ 7층 8㎡ 8층 8㎡ 1층 8㎡ 끝')
+    else concat(' 2층 8㎡ 3층 8㎡ 4층 8㎡ 5층 8㎡ 9층 ', cast(q as TEXT), '㎡') end, case when pk%3=0 then ' 부속' else '' end) text from j"""),
+    "nf_mixed": (("nf_rows",), """select doc_id, ok, seq, case_cell, item_cell, case when ok%3=0 and (seq%3=1 or ok%5=0) then '' else use_cell end use_cell, addr_cell,
+ case when ok%3=0 and (seq%3=1 or ok%5=0) then concat('차명 포터 연식 20', cast(10+seq as TEXT)) when ok%3=0 and seq%3=2 then '보관장소 보관소' else detail_cell end detail_cell, price_cell, case when ok%3=0 then '' else note_cell end note_cell
+from (select doc_id, ok, seq, case_cell, case when ok%2=0 and seq>1 then '' else item_cell end item_cell, case when ok%3=0 and seq%3=2 then '' else use_cell end use_cell, addr_cell, detail_cell, price_cell, note_cell from nf_rows) r"""),
     "nf_locs": (("nf_rows",), "select ok, seq, addr_cell src_addr, detail_cell src_use, case when seq%3=0 then replace(addr_cell,'경기도 ','') else addr_cell end out_addr, case when seq%2=0 then detail_cell else '대' end out_use from nf_rows"),
     "nf_notes": (("nf_rows",), "select ok, seq, note_cell raw_note, case when seq%4=0 then '' when seq%4=1 then note_cell when seq%4=2 then substring(note_cell,1,6) else replace(note_cell,'일괄매각','') end edit_note from nf_rows"),
     "nf_pred": (("j",), f"select cast(floor(ok / 300) as int) doc_id, cast(y as TEXT)||'타경'||cast(ok as TEXT) case_no, cast(seq as int) seq, cast(ln as TEXT) item_no, {_GROUP.format('pk%7')} pred_grp, {_GROUP.format('(case when sk%10=0 then (pk+1)%6 else pk%6 end)')} truth_grp from j"),

@@ -202,10 +202,10 @@ def f23_quarantine(spark, sf):
     return dead.select("event_id", "m", "json", "error")
 
 
-@query("f24_content_hash", "with g as (select rec, count(distinct (h, iter)) n from (select conv_id rec, turn iter, md5(coalesce(text, '')) h from conversations) group by rec) select rec, n from g")
+@query("f24_content_hash", """select conv_id rec, turn iter, md5('{"iter":' || turn || case when v is null then '' else ',"text":' || to_json(v) end || '}') h from (select *, case when turn % 3 = 0 then role || chr(10) || '"' || conv_id || '\\' || chr(9) else text end v from conversations)""")
 def f24_content_hash(spark, sf):
-    t = load(spark, sf, "nf_revisions").select("rec", "iter", F.col("cur").alias("text"))
-    return t.select("rec", history.content_hash("iter", "text").alias("h")).groupBy("rec").agg(F.countDistinct("h").alias("n"))
+    t = load(spark, sf, "conversations").withColumn("text", F.when(c("turn") % 3 == 0, F.concat("role", F.lit('\n"'), "conv_id", F.lit("\\\t"))).otherwise(c("text")))
+    return t.select(c("conv_id").alias("rec"), c("turn").alias("iter"), c("text")).select("rec", "iter", history.content_hash("text", "iter").alias("h"))
 
 
 @query("f25_event_json", """select event_id, '{"event":"progress","event_id":' || event_id || ',"user_id":' || user_id || '}' as value from events""")
@@ -239,11 +239,11 @@ def p1_drop_headers(spark, sf):
     return rows.drop_headers(t).select("ok", "seq", "item_cell")
 
 
-@query("p10_tables", Q.over("nf_rows") + "select 'header' part, count(*) n from nf_rows where ok % 3 = 0 union all select 'body', count(*) from nf_rows where ok % 3 > 0")
+@query("p10_tables", Q.over("nf_rows") + "select ok, seq, ok % 3 table_no, case when ok % 3 = 0 then 'header' else 'body' end part from nf_rows")
 def p10_tables(spark, sf):
     t = load(spark, sf, "nf_rows").withColumn("table_no", c("ok") % 3)
-    count = lambda d, part: d.agg(F.count("*").alias("n")).select(F.lit(part).alias("part"), "n")
-    return count(rows.header_table(t), "header").unionByName(count(rows.body_tables(t), "body"))
+    parts = rows.header_table(t).withColumn("part", F.lit("header")).unionByName(rows.body_tables(t).withColumn("part", F.lit("body")))
+    return parts.select("ok", "seq", "table_no", "part")
 
 
 def _records(spark, sf):
@@ -292,15 +292,21 @@ def p8_dead_letters(spark, sf):
     return logs.split_failures(_failing(spark, sf), logs.shared_path(spark, "rows"))[1].withColumnRenamed("use", "use_")
 
 
+# a text is cut at its tokens; runs of equal area are gathered, and what follows the last token of each stays
+_FLOOR = Q.lit(spaced(R.FLOOR))
 _W4 = (
-    f"tk as (select ok, seq, unnest(regexp_extract_all(detail_cell, {Q.lit(spaced(R.FLOOR))}, 1)) f, unnest(regexp_extract_all(detail_cell, {Q.lit(spaced(R.FLOOR))}, 2)) a, generate_subscripts(regexp_extract_all(detail_cell, {Q.lit(spaced(R.FLOOR))}), 1) i from nf_rows)",
-    "pr as (select ok, seq, max(case when i = 1 then f end) f1, max(case when i = 1 then a end) a1, max(case when i = 2 then f end) f2, max(case when i = 2 then a end) a2 from tk group by ok, seq)",
+    f"cut as (select ok, seq, text, string_split(regexp_replace(text, {_FLOOR}, chr(1) || '\\1' || chr(2) || '\\2' || chr(2), 'g'), chr(1)) l from nf_floors)",
+    "tk as (select ok, seq, i, split_part(t, chr(2), 1) f, split_part(t, chr(2), 2) a, split_part(t, chr(2), 3) rest from (select ok, seq, unnest(l) t, generate_subscripts(l, 1) i from cut) where i > 1)",
+    "mk as (select *, case when a = lag(a) over (partition by ok, seq order by i) then 0 else 1 end s from tk)",
+    "rn as (select *, sum(s) over (partition by ok, seq order by i) r from mk)",
+    "gp as (select ok, seq, r, any_value(a) a, count(*) n, list(f order by i) fs, list(f::bigint - i order by i) steps, min(f::bigint) lo, max(f::bigint) hi, arg_max(rest, i) rest from rn group by ok, seq, r)",
+    "sh as (select ok, seq, string_agg(case when n = 1 then fs[1] when n >= 3 and len(list_distinct(steps)) = 1 then lo || '~' || hi else array_to_string(fs, ',') end || case when n > 1 then '층각' else '층' end || a || '㎡' || rest, '' order by r) v from gp group by ok, seq)",
 )
 
 
-@query("w4_merge_floors", Q.over("nf_rows", *_W4) + f"select n.ok, n.seq, case when a1 = a2 then regexp_replace(detail_cell, {Q.lit(spaced(R.FLOOR) + '.*' + spaced(R.FLOOR))}, f1 || ',' || f2 || '층각' || a1 || '㎡') else regexp_replace(detail_cell, {Q.lit(spaced(R.FLOOR))}, '\\1층\\2㎡', 'g') end as value from nf_rows n join pr using (ok, seq)")
+@query("w4_merge_floors", Q.over("nf_floors", *_W4) + "select c.ok, c.seq, case when len(l) < 3 then text else l[1] || v end as value from cut c left join sh using (ok, seq)")
 def w4_merge_floors(spark, sf):
-    return load(spark, sf, "nf_rows").select("ok", "seq", X.merge_floors(c("detail_cell")).alias("value"))
+    return load(spark, sf, "nf_floors").select("ok", "seq", X.merge_floors(c("text")).alias("value"))
 
 
 _NA = Q.normal_address("addr_cell")
@@ -418,6 +424,34 @@ def f30_classify(spark, sf):
     return _classified(spark, sf)
 
 
+def _flagged(spark, sf, table):
+    """Rows of islands with their flags, which are found before rows are gathered, as a number; and what is a vehicle's."""
+    t = rows.islands(rows.rows_normalise(rows.as_cells(load(spark, sf, table))))
+    return publish.parts(t.withColumn("_flags", publish.flags(F.concat_ws(" ", "use_cell", "detail_cell", "note_cell"))))
+
+
+def _sums():
+    return [F.bit_or("_flags").alias("_any"), F.bit_and("_flags").alias("_all")]
+
+
+_ESTATE = "|".join((R.FACTORIES, R.FIELDS, R.HOUSES, R.FLATS, R.ROWS, R.SHOPS, R.LODGINGS, R.LANDS))
+_MIXED = (
+    *(x.replace("from nf_rows", "from nf_mixed") for x in Q.ISLANDS),
+    "tx as (select *, use_cell || ' ' || detail_cell || ' ' || note_cell as text from isl)",
+    f"kd as (select *, case when regexp_matches(text, {Q.lit(_ESTATE)}) then 0 when regexp_matches(text, {Q.lit(R.VEHICLES)}) then 1 end k from tx)",
+    "pt as (select *, coalesce(last_value(k ignore nulls) over (partition by doc_id, rec_no order by ok, seq rows between unbounded preceding and current row), 0) = 1 vehicle from kd)",
+    "es as (select * from pt where not vehicle)", Q.flags_sql("es"),
+    "rp as (select doc_id, rec_no, vehicle, any_value(case_no) case_no, any_value(item_no) item_no, cast(count(*) filter (where is_case or addr_cell <> '' or detail_cell <> '') as int) n from pt group by doc_id, rec_no, vehicle)",
+)
+
+
+@query("f30_mixed", Q.over("nf_mixed", *_MIXED) + f"select r.doc_id, cast(rec_no as bigint) rec_no, vehicle, r.case_no, item_no, n, case when vehicle then {Q.lit(R.EXCLUDED)} else grp end grp from rp r left join cls c on r.doc_id = c.doc_id and r.case_no = c.case_no")
+def f30_mixed(spark, sf):
+    """Records of cases that hold vehicles and real estate: the vehicles' rows leave as records of their own, the rest is classed without them."""
+    records = rows.assemble(_flagged(spark, sf, "nf_mixed"), also=_sums(), by=("vehicle",))
+    return publish.classify_records(records, vehicle="vehicle").select("doc_id", "rec_no", "vehicle", "case_no", "item_no", F.size("locations").alias("n"), "grp")
+
+
 _PUB = (
     *Q.RECORDS, "ct as (select doc_id, case_no, use_cell || ' ' || detail_cell || ' ' || note_cell as text from isl)", Q.flags_sql("ct"),
     f"loc0 as (select doc_id, rec_no, unnest(locations) l, generate_subscripts(locations, 1) - 1 pos from rec)",
@@ -425,26 +459,43 @@ _PUB = (
     f"loc2 as (select *, {Q.town('a')} tn, lag({Q.town('a')}) over (partition by doc_id, rec_no order by pos) before from loc1)",
     f"loc3 as (select doc_id, rec_no, pos, case when tn <> '' and tn = before then {Q.same_place('a')} else a end address, u from loc2)",
 )
+_LINES = lambda x: f"greatest(ceil(length({x}) / 30.0), 1)"
+_TAGS = (
+    f"nn as (select doc_id, rec_no, dup_tag, {Q.normal_note('note')} nt from rec)",
+    f"hi as (select doc_id, rec_no, sum({_LINES('address')}) h from loc3 group by doc_id, rec_no)",
+    f"tg as (select nn.doc_id, nn.rec_no, dup_tag, nt, coalesce(dup_tag, '') <> '' and greatest(coalesce(h, 0), case when nt = '' then 0 else {_LINES('nt')} end) <= 4 moves from nn left join hi on nn.doc_id = hi.doc_id and nn.rec_no = hi.rec_no)",
+    "tp as (select doc_id, rec_no, moves, case when moves then '' else dup_tag end tag_cell, case when moves then dup_tag || case when nt = '' then '' else '.' || nt end else nt end note_text from tg)",
+)
 _ORDER = "case c.grp " + " ".join(f"when {Q.lit(g)} then {i + 1}" for i, g in enumerate(R.GROUPS)) + " end"
 
 
-@query("published_table", Q.over("nf_rows", *_PUB) + f"""select r.doc_id, r.rec_no, c.grp, cast({_ORDER} as bigint) group_order, cast(l.pos as int) pos,
- case when l.pos = 0 then r.case_no || case when r.dup_tag <> '' then chr(10) || r.dup_tag else '' end else '' end case_cell, case when l.pos = 0 then r.item_no else '' end item_cell, l.address, l.u use_cell,
- case when l.pos = 0 then coalesce(pl[1], '') || case when coalesce(pl[2], pl[1], '') <> '' then chr(10) || coalesce(pl[2], pl[1]) else '' end else '' end price_cell, case when l.pos = 0 then {Q.normal_note('r.note')} else '' end note_cell
- from rec r join loc3 l using (doc_id, rec_no) join cls c on r.doc_id = c.doc_id and r.case_no = c.case_no where {Q.in_groups('c.grp')}""")
-def published_table(spark, sf):
-    """Rows to records, normal addresses and notes, ditto, classes by rule, published form. The rows are read and dealt out once, by document: islands, records and the flags of cases share the partitioning."""
-    islands = rows.islands(rows.rows_normalise(rows.as_cells(load(spark, sf, "nf_rows"))))
-    # the flags of a row are found before the rows are gathered, as a number
-    islands = islands.withColumn("_flags", publish.flags(F.concat_ws(" ", "use_cell", "detail_cell", "note_cell")))
-    records = rows.assemble(islands, also=[F.bit_or("_flags").alias("_any"), F.bit_and("_flags").alias("_all")])
-    records = publish.publishable(publish.classify_records(records))
+def _addressed(records):
+    """Records with normal addresses, uses and notes; places of one town after the other are written once."""
     address = lambda x: X.normal_address(F.concat_ws(" ", x["addr"], x["detail"]))
     records = records.withColumn("locations", F.transform("locations", lambda x: F.struct(address(x).alias("address"), X.normal_use(x["detail"]).alias("use"))))
     records = records.withColumn("_towns", F.transform("locations", lambda x: X.town(x["address"])))
     same = lambda i: (i > 0) & (F.get("_towns", i) != "") & (F.get("_towns", i) == F.get("_towns", i - 1))
     records = records.withColumn("locations", F.transform("locations", lambda x, i: F.struct(F.when(same(i), places.same_place(x["address"])).otherwise(x["address"]).alias("address"), x["use"].alias("use"))))
-    return publish.published(records.withColumn("note", X.normal_note(c("note"))))
+    return records.withColumn("note", X.normal_note(c("note")))
+
+
+@query("published_table", Q.over("nf_rows", *_PUB, *_TAGS) + f"""select r.doc_id, r.rec_no, c.grp, cast({_ORDER} as bigint) group_order, cast(l.pos as int) pos,
+ case when l.pos = 0 then r.case_no || case when t.tag_cell <> '' then chr(10) || t.tag_cell else '' end else '' end case_cell, case when l.pos = 0 then r.item_no else '' end item_cell, l.address, l.u use_cell,
+ case when l.pos = 0 then coalesce(pl[1], '') || case when coalesce(pl[2], pl[1], '') <> '' then chr(10) || coalesce(pl[2], pl[1]) else '' end else '' end price_cell, case when l.pos = 0 then t.note_text else '' end note_cell
+ from rec r join loc3 l using (doc_id, rec_no) join tp t using (doc_id, rec_no) join cls c on r.doc_id = c.doc_id and r.case_no = c.case_no where {Q.in_groups('c.grp')}""")
+def published_table(spark, sf):
+    """Rows to records, normal addresses and notes, ditto, classes by rule, published form. The rows are read and dealt out once, by document: islands, records and the flags of cases share the partitioning."""
+    records = rows.assemble(_flagged(spark, sf, "nf_rows"), also=_sums(), by=("vehicle",))
+    records = publish.publishable(publish.classify_records(records, vehicle="vehicle"))
+    return publish.published(publish.place_tags(_addressed(records)))
+
+
+@query("f16_place_tags", Q.over("nf_rows", *_PUB, *_TAGS) + "select doc_id, rec_no, moves, tag_cell, note_text from tp")
+def f16_place_tags(spark, sf):
+    """Every record's tag and note, after tags went to the notes of records of at most four lines."""
+    records = _addressed(rows.assemble(rows.islands(rows.rows_normalise(rows.as_cells(load(spark, sf, "nf_rows"))))))
+    records = publish.place_tags(records.withColumn("_before", c("dup_tag")))
+    return records.select("doc_id", "rec_no", ((c("_before") != "") & (c("dup_tag") == "")).alias("moves"), c("dup_tag").alias("tag_cell"), c("note").alias("note_text"))
 
 
 @query("p2_publishable", Q.over("nf_pred") + f"select doc_id, case_no, seq, pred_grp grp from nf_pred where {Q.in_groups('pred_grp')}")
@@ -495,12 +546,17 @@ def j5_stitched(spark, sf):
     return truth.stitched(load(spark, sf, "nf_words"))
 
 
+_TB = r"select cast(floor(ok / 2000) as int) doc_id, cast(floor(ok / 100) as int) page, cast(seq as bigint) word_no, cast(ok * 7 % 400 as double) top, cast(ok * 37 % 500 as double) x0, regexp_extract(case_cell, '\d{4}타경\d+') case_no, 'table' source from nf_rows where ok % 5 <> 0 and regexp_matches(case_cell, '\d{4}타경\d+')"
+
+
 def _tables(spark, sf):
+    """Tables on the pages of the words, all over the page."""
     t = load(spark, sf, "nf_rows")
-    return t.select("doc_id", (c("ok") % 7).cast("int").alias("page"), c("ok").alias("table_no"), c("seq").cast("long").alias("row_no"), F.when((c("ok") % 5 == 0) & (c("seq") == 1), "사건번호").otherwise(c("case_cell")).alias("cell"), (c("ok") % 400).cast("double").alias("top"), (c("seq") * 10).cast("double").alias("x0"))
+    whole, place = (lambda n: F.floor(c("ok") / n).cast("int")), (lambda n, size: (c("ok") * n % size).cast("double"))
+    return t.select(whole(2000).alias("doc_id"), whole(100).alias("page"), c("ok").alias("table_no"), c("seq").cast("long").alias("row_no"), F.when((c("ok") % 5 == 0) & (c("seq") == 1), "사건번호").otherwise(c("case_cell")).alias("cell"), place(7, 400).alias("top"), place(37, 500).alias("x0"))
 
 
-@query("p12_table_cases", Q.over("nf_rows") + r"select doc_id, cast(ok % 7 as int) page, cast(seq as bigint) word_no, cast(ok % 400 as double) top, cast(seq * 10 as double) x0, regexp_extract(case_cell, '\d{4}타경\d+') case_no, 'table' source from nf_rows where ok % 5 <> 0 and regexp_matches(case_cell, '\d{4}타경\d+')")
+@query("p12_table_cases", Q.over("nf_rows") + _TB)
 def p12_table_cases(spark, sf):
     return truth.table_cases(_tables(spark, sf))
 
@@ -511,7 +567,7 @@ def _whole(spark, sf):
     return words, truth.candidates(truth.stitched(words), truth.table_cases(_tables(spark, sf)))
 
 
-_CAND = (*Q.chain("nf_rows", "duckdb"), *_STITCH, r"tb as (select doc_id, cast(ok % 7 as int) page, cast(seq as bigint) word_no, cast(ok % 400 as double) top, cast(seq * 10 as double) x0, regexp_extract(case_cell, '\d{4}타경\d+') case_no, 'table' source from nf_rows where ok % 5 <> 0 and regexp_matches(case_cell, '\d{4}타경\d+'))", "cand as (select *, 0 src_order from wd union all select *, 1 from tb)", "top1 as (select doc_id, page, case_no, top, x0, source from cand qualify row_number() over (partition by doc_id, page, case_no order by top, src_order, word_no, x0) = 1)")
+_CAND = (*Q.chain("nf_rows", "duckdb"), *_STITCH, f"tb as ({_TB})", "cand as (select *, 0 src_order from wd union all select *, 1 from tb)", "top1 as (select doc_id, page, case_no, top, x0, source from cand qualify row_number() over (partition by doc_id, page, case_no order by top, src_order, word_no, x0) = 1)")
 _ASSIGN = (
     *_CAND,
     f"gh as (select doc_id, page, top gtop, x0 gx0, regexp_extract({Q.strip('text')}, {_HW}, 1) grp from nf_words where regexp_matches({Q.strip('text')}, {_HW}))",
@@ -520,9 +576,9 @@ _ASSIGN = (
 )
 
 
-@query("u1_candidates", _recursive(Q.over("nf_words", *_CAND)) + "select source, count(*) n from cand group by source")
+@query("u1_candidates", _recursive(Q.over("nf_words", *_CAND)) + "select doc_id, page, word_no, top, x0, case_no, source, src_order from cand")
 def u1_candidates(spark, sf):
-    return _whole(spark, sf)[1].groupBy("source").agg(F.count("*").alias("n"))
+    return _whole(spark, sf)[1]
 
 
 @query("w10_topmost", _recursive(Q.over("nf_words", *_CAND)) + "select * from top1")
