@@ -177,10 +177,13 @@ def normal_note(c: Column) -> Column:
 # F13, F14
 def split_use(c: Column) -> Column:
     """struct(use, rest)."""
-    c = stripped(text(c))
     land, building = spaced(R.LAND_USE), spaced(R.BUILDING_USE)
-    use = F.when(c.rlike(land), F.regexp_extract(c, land, 1)).when(c.rlike(building), F.regexp_extract(c, building, 2)).otherwise("")
-    return F.struct(use.alias("use"), F.when(c.rlike(land), F.regexp_extract(c, land, 2)).otherwise(c).alias("rest"))
+
+    def split(c: Column) -> Column:
+        use = F.when(c.rlike(land), F.regexp_extract(c, land, 1)).when(c.rlike(building), F.regexp_extract(c, building, 2)).otherwise("")
+        return F.struct(use.alias("use"), F.when(c.rlike(land), F.regexp_extract(c, land, 2)).otherwise(c).alias("rest"))
+
+    return once(stripped(text(c)), split)
 
 
 def use_group(c: Column) -> Column:
@@ -378,26 +381,36 @@ def safe_label(c: Column) -> Column:
 # W4
 def merge_floors(c: Column) -> Column:
     """Floors of equal area that follow each other become one token; what stands between them goes."""
-    c = text(c)
-    pattern = spaced(R.FLOOR)
-    parts = F.split(F.regexp_replace(c, pattern, f"{OPEN}$1{CLOSE}$2{CLOSE}"), OPEN)
-    whole = F.regexp_extract_all(c, F.lit(pattern), F.lit(0))
-    token = lambda p, i: F.struct(F.split_part(p, F.lit(CLOSE), F.lit(1)).alias("floor"), F.split_part(p, F.lit(CLOSE), F.lit(2)).alias("area"), F.split_part(p, F.lit(CLOSE), F.lit(3)).alias("after"))
-    tokens = F.transform(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), token)
-    start = F.struct(F.element_at(parts, 1).alias("out"), F.array().cast("array<string>").alias("floors"), F.lit("").alias("area"), F.lit("").alias("after"))
-
-    def show(s):
-        numbers = F.transform(s["floors"], lambda x: x.cast("bigint"))
-        run = (F.size(numbers) >= 3) & F.forall(F.transform(numbers, lambda x, i: x - i), lambda x: x == F.element_at(numbers, 1))
-        label = F.when(F.size(numbers) == 1, F.element_at(s["floors"], 1)).when(run, F.concat_ws("~", F.element_at(numbers, 1), F.element_at(numbers, -1))).otherwise(F.array_join(s["floors"], ","))
-        return F.when(F.size(numbers) == 0, s["out"]).otherwise(F.concat(s["out"], label, F.when(F.size(numbers) > 1, "층각").otherwise("층"), s["area"], F.lit("㎡"), s["after"]))
-
-    def step(s, t):
+    token = lambda p: F.struct(F.split_part(p, F.lit(CLOSE), F.lit(1)).alias("floor"), F.split_part(p, F.lit(CLOSE), F.lit(2)).alias("area"), F.split_part(p, F.lit(CLOSE), F.lit(3)).alias("after"))
+    none = F.array().cast("array<string>")
+
+    def label(floors: Column) -> Column:
+        numbers = F.transform(floors, lambda x: x.cast("bigint"))
+        run = lambda n: F.forall(F.transform(n, lambda x, i: x - i), lambda x: x == F.element_at(n, 1))
+        listed = F.when(F.size(floors) < 3, F.array_join(floors, ",")).otherwise(once(numbers, lambda n: F.when(run(n), F.concat_ws("~", F.element_at(n, 1), F.element_at(n, -1))).otherwise(F.array_join(floors, ","))))
+        return F.when(F.size(floors) == 1, F.concat(F.element_at(floors, 1), F.lit("층"))).otherwise(F.concat(listed, F.lit("층각")))
+
+    def show(s: Column) -> Column:
+        return F.when(F.size(s["floors"]) == 0, s["out"]).otherwise(F.concat(s["out"], label(s["floors"]), s["area"], F.lit("㎡"), s["after"]))
+
+    def step(s: Column, t: Column) -> Column:
         more = F.struct(s["out"].alias("out"), F.concat(s["floors"], F.array(t["floor"])).alias("floors"), s["area"].alias("area"), t["after"].alias("after"))
         new = F.struct(show(s).alias("out"), F.array(t["floor"]).alias("floors"), t["area"].alias("area"), t["after"].alias("after"))
         return F.when((F.size(s["floors"]) > 0) & (s["area"] == t["area"]), more).otherwise(new)
 
-    return F.when(F.size(whole) < 2, c).otherwise(F.aggregate(tokens, start, step, show))
+    def merged(parts: Column) -> Column:
+        start = F.struct(F.element_at(parts, 1).alias("out"), none.alias("floors"), F.lit("").alias("area"), F.lit("").alias("after"))
+        return F.aggregate(F.transform(F.slice(parts, F.lit(2), F.size(parts) - 1), token), start, step, show)
+
+    parts = lambda x: F.split(F.regexp_replace(x, spaced(R.FLOOR), f"{OPEN}$1{CLOSE}$2{CLOSE}"), OPEN)
+    return once(text(c), lambda x: once(parts(x), lambda p: F.when(F.size(p) < 3, x).otherwise(merged(p))))
+
+
+def location(address: Column, detail: Column) -> Column:
+    """struct(address, use) of a record's location by all rules: the address with what the detail says beyond its use, floors of equal area joined."""
+    use = split_use(merge_floors(share_notation(shorten_facility(strip_materials(strip_province(merge_lines(detail)))))))
+    place = stripped(share_notation(strip_province(merge_lines(address))))
+    return once(F.struct(place.alias("p"), use.alias("u")), lambda x: F.struct(stripped(F.concat_ws(" ", x["p"], stripped(x["u"]["rest"]))).alias("address"), x["u"]["use"].alias("use")))
 
 
 def town(c: Column) -> Column:

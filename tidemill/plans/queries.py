@@ -63,8 +63,15 @@ column_query("f12_normal_use", "nf_rows", K, lambda: X.normal_use(c("detail_cell
 column_query("f12_normal_address", "nf_rows", K, lambda: X.normal_address(F.concat_ws(" ", "addr_cell", "detail_cell")), Q.normal_address("concat_ws(' ', addr_cell, detail_cell)"))
 column_query("f12_normal_note", "nf_rows", K, lambda: X.normal_note(c("note_cell")), Q.normal_note("note_cell"))
 _LAND, _BUILDING = Q.lit(spaced(R.LAND_USE)), Q.lit(spaced(R.BUILDING_USE))
-_D = Q.strip(Q.text("detail_cell"))
-_SPLIT = f"case when regexp_matches({_D}, {_LAND}) then regexp_extract({_D}, {_LAND}, 1) || '|' || regexp_extract({_D}, {_LAND}, 2) when regexp_matches({_D}, {_BUILDING}) then regexp_extract({_D}, {_BUILDING}, 2) || '|' || {_D} else '|' || {_D} end"
+
+
+
+def _split_sql(x: str) -> str:
+    """Use and rest of a detail, a bar between them."""
+    return f"case when regexp_matches({x}, {_LAND}) then regexp_extract({x}, {_LAND}, 1) || '|' || regexp_extract({x}, {_LAND}, 2) when regexp_matches({x}, {_BUILDING}) then regexp_extract({x}, {_BUILDING}, 2) || '|' || {x} else '|' || {x} end"
+
+
+_SPLIT = _split_sql(Q.strip(Q.text("detail_cell")))
 column_query("f13_split_use", "nf_rows", K, lambda: F.concat_ws("|", X.split_use(c("detail_cell"))["use"], X.split_use(c("detail_cell"))["rest"]), _SPLIT)
 column_query("f14_use_group", "nf_rows", K, lambda: X.use_group(c("use_cell")), f"case {Q.strip(Q.text('use_cell'))} " + " ".join(f"when {Q.lit(a)} then {Q.lit(b)}" for a, b in R.USE_GROUPS.items()) + f" else {Q.lit(R.OTHER)} end")
 _NUMS = r"regexp_extract_all(case_cell, '\d+타경\d+')"
@@ -292,19 +299,21 @@ def p8_dead_letters(spark, sf):
     return logs.split_failures(_failing(spark, sf), logs.shared_path(spark, "rows"))[1].withColumnRenamed("use", "use_")
 
 
-# a text is cut at its tokens; runs of equal area are gathered, and what follows the last token of each stays
-_FLOOR = Q.lit(spaced(R.FLOOR))
-_W4 = (
-    f"cut as (select ok, seq, text, string_split(regexp_replace(text, {_FLOOR}, chr(1) || '\\1' || chr(2) || '\\2' || chr(2), 'g'), chr(1)) l from nf_floors)",
-    "tk as (select ok, seq, i, split_part(t, chr(2), 1) f, split_part(t, chr(2), 2) a, split_part(t, chr(2), 3) rest from (select ok, seq, unnest(l) t, generate_subscripts(l, 1) i from cut) where i > 1)",
-    "mk as (select *, case when a = lag(a) over (partition by ok, seq order by i) then 0 else 1 end s from tk)",
-    "rn as (select *, sum(s) over (partition by ok, seq order by i) r from mk)",
-    "gp as (select ok, seq, r, any_value(a) a, count(*) n, list(f order by i) fs, list(f::bigint - i order by i) steps, min(f::bigint) lo, max(f::bigint) hi, arg_max(rest, i) rest from rn group by ok, seq, r)",
-    "sh as (select ok, seq, string_agg(case when n = 1 then fs[1] when n >= 3 and len(list_distinct(steps)) = 1 then lo || '~' || hi else array_to_string(fs, ',') end || case when n > 1 then '층각' else '층' end || a || '㎡' || rest, '' order by r) v from gp group by ok, seq)",
-)
+def _floors_sql(source: str, keys: str, text: str) -> tuple[str, ...]:
+    """floors(keys, value): a text is cut at its tokens; runs of equal area are gathered, and what follows the last token of each stays."""
+    floor = Q.lit(spaced(R.FLOOR))
+    return (
+        f"cut as (select {keys}, {text} t, string_split(regexp_replace({text}, {floor}, chr(1) || '\\1' || chr(2) || '\\2' || chr(2), 'g'), chr(1)) l from {source})",
+        f"tk as (select {keys}, i, split_part(t, chr(2), 1) f, split_part(t, chr(2), 2) a, split_part(t, chr(2), 3) rest from (select {keys}, unnest(l) t, generate_subscripts(l, 1) i from cut) where i > 1)",
+        f"mk as (select *, case when a = lag(a) over (partition by {keys} order by i) then 0 else 1 end s from tk)",
+        f"rn as (select *, sum(s) over (partition by {keys} order by i) r from mk)",
+        f"gp as (select {keys}, r, any_value(a) a, count(*) n, list(f order by i) fs, list(f::bigint - i order by i) steps, min(f::bigint) lo, max(f::bigint) hi, arg_max(rest, i) rest from rn group by {keys}, r)",
+        f"sh as (select {keys}, string_agg(case when n = 1 then fs[1] when n >= 3 and len(list_distinct(steps)) = 1 then lo || '~' || hi else array_to_string(fs, ',') end || case when n > 1 then '층각' else '층' end || a || '㎡' || rest, '' order by r) v from gp group by {keys})",
+        f"floors as (select {keys}, case when len(l) < 3 then t else l[1] || v end as value from cut left join sh using ({keys}))",
+    )
 
 
-@query("w4_merge_floors", Q.over("nf_floors", *_W4) + "select c.ok, c.seq, case when len(l) < 3 then text else l[1] || v end as value from cut c left join sh using (ok, seq)")
+@query("w4_merge_floors", Q.over("nf_floors", *_floors_sql("nf_floors", "ok, seq", "text")) + "select ok, seq, value from floors")
 def w4_merge_floors(spark, sf):
     return load(spark, sf, "nf_floors").select("ok", "seq", X.merge_floors(c("text")).alias("value"))
 
@@ -455,7 +464,10 @@ def f30_mixed(spark, sf):
 _PUB = (
     *Q.RECORDS, "ct as (select doc_id, case_no, use_cell || ' ' || detail_cell || ' ' || note_cell as text from isl)", Q.flags_sql("ct"),
     f"loc0 as (select doc_id, rec_no, unnest(locations) l, generate_subscripts(locations, 1) - 1 pos from rec)",
-    f"loc1 as (select doc_id, rec_no, pos, {Q.normal_address('''concat_ws(' ', l.addr, l.detail)''')} a, {Q.normal_use('l.detail')} u from loc0)",
+    f"loc9 as (select doc_id, rec_no, pos, {Q.strip(Q.notation(Q.province(Q.merge_lines('l.addr'))))} p, {Q.notation(Q.facility(Q.materials(Q.province(Q.merge_lines('l.detail')))))} d from loc0)",
+    *_floors_sql("loc9", "doc_id, rec_no, pos", "d"),
+    f"loc8 as (select doc_id, rec_no, pos, p, {_split_sql('v')} s from (select doc_id, rec_no, pos, p, {Q.strip('value')} v from loc9 join floors using (doc_id, rec_no, pos)))",
+    f"loc1 as (select doc_id, rec_no, pos, {Q.strip('''p || ' ' || ''' + Q.strip('''substring(s, position('|' in s) + 1)'''))} a, split_part(s, '|', 1) u from loc8)",
     f"loc2 as (select *, {Q.town('a')} tn, lag({Q.town('a')}) over (partition by doc_id, rec_no order by pos) before from loc1)",
     f"loc3 as (select doc_id, rec_no, pos, case when tn <> '' and tn = before then {Q.same_place('a')} else a end address, u from loc2)",
 )
@@ -466,28 +478,30 @@ _TAGS = (
     f"tg as (select nn.doc_id, nn.rec_no, dup_tag, nt, coalesce(dup_tag, '') <> '' and greatest(coalesce(h, 0), case when nt = '' then 0 else {_LINES('nt')} end) <= 4 moves from nn left join hi on nn.doc_id = hi.doc_id and nn.rec_no = hi.rec_no)",
     "tp as (select doc_id, rec_no, moves, case when moves then '' else dup_tag end tag_cell, case when moves then dup_tag || case when nt = '' then '' else '.' || nt end else nt end note_text from tg)",
 )
+#: O1. A record's place in its document and group, by natural order of case and item.
+_PLACED = f"rk as (select r.doc_id, r.rec_no, cast(row_number() over (partition by r.doc_id, c.grp order by cast(split_part(r.case_no, '타경', 1) as int), cast(split_part(r.case_no, '타경', 2) as bigint), cast(item_no as int), r.rec_no) as int) as \"rank\" from rec r join cls c on r.doc_id = c.doc_id and r.case_no = c.case_no where {Q.in_groups('c.grp')})"
 _ORDER = "case c.grp " + " ".join(f"when {Q.lit(g)} then {i + 1}" for i, g in enumerate(R.GROUPS)) + " end"
 
 
 def _addressed(records):
-    """Records with normal addresses, uses and notes; places of one town after the other are written once."""
-    address = lambda x: X.normal_address(F.concat_ws(" ", x["addr"], x["detail"]))
-    records = records.withColumn("locations", F.transform("locations", lambda x: F.struct(address(x).alias("address"), X.normal_use(x["detail"]).alias("use"))))
+    """Records after all rules of locations and notes; places of one town after the other are written once."""
+    records = records.withColumn("locations", F.transform("locations", lambda x: X.location(x["addr"], x["detail"])))
     records = records.withColumn("_towns", F.transform("locations", lambda x: X.town(x["address"])))
     same = lambda i: (i > 0) & (F.get("_towns", i) != "") & (F.get("_towns", i) == F.get("_towns", i - 1))
     records = records.withColumn("locations", F.transform("locations", lambda x, i: F.struct(F.when(same(i), places.same_place(x["address"])).otherwise(x["address"]).alias("address"), x["use"].alias("use"))))
     return records.withColumn("note", X.normal_note(c("note")))
 
 
-@query("published_table", Q.over("nf_rows", *_PUB, *_TAGS) + f"""select r.doc_id, r.rec_no, c.grp, cast({_ORDER} as bigint) group_order, cast(l.pos as int) pos,
+@query("published_table", Q.over("nf_rows", *_PUB, *_TAGS, _PLACED) + f"""select r.doc_id, r.rec_no, k."rank", c.grp, cast({_ORDER} as bigint) group_order, cast(l.pos as int) pos,
  case when l.pos = 0 then r.case_no || case when t.tag_cell <> '' then chr(10) || t.tag_cell else '' end else '' end case_cell, case when l.pos = 0 then r.item_no else '' end item_cell, l.address, l.u use_cell,
  case when l.pos = 0 then coalesce(pl[1], '') || case when coalesce(pl[2], pl[1], '') <> '' then chr(10) || coalesce(pl[2], pl[1]) else '' end else '' end price_cell, case when l.pos = 0 then t.note_text else '' end note_cell
- from rec r join loc3 l using (doc_id, rec_no) join tp t using (doc_id, rec_no) join cls c on r.doc_id = c.doc_id and r.case_no = c.case_no where {Q.in_groups('c.grp')}""")
+ from rec r join loc3 l using (doc_id, rec_no) join tp t using (doc_id, rec_no) join rk k using (doc_id, rec_no) join cls c on r.doc_id = c.doc_id and r.case_no = c.case_no where {Q.in_groups('c.grp')}""")
 def published_table(spark, sf):
-    """Rows to records, normal addresses and notes, ditto, classes by rule, published form. The rows are read and dealt out once, by document: islands, records and the flags of cases share the partitioning."""
+    """Rows to records, all rules of locations and notes, ditto, tags by lines, classes by rule, natural order in each document and group, published form. The rows are read and dealt out once, by document: islands, records and the flags of cases share the partitioning."""
     records = rows.assemble(_flagged(spark, sf, "nf_rows"), also=_sums(), by=("vehicle",))
     records = publish.publishable(publish.classify_records(records, vehicle="vehicle"))
-    return publish.published(publish.place_tags(_addressed(records)))
+    records = publish.natural_rank(publish.place_tags(_addressed(records)), ["doc_id", "grp"], ["case_no", "item_no"], ["rec_no"])
+    return publish.published(records, ("doc_id", "rec_no", "rank"))
 
 
 @query("f16_place_tags", Q.over("nf_rows", *_PUB, *_TAGS) + "select doc_id, rec_no, moves, tag_cell, note_text from tp")
