@@ -401,11 +401,36 @@ def j2_best_match(spark, sf):
     return places.best_match(t, t).withColumnRenamed("out", "out_")
 
 
-@query("a7_enforce")
+# A7: shares go to their places in turn (a round a source location with shares), then all of them are looked for again
+_SQUARE = "list_reduce({sh}, lambda a, x: case when x = '' or contains({squeezed}, x) or contains(a, '[' || x || ']') then a else {put} end, {address})"
+_PUT = lambda sh, address: _SQUARE.format(sh=sh, address=address, squeezed=Q.squeeze("a"), put=Q.strip(f"{Q.rr('a', [(chr(92) + 's+$', '')])} || ' [' || x || ']'"))
+_SCORES = lambda locs: f"list_transform({locs}, lambda o: len(list_filter(lots, lambda t: list_contains({Q.lots('o')}, t))) + case when place <> '' and contains(o, place) then 3 else 0 end)"
+_AT = lambda scores: f"list_position({scores}, list_max({scores}))"
+_A7 = (
+    f"""l as (select ok, seq, {Q.shares('src_addr', 'src_use')} sh, regexp_extract_all({_MT}, {Q.lit(R.LOT)}) lots, {Q.strip('split_part(' + Q.province(Q.merge_space('src_addr')) + ', chr(40), 1)')} place,
+ {_PLACE.replace('addr_cell', 'src_addr').replace('detail_cell', 'src_use')} again, {Q.normal_use(Q.strip_shares('src_use'))} again_use, {Q.normal_address('out_addr')} edited, {Q.normal_use('out_use')} edited_use, out_addr is not null kept from nf_shares)""",
+    f"l1 as (select *, {_PUT('sh', 'again')} whole from l)",
+    """base as (select ok, list(whole order by seq) fall, list(again_use order by seq) fall_use, list(edited order by seq) filter (where kept) edits, list(edited_use order by seq) filter (where kept) edits_use, count(*) n from l1 group by ok)""",
+    "given as (select ok, fall, fall_use, case when len(edits) = n then edits else fall end locs, case when len(edits) = n then edits_use else fall_use end uses from base)",
+    "needs as (select ok, sh, lots, place, row_number() over (partition by ok order by seq) k from l where len(sh) > 0)",
+    f"""st as (select ok, cast(0 as bigint) k, locs, cast([] as bigint[]) met from given union all
+ select ok, k, list_transform(locs, lambda o, i: case when i = target then {_PUT('sh', 'o')} else o end), list_append(met, target) from (
+ select ok, k, locs, met, sh, cast({_AT('scores')} as bigint) target from (select st.ok, needs.k, locs, met, sh, {_SCORES('locs')} scores from st join needs on needs.ok = st.ok and needs.k = st.k + 1)))""",
+    "ended as (select ok, locs, met, k from st qualify row_number() over (partition by ok order by k desc) = 1)",
+    f"""looked as (select ok, bool_and(len(list_filter(sh, lambda x: not contains({Q.squeeze('held')}, x))) = 0) there from (select ok, sh, locs[{_AT('scores')}] held from (select e.ok, sh, locs, {_SCORES('locs')} scores from ended e join needs using (ok))) group by ok)""",
+    "judged as (select g.ok, len(list_distinct(met)) = k and coalesce(there, true) good, e.locs, uses, fall, fall_use from given g join ended e using (ok) left join looked using (ok))",
+    "chosen as (select ok, good, unnest(case when good then locs else fall end) a, unnest(case when good then uses else fall_use end) u, unnest(range(1, len(fall) + 1)) pos from judged)",
+    f"towns as (select *, {Q.town('a')} tn, lag({Q.town('a')}) over (partition by ok order by pos) before from chosen)",
+)
+
+
+@query("a7_enforce", Q.over("nf_shares", *_A7, recursive=True) + f"select ok, not any_value(good) rebuilt, cast(count(*) as int) n, string_agg(case when tn <> '' and tn = before then {Q.same_place('a')} else a end, '|' order by pos) addresses, string_agg(u, '|' order by pos) uses from towns group by ok")
 def a7_enforce(spark, sf):
-    in_order = lambda a, u: F.transform(F.array_sort(F.collect_list(F.struct("seq", F.col(a).alias("address"), F.col(u).alias("use")))), lambda x: F.struct(x["address"].alias("address"), x["use"].alias("use")))
-    t = load(spark, sf, "nf_locs").groupBy("ok").agg(in_order("src_addr", "src_use").alias("src_locs"), in_order("out_addr", "out_use").alias("out_locs"))
-    return places.enforce(t).select("ok", "rebuilt", F.size("locations").alias("n"), _join(F.transform("locations", lambda x: x["address"])).alias("addresses"))
+    """Records whose edits lack shares, name one place twice, or miss a location, next to whole ones."""
+    in_order = lambda a, u: F.transform(F.array_sort(F.collect_list(F.when(F.col(a).isNotNull(), F.struct("seq", F.col(a).alias("address"), F.col(u).alias("use"))))), lambda x: F.struct(x["address"].alias("address"), x["use"].alias("use")))
+    t = load(spark, sf, "nf_shares").groupBy("ok").agg(in_order("src_addr", "src_use").alias("src_locs"), in_order("out_addr", "out_use").alias("out_locs"))
+    parts = lambda f: _join(F.transform("locations", lambda x: x[f]))
+    return places.enforce(t).select("ok", "rebuilt", F.size("locations").alias("n"), parts("address").alias("addresses"), parts("use").alias("uses"))
 
 
 # ---- groups ----
