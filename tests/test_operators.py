@@ -170,7 +170,7 @@ def test_empty_tables(spark):
     assert spark.createDataFrame([(None,)], "t string").select(X.normal_address(F.col("t")).alias("x")).first()["x"] == ""
 
 
-NAMES = ["published_table", "a7_enforce", "f30_mixed", "f16_place_tags", "w4_merge_floors", "u1_candidates", "w3_segment", "a1_assemble", "j2_best_match", "j4_w5_assign_groups", "a4_accuracy", "j3_w6_similar", "w8_convergence", "f8_share_notation", "s8_pair_files"]
+NAMES = ["published_table", "a7_enforce", "f20_restore_lines", "f30_mixed", "f16_place_tags", "w4_merge_floors", "u1_candidates", "w3_segment", "a1_assemble", "j2_best_match", "j4_w5_assign_groups", "a4_accuracy", "j3_w6_similar", "w8_convergence", "f8_share_notation", "s8_pair_files"]
 
 
 @pytest.mark.parametrize("name", NAMES)

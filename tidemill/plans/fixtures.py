@@ -37,6 +37,10 @@ from (select doc_id, ok, seq, case_cell, case when ok%2=0 and seq>1 then '' else
     "nf_locs": (("nf_rows",), "select ok, seq, addr_cell src_addr, detail_cell src_use, case when seq%3=0 then replace(addr_cell,'경기도 ','') else addr_cell end out_addr, case when seq%2=0 then detail_cell else '대' end out_use from nf_rows"),
     "nf_shares": (("nf_locs",), """select ok, seq, src_addr, case when ok%4=0 and seq%3<>1 then concat(src_use, ' (갑구 ', cast(seq + 1 as TEXT), '번 이강규 1745분의 785.25 지분전부) (갑구 6번 김정숙 80분의 5 지분 중 일부 ', src_addr, ')') else src_use end src_use,
  case when ok%11=0 and seq=2 then null when ok%13=0 then concat('달성군 하리 ', cast(seq%2 as TEXT)) when ok%5=0 then concat(src_addr, ' ', src_use) else out_addr end out_addr, case when ok%7=0 then null else out_use end out_use from nf_locs"""),
+    "nf_lines": (("nf_rows",), """select ok, seq, concat(addr_cell, case when ok%3=0 then concat(chr(10), '  ', chr(13), '하리 ', cast(seq as TEXT), ' [1동]') else '' end) src_addr,
+ case when ok%5=0 then null when ok%5=1 then concat(' ', chr(10), detail_cell) else replace(detail_cell, ' 2층', concat(chr(10), '2층')) end src_use,
+ concat(addr_cell, case when seq%3=0 then ' [공유자홍길동3/7지분전부] [ 1동 ]' when seq%3=1 then ' [일부] [일부]' else '' end) out_addr,
+ case ok%4 when 0 then '' when 1 then '대' when 2 then substring(detail_cell, 1, 20) else null end out_use from nf_rows"""),
     "nf_notes": (("nf_rows",), "select ok, seq, note_cell raw_note, case when seq%4=0 then '' when seq%4=1 then note_cell when seq%4=2 then substring(note_cell,1,6) else replace(note_cell,'일괄매각','') end edit_note from nf_rows"),
     "nf_pred": (("j",), f"select cast(floor(ok / 300) as int) doc_id, cast(y as TEXT)||'타경'||cast(ok as TEXT) case_no, cast(seq as int) seq, cast(ln as TEXT) item_no, {_GROUP.format('pk%7')} pred_grp, {_GROUP.format('(case when sk%10=0 then (pk+1)%6 else pk%6 end)')} truth_grp from j"),
     "nf_words": ((), f"""select cast(floor(user_id / 20) as int) doc_id, cast(user_id as int) page, event_id word_no, cast(event_id%400 as double) top, cast((event_id*37)%500 as double) x0,

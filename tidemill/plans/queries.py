@@ -161,14 +161,22 @@ def f21_from_source(spark, sf):
     return load(spark, sf, "nf_rows").withColumn("l", X.from_source(c("addr_cell"), c("detail_cell"))).select("ok", "seq", "l.address", F.col("l.use").alias("use_"))
 
 
-_L20 = Q.strip_shares("replace(detail_cell, ' 2층', chr(10) || '2층')")
-_LN = f"list_filter(list_transform(string_split(replace(detail_cell, ' 2층', chr(10) || '2층'), chr(10)), lambda l: {Q.strip_shares('l')}), lambda l: l <> '')"
+# lines of address and detail, what the detail's first line says beyond the use, and the edit's suffixes at the last line
+_DETAILS = f"list_transform(list_filter(list_transform({Q.lines('src_use')}, lambda l: {Q.strip_shares('l')}), lambda l: l <> ''), lambda l: {Q.normal_address('l')})"
+_SUFFIXES = "regexp_extract_all(out_addr, '\\[[^\\[\\]]+\\]')"
+_F20 = (
+    f"d0 as (select ok, seq, out_addr, list_transform({Q.lines('src_addr')}, lambda l: {Q.normal_address('l')}) p, {_DETAILS} d, {Q.squeeze(Q.normal_use('out_use'))} u from nf_lines)",
+    f"d1 as (select *, {Q.squeeze(Q.normal_address('d[1]'))} f from d0)",
+    "d2 as (select *, p || case when u <> '' and len(d) > 0 and starts_with(f, u) then case when f = u then d[2:] else [substring(f, length(u) + 1)] || d[2:] end else d end a from d1)",
+    f"d3 as (select *, list_reduce({_SUFFIXES}, lambda t, s: case when contains({Q.squeeze('a[-1]')}, {Q.squeeze('s')}) then t else {Q.strip(chr(39).join(['t || ', ' ', ' || s']))} end, a[-1]) z from d2)",
+)
 
 
-@query("f20_restore_lines", Q.over("nf_rows", f"d0 as (select ok, seq, addr_cell, list_transform({_LN}, lambda l: {Q.normal_address('l')}) d from nf_rows)") + f"select ok, seq, {Q.normal_address('addr_cell')} || chr(10) || array_to_string(d, chr(10)) as value from d0")
+@query("f20_restore_lines", Q.over("nf_lines", *_F20) + f"select ok, seq, len(a) > 1 several, case when len(a) <= 1 then {Q.normal_address('out_addr')} else array_to_string(list_append(a[:-2], z), chr(10)) end as value from d3")
 def f20_restore_lines(spark, sf):
-    t = load(spark, sf, "nf_rows")
-    return t.select("ok", "seq", X.restore_lines(c("addr_cell"), F.replace("detail_cell", F.lit(" 2층"), F.lit("\n2층")), c("addr_cell"), F.lit("")).alias("value"))
+    """Sources of one and more lines, uses that the detail starts with or doesn't, and edits with suffixes."""
+    value = X.restore_lines(c("src_addr"), c("src_use"), c("out_addr"), c("out_use"))
+    return load(spark, sf, "nf_lines").select("ok", "seq", value.contains("\n").alias("several"), value.alias("value"))
 
 
 _WRAP = """case event_id % 7 when 0 then concat('```json', chr(10), props, chr(10), '```') when 1 then concat('Here: ', props, ' and more') when 2 then concat('cut ', substring(props, 1, length(props) - 1))
