@@ -1,14 +1,17 @@
 """From raw documents to packed training sequences.
 
-Each stage works on all documents that the one before kept; stages are written as Parquet and read again.
+Each stage works on all documents that the one before kept; stages are written as Parquet and read again. What a stage wrote
+on its way is removed once its own table stands.
 """
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemill.llm import langid, mixing, ngramjoin, packing, toxicity
-from tidemill.llm.common import saved, table
+from tidemill.llm.common import staged, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,7 +57,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = saved(stage(spark, docs, sf_dir), name)
+        docs = staged(spark, name, partial(stage, spark, docs, sf_dir))
     return docs
 
 

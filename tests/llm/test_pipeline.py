@@ -1,5 +1,7 @@
 """The pipeline, stage by stage, against plain Python on a small table."""
 
+import os
+
 import pytest
 
 import corpus_pipeline
@@ -9,6 +11,7 @@ from tests.llm.test_mixing import slow_targets
 from tests.llm.test_ngramjoin import slow_components
 from tests.llm.test_packing import check
 from tidemill.llm import langid, toxicity
+from tidemill.llm.common import saved, scratch, staged
 
 
 def test_stages(spark):
@@ -72,4 +75,30 @@ def test_near_copies_of_repeated_ids(spark, tables):
 def test_run(spark, tmp_path):
     for name in ("documents", "labels"):
         spark.read.parquet(f"{SF}/{name}.parquet").filter("doc_id < 150").write.parquet(f"{tmp_path}/{name}.parquet")
-    assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+    batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    before = folders(spark)
+    got = corpus_pipeline.run(spark, str(tmp_path))
+    # the stages' own tables stay, what they wrote on their way doesn't
+    assert sorted(x.rsplit("-", 1)[0] for x in folders(spark) - before) == sorted(name for name, _ in corpus_pipeline.STAGES)
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == batch
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, str(tmp_path))
+    key = ["doc_id", "start", "length", "ids_crc32"]
+    assert got.count() > 0 and sorted(map(tuple, got.select(key).collect())) == sorted(map(tuple, docs.select(key).collect()))
+
+
+def folders(spark):
+    return set(os.listdir(os.path.dirname(scratch(spark, "x"))))
+
+
+def test_failed_stage(spark):
+    before = folders(spark)
+
+    def fails():
+        saved(spark.range(3).toDF("doc_id"), "way")
+        raise ValueError("no stage")
+
+    with pytest.raises(ValueError, match="no stage"):
+        staged(spark, "failed", fails)
+    assert folders(spark) == before

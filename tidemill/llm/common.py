@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +16,9 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: Scratch folders of local sessions, as in tests.
 _OWN: dict[str, str] = {}
+#: The paths that saved() wrote since the stage began, where a stage is run.
+_WRITTEN: ContextVar[list[str] | None] = ContextVar("written", default=None)
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,10 +42,37 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     """df, written once to the shared scratch folder and read back: its lineage is cut, and executors may be lost."""
     spark = df.sparkSession
     path = scratch(spark, name)
+    if (written := _WRITTEN.get()) is not None:
+        written.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """The written table goes."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def staged(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """saved(make(), name), after which the tables that make() wrote on its way are removed and the session's size of Arrow batches is set back.
+
+    The result reads its own table alone, so nothing of those can be needed again, by a task that is run again either. Also
+    where make() fails, its tables go.
+    """
+    before, token = spark.conf.get(_BATCH), _WRITTEN.set([])
+    try:
+        result = saved(make(), name)
+        # the last one is the result's
+        _WRITTEN.get().pop()
+        return result
+    finally:
+        for path in _WRITTEN.get():
+            removed(spark, path)
+        _WRITTEN.reset(token)
+        spark.conf.set(_BATCH, before)
+
+
 def light(df: DataFrame, rows: int = 200_000) -> DataFrame:
     """A written table, to be sent to all executors if it has few rows; larger ones are joined by shuffle."""
     return F.broadcast(df) if df.count() <= rows else df
@@ -50,8 +81,8 @@ def light(df: DataFrame, rows: int = 200_000) -> DataFrame:
 def small_batches(df: DataFrame, rows: int = 2000) -> DataFrame:
     """df, after capping the rows of an Arrow batch for this session, so that long texts don't add up in a worker."""
     conf = df.sparkSession.conf
-    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    if int(conf.get(_BATCH)) > rows:
+        conf.set(_BATCH, str(rows))
     return df
 
 
