@@ -28,9 +28,12 @@ def as_cells(df: DataFrame) -> DataFrame:
 
 def is_header(cells: list[str] | None = None) -> Column:
     """Whether the cells of a row are column headings."""
-    joined = F.concat_ws(" ", *(cells or CELLS))
-    has = joined.contains
-    return (has("사건번호") & (has("매 각 물 건") | has("매각물건"))) | has("물건\n번호") | (has("용 도") & has("소 재 지")) | (has("감정평가액") & has("최저매각가격") & has("비"))
+
+    def names(joined: Column) -> Column:
+        has = joined.contains
+        return (has("사건번호") & (has("매 각 물 건") | has("매각물건"))) | has("물건\n번호") | (has("용 도") & has("소 재 지")) | (has("감정평가액") & has("최저매각가격") & has("비"))
+
+    return X.once(F.concat_ws(" ", *(cells or CELLS)), names)
 
 
 def drop_headers(df: DataFrame, cells: list[str] | None = None) -> DataFrame:
