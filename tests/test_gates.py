@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemill import rules as R
 from tidemill.functions import text as X
-from tidemill.operators import places
+from tidemill.operators import places, truth
 
 PARTS = [*R.PROVINCES, "철근 콘크리트", "철근콘크리트 벽식구조", "조립식 판넬지붕", "벽돌조 슬래브지붕", "시멘트블럭조강판지붕", "철골구조", "기타지붕(패널)", "샌드위치 판넬조", "콘크리트 슬래브 및", " 및 및 ", "[ ]", "( )", "경기", "도 ", "판넬", "지붕", "  ", "　", " ", "대 10㎡"]
 
@@ -43,3 +43,18 @@ def test_depth_leaves_room(spark):
         assert df.select(X.restore_lines(F.col("a"), F.col("b"), F.col("c"), F.col("d"))).count() == 1
     finally:
         spark.conf.set("spark.sql.analyzer.maxIterations", before)
+
+
+def test_differences_keep_numbers_and_nulls(spark):
+    """Repeated rows, null keys and columns in another order, against counting; one aggregation feeds both sides."""
+    from collections import Counter
+
+    rng = random.Random(3)
+    row = lambda: (rng.choice([None, 1, 2]), rng.choice([None, "a", "b"]), rng.choice(["x", "y"]))
+    ours, real = [row() for _ in range(40)], [row() for _ in range(40)]
+    names = "doc_id int, grp string, case_no string"
+    df = truth.both_differences(spark.createDataFrame(ours, names), spark.createDataFrame(real, names).select("case_no", "grp", "doc_id"))
+    a, b = Counter(ours), Counter(real)
+    want = Counter({(*k, "missing"): n for k, n in (b - a).items()}) + Counter({(*k, "extra"): n for k, n in (a - b).items()})
+    assert Counter(tuple(r) for r in df.collect()) == want
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 1

@@ -142,8 +142,11 @@ def compare(ours: DataFrame, truth: DataFrame) -> DataFrame:
 
 
 def both_differences(ours: DataFrame, truth: DataFrame) -> DataFrame:
-    """U2."""
-    return truth.exceptAll(ours).withColumn("side", F.lit("missing")).unionByName(ours.exceptAll(truth).withColumn("side", F.lit("extra")))
+    """U2. Rows that one side has more often than the other, as often as it has more of them. Each side is read and summed once for both directions."""
+    names = ours.columns
+    n, more = F.sum("_n"), F.abs("_n").cast("int")
+    counted = ours.withColumn("_n", F.lit(-1)).unionByName(truth.select(*names).withColumn("_n", F.lit(1))).groupBy(*names).agg(n.alias("_n")).filter("_n <> 0")
+    return counted.select(*names, F.when(F.col("_n") > 0, "missing").otherwise("extra").alias("side"), F.explode(F.array_repeat(F.lit(0), more)).alias("_copy")).drop("_copy")
 
 
 def accuracy(compared: DataFrame, published: DataFrame, errors: DataFrame | None = None) -> DataFrame:
