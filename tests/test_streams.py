@@ -157,3 +157,12 @@ def test_pairs_of_written_folders(spark, tmp_path):
             path.write_bytes(b"x" * len(name))
     got = {r["folder"]: (r["raw"], r["final"]) for r in files.pair_files(files.list_files(spark, str(tmp_path))).collect()}
     assert got == {"0320 법원-완료": ("0320 a.hwp", "0320 b.pdf"), "0321 법원-완료": ("CS_c.hwp", "수정 y.pdf"), "0322 법원-완료": ("0322 own.hwp", "a.pdf")}
+
+
+def test_texts_written_by_tasks(spark, tmp_path):
+    """A file a row, of repeated and null keys and null texts too; the driver has no folder a key to commit."""
+    texts = [(1, "a\nb"), (1, "c"), (2, None), (None, "사건"), (-3, "")]
+    files.write_texts(spark.createDataFrame(texts, "k long, text string"), str(tmp_path / "out"), "k")
+    got = files.read_notices(spark, f"{tmp_path}/out/*").select(F.regexp_extract("path", r"k=(-?\d+|null)-", 1), "text").collect()
+    assert sorted(map(tuple, got)) == sorted(("null" if k is None else str(k), f"{text or ''}\n") for k, text in texts)
+    assert not list((tmp_path / "out").glob("**/k=*/"))
