@@ -1,8 +1,11 @@
 """Before and after pairs of the standard, and unit cases."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
+from tidemill import rules as R
 from tidemill.functions import text as X
 
 PAIRS = [
@@ -119,3 +122,17 @@ def test_json_scan(spark):
         assert got == {i: slow_scan(t, strings) for i, t in enumerate(texts)}
     rows = spark.createDataFrame([('x [{"a":1},{"a":2}] y',), ("```json\n{\"a\":3}\n```",), ('{"a":4',), (None,)], "t string").select(X.json_rows(F.col("t"), "a int").alias("r")).collect()
     assert [([x["a"] for x in r["r"]["rows"]] if r["r"]["rows"] else None, r["r"]["error"]) for r in rows] == [([1, 2], None), ([3], None), (None, "no JSON: cut"), (None, "no JSON: null")]
+
+
+def test_block_fields_search_once(spark):
+    """Each search of a block's fields stands once in the plan; runs of digits and commas count from four characters on, with a comma."""
+    texts = ["1,2", "1,234", "1234 ,,,, 5,000,000 12345", "12345,", ",1234", "경기도 가 1\n서울특별시 나\n기타", "단독주택, 다가구주택 2023타경1 1,000\n2,000\n3,000", "", None]
+    t = spark.createDataFrame([(x,) for x in texts], "t string").repartition(1)
+    df = t.select("t", X.block_fields(F.col("t")).alias("f")).select("t", "f.case_no", "f.use", "f.price", "f.min_price", "f.addresses", "f.detail")
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all(") <= 2
+    for r in df.collect():
+        found = [p for p in re.findall(r"[\d,]{4,}", r["t"] or "") if "," in p]
+        assert (r["price"], r["min_price"]) == ((found or [""])[0], (found[1:] or found or [""])[0])
+        places = [p.strip() for p in re.findall(R.TEXT_ADDRESS, r["t"] or "")]
+        assert r["addresses"] == (places or [""]) and r["use"] == ((re.findall(R.TEXT_USE, r["t"]) or [""])[0] if r["t"] is not None else None)
+        assert r["detail"] == ("" if places else r["t"])
