@@ -162,3 +162,12 @@ def test_rules_of_locations_are_not_nested(spark):
     t = spark.createDataFrame([("a", "b")], "addr_cell string, detail_cell string")
     plan = X.located(t)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Project [") > 20
+
+
+def test_natural_key_tokens(spark):
+    texts = ["", "12타경3", "12타경003", "a", "a1", "01", "1", "가\n2나10", "0", "00", "2024타경99999999999999999999999"]
+    got = {r["t"]: [tuple(k) for k in r["k"]] for r in spark.createDataFrame([(t,) for t in texts], "t string").select("t", X.natural_key(F.col("t")).alias("k")).collect()}
+    for t in texts:
+        parts = re.split(r"(\d+)", t)
+        parts = parts[:-1] if len(parts) > 1 and parts[-1] == "" else parts
+        assert got[t] == [(i % 2 == 1, len(p.lstrip("0")) if i % 2 else 0, p.lstrip("0") if i % 2 else p) for i, p in enumerate(parts)]

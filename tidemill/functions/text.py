@@ -621,6 +621,9 @@ def town(c: Column) -> Column:
 def natural_key(c: Column) -> Column:
     """A sort key in which runs of digits compare as numbers; texts that begin with a digit come first."""
     c = text(c)
-    tokens = F.filter(F.concat(F.array(F.when(c.rlike(r"^\d"), F.lit("")).otherwise(F.regexp_extract(c, r"^\D*", 0))), F.regexp_extract_all(F.regexp_replace(c, r"^\D+", ""), F.lit(r"\d+|\D+"), F.lit(0))), lambda x: x.isNotNull())
-    number = lambda x: F.regexp_replace(x, "^0+", "")
-    return F.transform(tokens, lambda x: F.struct(x.rlike(r"^\d+$").alias("kind"), F.when(x.rlike(r"^\d+$"), F.length(number(x))).otherwise(0).alias("long"), F.when(x.rlike(r"^\d+$"), number(x)).otherwise(x).alias("text")))
+    # the first token is a text, maybe empty, and texts and numbers take turns
+    found = F.regexp_extract_all(c, F.lit(r"\d+|\D+"), F.lit(0))
+    tokens = F.when(c.rlike(r"^\D"), found).otherwise(F.concat(F.array(F.lit("")), found))
+    number = lambda x: F.ltrim(x, F.lit("0"))
+    of = lambda kind, x, long: F.struct(F.lit(kind).alias("kind"), long.alias("long"), x.alias("text"))
+    return F.transform(tokens, lambda x, i: F.when(i % 2 == 1, once(number(x), lambda n: of(True, n, F.length(n)))).otherwise(of(False, x, F.lit(0))))
