@@ -435,8 +435,8 @@ _A7 = (
 @query("a7_enforce", Q.over("nf_shares", *_A7, recursive=True) + f"select ok, not any_value(good) rebuilt, cast(count(*) as int) n, string_agg(case when tn <> '' and tn = before then {Q.same_place('a')} else a end, '|' order by pos) addresses, string_agg(u, '|' order by pos) uses from towns group by ok")
 def a7_enforce(spark, sf):
     """Records whose edits lack shares, name one place twice, or miss a location, next to whole ones."""
-    in_order = lambda a, u: F.transform(F.array_sort(F.collect_list(F.when(F.col(a).isNotNull(), F.struct("seq", F.col(a).alias("address"), F.col(u).alias("use"))))), lambda x: F.struct(x["address"].alias("address"), x["use"].alias("use")))
-    t = load(spark, sf, "nf_shares").groupBy("ok").agg(in_order("src_addr", "src_use").alias("src_locs"), in_order("out_addr", "out_use").alias("out_locs"))
+    in_order = lambda loc: F.transform(F.sort_array(F.collect_list(F.when(F.col(loc).isNotNull(), F.struct("seq", loc)))), lambda x: x[loc])
+    t = places.prepare(load(spark, sf, "nf_shares")).groupBy("ok").agg(in_order("source").alias("src_locs"), in_order("edited").alias("out_locs"))
     parts = lambda f: _join(F.transform("locations", lambda x: x[f]))
     return places.enforce(t).select("ok", "rebuilt", F.size("locations").alias("n"), parts("address").alias("addresses"), parts("use").alias("uses"))
 

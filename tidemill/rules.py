@@ -8,16 +8,17 @@ from __future__ import annotations
 W, NW = r"[\s\p{Z}]", r"[^\s\p{Z}]"
 
 
-def spaced(pattern: str) -> str:
-    """Expand \\s and \\S of a pattern to classes that Spark and other engines read alike."""
+def spaced(pattern: str, merged: bool = False) -> str:
+    """Expand \\s and \\S of a pattern to classes that Spark and other engines read alike. merged: for texts whose only white space is the space, which is quicker."""
     out, i, inside = [], 0, False
+    space, within, other = (" ", " ", "[^ ]") if merged else (W, r"\s\p{Z}", NW)
     while i < len(pattern):
         two = pattern[i : i + 2]
         if two == r"\s":
-            out.append(r"\s\p{Z}" if inside else W)
+            out.append(within if inside else space)
             i += 2
         elif two == r"\S":
-            out.append(NW)
+            out.append(other)
             i += 2
         elif two[:1] == "\\":
             out.append(two)
