@@ -143,6 +143,25 @@ def test_results_of_one_job(spark, tmp_path):
     assert read(2).count() == read(9).count() == 0 and read().count() == 3
 
 
+def test_results_are_packed(spark, tmp_path):
+    """Results take a fraction of their JSON text on disk, whatever older versions of a folder hold, and the jobs are known without them."""
+    records, path = spark.createDataFrame([(k, i, "대구광역시 달성군 현풍읍 하리 23") for k in (1, 2, 3) for i in range(400)], "job_id int, rec_no int, note string"), str(tmp_path / "out")
+    logs.write_results(records.filter("job_id = 3"), path)
+    logs.write_results(records.filter("job_id < 3"), path)
+    logs.write_results(records.limit(0), path, jobs=records.select("job_id").filter("job_id = 2"))
+    parts = list((tmp_path / "out" / "data").glob("**/part-*"))
+    assert parts and all(p.name.endswith(".json.gz") for p in parts) and sum(p.stat().st_size for p in parts) < 1200 * 20
+    assert sorted(r["job_id"] for r in logs.known_jobs(spark, path, "int").collect()) == [1, 2, 3]
+    records.filter("job_id = 1").withColumn("version", F.lit(9)).write.partitionBy("version", "job_id").json(str(tmp_path / "plain"))
+    for p in (tmp_path / "plain").glob("**/part-*"):  # a version from before
+        to = tmp_path / "out" / "data" / "version=9" / "job_id=1" / p.name
+        to.parent.mkdir(parents=True, exist_ok=True)
+        to.write_bytes(p.read_bytes())
+    spark.createDataFrame([(1, 9)], "job_id int, version long").write.mode("append").parquet(f"{path}/jobs")
+    got = logs.read_results(spark, path, records.schema)
+    assert got.exceptAll(records.filter("job_id <> 2")).isEmpty() and got.count() == 800
+
+
 def test_pairs_of_written_folders(spark, tmp_path):
     tree = {
         "0320 법원-완료": ["0320 a.hwp", "CS_b.hwpx", "0320 b.pdf"],
