@@ -87,6 +87,32 @@ def test_two_runs_publish_each_notice_once(spark, tmp_path):
     assert len(got) == 12 == len(set(got))
 
 
+def test_notices_move_once(spark, tmp_path, monkeypatch):
+    """Notices are dealt by job once, over tasks by their number; packed ones are taken in like plain ones."""
+    import re
+
+    folder, seen = tmp_path / "in", []
+    texts = load(spark, SF, "nf_text").filter("doc_id < 24")
+    files.write_texts(texts, str(folder), "doc_id", packed=True, dealt=True)
+    names = [p.name for p in folder.glob("*/*")]
+    assert len(names) == 24 and all(n.endswith(".txt.gz") for n in names)
+    back = files.read_notices(spark, f"{folder}/*").select(F.regexp_extract("path", r"doc_id=(\d+)", 1).cast("int"), "text")
+    assert back.exceptAll(texts.select("doc_id", F.concat("text", F.lit("\n")))).isEmpty()
+    assert sum(p.stat().st_size for p in folder.glob("*/*")) * 4 < texts.agg(F.sum(F.octet_length("text"))).first()[0]
+
+    def sink(table, epoch):
+        plan = table._jdf.queryExecution().executedPlan().toString()
+        moved = [m for m in re.findall(r"Exchange (\S+)\(([^()]*)", plan) if m[0] == "hashpartitioning"]
+        assert moved and all(re.fullmatch(r"job_id#\d+, \d+", keys) for _, keys in moved)
+        seen.append((table.rdd.getNumPartitions(), {r["job_id"]: r["n"] for r in table.groupBy("job_id").agg(F.count("*").alias("n")).collect()}))
+
+    run = lambda name: jobs.ingest(spark, f"{folder}/*", sink, str(tmp_path / f"ck{name}"), str(tmp_path / f"done{name}")).awaitTermination()
+    run("few")
+    monkeypatch.setattr(jobs, "TASK_FILES", 3)
+    run("many")
+    assert len(seen[0][1]) == 24 and seen[0][1] == seen[1][1] and seen[1][0] == 8
+
+
 def test_claims(spark, tmp_path):
     ids = lambda *x: spark.createDataFrame([(i,) for i in x], "job_id string")
     own = lambda df: sorted(r["job_id"] for r in df.collect())
