@@ -19,6 +19,15 @@ def test_tasks_follow_rows(spark, monkeypatch):
         assert sorted(map(str, QUERIES[n](spark, SF).collect())) == want
 
 
+def test_texts_are_made_after_rows_are_dealt(spark, monkeypatch):
+    """The shuffle by document carries numbers; the texts of rows are made where they are used, and move no more."""
+    monkeypatch.setattr(fixtures, "TASK_ROWS", 5000)
+    found = rows.islands(fixtures.load(spark, SF, "nf_rows", ("doc_id",)))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    texts = plan.index("\ub2ec\uc131\uad70")
+    assert plan.count("Exchange hashpartitioning(") == 3 and "Exchange" not in plan[:texts] and "Exchange" in plan[texts:]
+
+
 def test_islands_sort_once(spark):
     """Cells are made once a row, all windows of islands share one sort, and a use ends with its case."""
     made = spark.createDataFrame([(1, k, 1, *cells) for k, cells in enumerate([
